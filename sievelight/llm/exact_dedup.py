@@ -27,6 +27,8 @@ def _grouped(docs: DataFrame, hashed) -> DataFrame:
     base = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
     ids = materialize(base.select("doc_id", hashed(F.col("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-ids")
     groups = ids.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # Written out, so that the joins on the hash read plain exchanges and Spark can split a hot hash.
+    groups = materialize(groups, "exact-sizes")
     shared = materialize(ids.join(groups.filter("group_size > 1"), "h").select("doc_id", "h", "keep_id").distinct(), "exact-shared")
 
     # Texts are fetched by doc_id, which has no hot key; rows without an id are fetched by their hash.

@@ -42,7 +42,8 @@ def shuffle_shards(rows: DataFrame, shards: int = 24, *, key: str = "doc_id", te
     cols = [c for c in rows.columns if c not in ("shard", "slot")]
     total = rows.agg(F.sum(record_size(F.col(text)))).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
-    parts = max(1, min(shards * buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # As many partitions as the session asks for, and more where a partition would hold over eight buckets.
+    parts = max(1, min(shards * buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), shards * buckets // 8)
     spread = rows.select(
         shard_of(F.col(key), shards).alias("_s"),
         F.pmod(F.xxhash64(F.lit(BUCKET_SEED), F.lit(seed), F.col(key)), F.lit(buckets)).cast("int").alias("_b"),

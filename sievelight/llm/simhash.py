@@ -80,7 +80,8 @@ def near_groups(docs: DataFrame, *, shingle_words: int = 3, max_bits: int = 2) -
     linked = nodes.join(small(roots, roots.count(), 32), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = materialize(linked, "simhash-linked")
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(names, "root").select("fp", "component_id")
+    # Written out, so that the last join reads plain exchanges and Spark can split a hot fingerprint.
+    named = materialize(linked.join(materialize(names, "simhash-names"), "root").select("fp", "component_id"), "simhash-named")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
