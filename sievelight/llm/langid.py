@@ -100,10 +100,13 @@ def learn(docs: DataFrame, *, max_train: int = MAX_TRAIN, max_grams: int = MAX_G
     letters = words.select("lang", F.substring("w", 1, 1).alias("c"), "count").groupBy("lang", "c").agg(F.sum("count").alias("n"))
     padded = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
     size = F.length("w") + 2
-    # Single letters without the edges, then pieces that may hold an edge.
-    pieces = [F.transform(F.sequence(F.lit(2), size - 1), lambda i: F.substr(padded, i, F.lit(1)))]
-    pieces += [F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i, n=n: F.substr(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(2, ORDER + 1)]
-    grams = words.select("lang", "count", F.explode(F.concat(*pieces)).alias("g")).groupBy("lang", "g").agg(F.sum("count").alias("n"))
+
+    def pieces(n: int) -> Column:
+        """All n-grams; single letters without the edges."""
+        first, last = (F.lit(2), size - 1) if n == 1 else (F.lit(1), size - n + 1)
+        return F.when(last >= first, F.transform(F.sequence(first, F.greatest(last, first)), lambda i: F.substr(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    grams = words.select("lang", "count", F.explode(F.concat(*map(pieces, range(1, ORDER + 1)))).alias("g")).groupBy("lang", "g").agg(F.sum("count").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "g")
     kept = grams.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max(500, min(max_grams, 1_000_000 // len(langs)))).select("lang", "g", "n").collect()
     firsts = letters.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "c"))).filter("r <= 1000").collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import bpe, exact_dedup, langid, mixing, quality, sharding, simhash
+from sievelight.llm import ann, bpe, exact_dedup, langid, mixing, pii, quality, secret_scan, sharding, simhash
 from sievelight.llm.common import documents
 
 
@@ -33,6 +33,18 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 50 == 0, k=5)
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(documents(spark, sf_dir)))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(documents(spark, sf_dir)))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_simhash, op4_quality, op7_bpe, op8_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_simhash, op4_quality, op5_nearest, op6_secrets, op7_bpe, op8_sharding, op9_pii, op10_mixing)}
 
 
 OP2_SQL = r"""
