@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from sievelight.plans import scan_queries
 
-def queries() -> dict:
-    return {}
+_MODULES = [scan_queries]
+flagship = scan_queries.flagship
 
 
-def oracle_sql() -> dict:
-    return {}
+def queries() -> dict:
+    return {name: f for m in _MODULES for name, f in m.R.queries.items()}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def oracle_sql() -> dict:
+    return {name: sql for m in _MODULES for name, sql in m.R.sql.items()}
