@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sievelight.plans import scan_queries
+from sievelight.plans import finding_queries, scan_queries
 
-_MODULES = [scan_queries]
+_MODULES = [scan_queries, finding_queries]
 flagship = scan_queries.flagship
 
 
