@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,42 +14,56 @@ from sievelight.schema import RANKS, as_findings
 HITS = "repo string, file string, rule_id string, endpoint_name string, line int, `column` int, pos int"
 
 
-def _scan(frame: pd.DataFrame, through_calls: bool) -> pd.DataFrame:
-    """Facts of one scope in order of place; each has roles: what its names are to which rule. State: tainted names of each rule."""
-    hits = []
-    rules = sorted({r["rule_id"] for roles in frame["roles"] for r in roles})
-    for rule in rules:
-        tainted: set[str] = set()
-        for fact in frame.sort_values("pos").itertuples(index=False):
-            roles = {}
-            for r in fact.roles:
-                if r["rule_id"] == rule:
-                    roles.setdefault(r["name"], {})[r["role"]] = r["endpoint_name"]
-
-            def state(e) -> str:
-                """safe if a sanitizer is in it, else bad if a source or a tainted name is, else clean."""
-                calls, refs = list(e["calls"]), list(e["refs"])
-                if through_calls:
-                    calls, refs = calls + list(e["inner_calls"]), refs + list(e["inner_refs"])
-                if any("sanitizer" in roles.get(c, ()) for c in calls):
-                    return "safe"
-                named = calls + refs if through_calls else calls
-                heads = refs if through_calls else [r.split(".")[0] for r in refs] + refs
-                return "bad" if any("source" in roles.get(c, ()) for c in named) or any(r in tainted for r in heads) else "clean"
-
+class _Scope:
+    """Tainted names of each rule in one scope, as its facts come by in order of place."""
+
+    def __init__(self, through_calls: bool):
+        self.through_calls = through_calls
+        self.tainted: dict[str, set[str]] = {}
+
+    def _state(self, e: dict, roles: dict, tainted: set[str]) -> str:
+        """safe if a sanitizer is in the expression, else bad if a source or a tainted name is, else clean."""
+        calls, refs = list(e["calls"]), list(e["refs"])
+        if self.through_calls:
+            calls, refs = calls + list(e["inner_calls"]), refs + list(e["inner_refs"])
+        if any("sanitizer" in roles.get(c, ()) for c in calls):
+            return "safe"
+        named = calls + refs if self.through_calls else calls
+        heads = refs if self.through_calls else [r.split(".")[0] for r in refs] + refs
+        return "bad" if any("source" in roles.get(c, ()) for c in named) or any(r in tainted for r in heads) else "clean"
+
+    def step(self, fact) -> Iterator[tuple[str, str]]:
+        """Takes a fact in; gives (rule, sink) where tainted data reaches one. Facts carry the rules of their scope."""
+        by_rule: dict[str, dict] = {}
+        for r in fact.roles:
+            by_rule.setdefault(r["rule_id"], {}).setdefault(r["name"], {})[r["role"]] = r["endpoint_name"]
+        for rule in fact.rules:
+            roles, tainted = by_rule.get(rule, {}), self.tainted.setdefault(rule, set())
             if fact.kind == "assign":
-                (tainted.add if any(state(e) == "bad" for e in fact.args) else tainted.discard)(fact.name)
-            elif fact.kind == "call" and "sink" in roles.get(fact.name, ()):
-                if any(state(e) == "bad" for e in fact.args):
-                    hits.append((fact.repo, fact.file, rule, roles[fact.name]["sink"], fact.line, fact.column, fact.pos))
-    return pd.DataFrame(hits, columns=["repo", "file", "rule_id", "endpoint_name", "line", "column", "pos"])
+                (tainted.add if any(self._state(e, roles, tainted) == "bad" for e in fact.args) else tainted.discard)(fact.name)
+            elif "sink" in roles.get(fact.name, ()) and any(self._state(e, roles, tainted) == "bad" for e in fact.args):
+                yield rule, roles[fact.name]["sink"]
+
+
+def _scan(frames: Iterator[pd.DataFrame], through_calls: bool) -> Iterator[pd.DataFrame]:
+    """Facts that come sorted by scope and place; a scope may go on from one batch to the next."""
+    key, scope = None, None
+    for frame in frames:
+        hits = []
+        for fact in frame.itertuples(index=False):
+            now = (fact.repo, fact.file, fact.lang, fact.scope_id)
+            if now != key:
+                key, scope = now, _Scope(through_calls)
+            hits += [(fact.repo, fact.file, rule, sink, fact.line, fact.column, fact.pos) for rule, sink in scope.step(fact)]
+        yield pd.DataFrame(hits, columns=["repo", "file", "rule_id", "endpoint_name", "line", "column", "pos"])
 
 
 def taint(facts: DataFrame, matchers: DataFrame, *, through_calls: bool) -> DataFrame:
     """HITS: one row for each rule and sink call that tainted data reaches.
 
-    Names are matched to rules by joins over distinct names. Scopes are independent, so facts are grouped by
-    scope, and only scopes with both a source and a sink of one rule are scanned; slim facts are shuffled once.
+    Names are matched to rules by joins over distinct names. Scopes are independent, so facts are dealt by scope,
+    and only scopes with both a source and a sink of one rule are scanned. A task streams its facts in order of
+    scope and place and holds the tainted names of one scope; no scope is gathered.
     """
     key = ["repo", "file", "lang", "scope_id"]
     named = facts.select("lang", F.explode(F.concat(F.array("name"), F.flatten(F.transform("args", lambda e: F.concat(e["calls"], e["inner_calls"], e["refs"], e["inner_refs"]))))).alias("name"))
@@ -56,9 +72,10 @@ def taint(facts: DataFrame, matchers: DataFrame, *, through_calls: bool) -> Data
     roles = used.join(matched, ["lang", "name"])
     both = roles.groupBy(*key, "rule_id").agg(F.max((F.col("role") == "source").cast("int")).alias("a"), F.max((F.col("role") == "sink").cast("int")).alias("b")).filter("a = 1 and b = 1").select(*key, "rule_id")
     mine = roles.join(both, [*key, "rule_id"], "left_semi").groupBy(*key, "pos").agg(F.collect_set(F.struct("rule_id", "name", "role", "endpoint_name")).alias("roles"))
-    slim = facts.filter("kind in ('assign', 'call')").join(both.select(*key).distinct(), key, "left_semi").select(*key, "pos", "line", "column", "kind", "name", "args")
+    rules = both.groupBy(*key).agg(F.array_sort(F.collect_set("rule_id")).alias("rules"))
+    slim = facts.filter("kind in ('assign', 'call')").join(rules, key).select(*key, "pos", "line", "column", "kind", "name", "args", "rules")
     rows = slim.join(mine, [*key, "pos"], "left").withColumn("roles", F.coalesce("roles", F.array().cast("array<struct<rule_id:string,name:string,role:string,endpoint_name:string>>")))
-    return rows.groupBy("repo", "file", "scope_id").applyInPandas(lambda f: _scan(f, through_calls), HITS)
+    return rows.repartition(*key).sortWithinPartitions(*key, "pos").mapInPandas(lambda frames: _scan(frames, through_calls), HITS)
 
 
 def taint_js(facts: DataFrame, matchers: DataFrame) -> DataFrame:
