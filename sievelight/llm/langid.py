@@ -19,7 +19,7 @@ from pyspark.sql import Window
 from sievelight.llm.common import materialize
 
 #: Bounds of the model: labelled rows read of each language, languages, n-grams kept of each, words kept in a worker.
-MAX_TRAIN, MAX_LANGS, MAX_GRAMS, MAX_WORDS = 2000, 200, 20_000, 300_000
+MAX_TRAIN, MAX_LANGS, MAX_GRAMS, MAX_WORDS = 2000, 200, 20_000, 200_000
 #: Longest n-gram, cost of a switch of language (nats), and share of each word's chance that goes to all languages alike.
 ORDER, SWITCH, NOISE = 3, 10.0, 0.02
 
@@ -211,27 +211,31 @@ def _viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch
 def label(texts: list[str | None], model: Model, switch: float = SWITCH) -> list[tuple[str, float, list]]:
     """(language, score, spans) of each text."""
     words = _words(model)
-    found = [_WORD.findall(t) if t else [] for t in texts]
-    words.add(set(chain.from_iterable(found)))
-    lengths = np.array([len(x) for x in found], np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths)])[: len(found)]
-    rows = np.fromiter(map(words.__getitem__, chain.from_iterable(found)), np.int64, int(lengths.sum()))
-    scores, sizes = words.scores[rows], words.sizes[rows]
-    single = [_one_language(scores[a : a + n], switch) if n else 0 for a, n in zip(starts, lengths)]
+    parts, lengths = [], []
+    for at in range(0, len(texts), 64):  # the words themselves are held for a few texts at a time
+        found = [_WORD.findall(t) if t else [] for t in texts[at : at + 64]]
+        words.add(set(chain.from_iterable(found)))
+        lengths += map(len, found)
+        parts.append(np.fromiter(map(words.__getitem__, chain.from_iterable(found)), np.int32, sum(map(len, found))))
+    found = None
+    rows = np.concatenate([np.empty(0, np.int32), *parts])
+    lengths = np.array(lengths, np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths)])[: len(texts)].astype(np.int64)
+    single = [_one_language(words.scores[rows[a : a + n]], switch) if n else 0 for a, n in zip(starts, lengths)]
     mixed = [i for i, x in enumerate(single) if x < 0]
     paths = {}
-    room = max(1, 8_000_000 // len(model.langs))
+    room = max(1, 4_000_000 // len(model.langs))
     while mixed:  # as many texts side by side as fit into a bounded number of words
         total = np.cumsum(lengths[mixed])
         n = max(1, int(np.searchsorted(total, room, "right")))
         group, mixed = mixed[:n], mixed[n:]
         joined = np.concatenate([np.arange(starts[i], starts[i] + lengths[i]) for i in group])
         at = np.concatenate([[0], np.cumsum(lengths[group])])
-        path = _viterbi(scores[joined], at[:-1], lengths[group], switch)
+        path = _viterbi(words.scores[rows[joined]], at[:-1], lengths[group], switch)
         paths.update((i, path[a:b]) for i, a, b in zip(group, at[:-1], at[1:]))
     out = []
     for i, (text, a, n) in enumerate(zip(texts, starts, lengths)):
-        own, weight = scores[a : a + n], sizes[a : a + n]
+        own, weight = words.scores[rows[a : a + n]], words.sizes[rows[a : a + n]]
         letters = int(weight.sum())
         if not letters:
             out.append(("und", 0.0, []))
