@@ -163,15 +163,19 @@ def _words(model: Model) -> _Words:
 
 
 def _one_language(scores: np.ndarray, switch: float) -> int:
-    """The language that labels all words on the best path, or -1.
+    """The language that labels all words on the best path, or -1 where that is not certain.
 
-    If no stretch of words favours another language over the best single one by more than switch, then the
-    single language is the best path: each stretch in other languages costs a switch or more.
+    Of paths beside the single best language: one that uses it too has as many switches as stretches in other
+    languages, or more, so it gains nothing if no stretch favours another language by more than switch. One that
+    never uses it has a switch less than stretches, of which one is a prefix and one a suffix; it gains nothing if
+    moreover the best prefix and the best suffix together do not favour others by more than switch.
     """
     best = int(scores.sum(axis=0).argmax())
     gain = np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64)
     low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-    return best if (gain[1:] - low[:-1]).max(initial=gain[0].max()) <= switch else -1
+    stretch = (gain[1:] - low[:-1]).max(initial=gain[0].max())
+    ends = max(0.0, gain.max()) + (gain[-1] - low[-1]).max()
+    return best if max(stretch, ends) <= switch else -1
 
 
 def _viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:

@@ -162,16 +162,26 @@ def draw(sized: DataFrame, sources: DataFrame, *, shards: int = 16, block_rows:
     placed = units.join(small(ranges, n_sources, 24 * shards + 16), "source_no").select("source_no", "block", "epoch", "cut", "lacks", shard.alias("shard"))
 
     rows = dealt.drop("passes", "rest").join(small(placed, n_units, 64), ["source_no", "block"])
-    # Of the cut block, documents are taken in permuted order while they fit into what the source still lacks.
+    # Of the cut block, documents are taken in permuted order up to the first that does not fit into what the
+    # source still lacks; the gap is filled by those that fit, larger ones first, and by the least one of the rest
+    # if that brings the sum nearer.
     cell = F.struct(F.xxhash64(F.lit(seed + 4), "doc_id", "digest", "copy").alias("turn"), "doc_id", "digest", "copy", "size")
     cells = rows.filter("cut").groupBy("source_no", "block", "epoch", "shard", "lacks").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    none = F.struct(F.col("lacks").alias("left"), F.filter("cells", lambda c: F.lit(False)).alias("got"))
-
-    def fit(acc, c):
-        taken = F.struct((acc["left"] - c["size"]).alias("left"), F.array_append(acc["got"], c).alias("got"))
-        return F.when(c["size"] <= acc["left"], taken).otherwise(acc)
-
-    part = cells.select("source_no", "epoch", "shard", F.explode(F.aggregate("cells", none, fit)["got"]).alias("c"))
+    none = F.filter("cells", lambda c: F.lit(False))
+
+    def fit(acc, c, until_full: bool):
+        fits = (c["size"] <= acc["left"]) & (acc["open"] if until_full else F.lit(True))
+        taken = F.struct((acc["left"] - c["size"]).alias("left"), acc["open"].alias("open"), F.array_append(acc["got"], c).alias("got"), acc["rest"].alias("rest"))
+        passed = F.struct(acc["left"].alias("left"), F.lit(False).alias("open"), acc["got"].alias("got"), F.array_append(acc["rest"], c).alias("rest"))
+        return F.when(fits, taken).otherwise(passed)
+
+    begin = lambda left, got: F.struct(left.alias("left"), F.lit(True).alias("open"), got.alias("got"), none.alias("rest"))
+    cells = cells.withColumn("a", F.aggregate("cells", begin(F.col("lacks"), none), lambda acc, c: fit(acc, c, True)))
+    larger = F.array_sort("a.rest", lambda x, y: F.when(x["size"] > y["size"], -1).when(x["size"] < y["size"], 1).when(x["turn"] < y["turn"], -1).when(x["turn"] > y["turn"], 1).otherwise(0))
+    cells = cells.withColumn("a", F.aggregate(larger, begin(F.col("a.left"), F.col("a.got")), lambda acc, c: fit(acc, c, False)))
+    least = F.element_at(F.filter("a.rest", lambda c: c["size"] > 0), -1)
+    more = F.when(F.exists("a.rest", lambda c: c["size"] > 0), F.when(least["size"] < 2 * F.col("a.left"), F.array(least))).otherwise(none)
+    part = cells.select("source_no", "epoch", "shard", F.explode(F.concat("a.got", F.coalesce(more, none))).alias("c"))
     columns = ["doc_id", "digest", "copy", "source_no", "size", "epoch", "shard"]
     taken = rows.filter("not cut").select(*columns).unionByName(part.select("c.doc_id", "c.digest", "c.copy", "source_no", "c.size", "epoch", "shard"))
     # A shard is shuffled in parts of bounded size; the slots of a part follow those of the part before.
@@ -189,8 +199,8 @@ def mix(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, weights: tuple
 
     Sizes are words. Each source is dealt by a seeded hash of the document into blocks of about block_rows
     rows, and its blocks are permuted. Its quota is counted in blocks: whole passes over all its blocks, then as
-    many permuted blocks as fit into what remains of the target, then those permuted documents of one more block
-    that fit into the rest. The block quotas are split among the output shards by
+    many permuted blocks as fit into what remains of the target, then documents of one more block that bring the
+    sum near the target. The block quotas are split among the output shards by
     split_quotas, shards draw disjoint runs of the permuted blocks, and rows are shuffled inside a shard by a
     seeded hash; slots are gapless in each shard. Only ids and sizes are shuffled. The windows over a source
     hold one row per block, and those over documents one block per source.
