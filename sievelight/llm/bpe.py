@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import base64
+import json
+import uuid
+import zlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -10,11 +13,17 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.llm.common import let
+
 #: Distinct words whose ids a worker keeps, and text (characters) after which a batch of results goes out.
 MAX_WORDS, BATCH_CHARS = 300_000, 4 << 20
+#: Rows whose words, and of those the most frequent words, Spark folds before the texts are read; longer words are left out.
+WARM_ROWS, WARM_WORDS, WARM_BYTES = 2_000, 10_000, 32
+#: Maps that the literal rank map is split into, as a lookup in one of Spark's maps goes through its entries.
+BUCKETS = 8192
 #: Pieces longer than this are folded with a heap.
 SHORT = 40
 
@@ -75,11 +84,69 @@ def _fold_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
     return [p for p in parts if p]
 
 
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The rank map as a literal: an array of maps from hex digits to ranks, by crc32 of the digits."""
+    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    for piece, rank in ranks.items():
+        digits = piece.hex().upper()
+        buckets[zlib.crc32(digits.encode()) % BUCKETS][digits] = rank
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+
+
+def fold_distinct(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(word, ids) of distinct words, by Spark's higher-order functions alone.
+
+    A word is an array of byte pieces (hex digits). As many times as it can have merges, the ranks of its adjacent
+    pairs are looked up in the literal rank map, and the leftmost pair of the least rank becomes one piece.
+    """
+    table = rank_map(ranks)
+
+    def rank(piece: Column) -> Column:
+        return F.element_at(table, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int") + 1)[piece]
+
+    def merge(parts: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: rank(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))))
+
+        def joined(costs: Column) -> Column:
+            at = F.array_position(costs, F.array_min(costs)).cast("int")
+            pair = F.concat(F.element_at(parts, at), F.element_at(parts, at + 1))
+            after = F.slice(parts, at + 2, F.greatest(F.size(parts) - at - 1, F.lit(0)))
+            return F.when(F.array_min(costs).isNull(), parts).otherwise(F.concat(F.slice(parts, 1, at - 1), F.array(pair), after))
+
+        return F.when(F.size(parts) < 2, parts).otherwise(let(pairs, joined))
+
+    whole = F.hex(F.col("word").cast("binary"))
+    parts = F.regexp_extract_all(whole, F.lit(".."), F.lit(0))
+    folded = F.when(F.size(parts) < 2, parts).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(parts) - 1), parts, lambda acc, _: merge(acc)))
+    ids = F.when(rank(whole).isNotNull(), F.array(rank(whole))).otherwise(F.transform(folded, rank))
+    return words.select("word", ids.alias("ids"))
+
+
+def java_pattern(pattern: str) -> str:
+    r"""The pattern for Java, whose \s knows ASCII alone."""
+    space = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+    return pattern.replace(r"[^\s", f"[^{space}").replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]")
+
+
+def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> dict[str, tuple[int, ...]]:
+    """Ids of the most frequent words of some rows: at most WARM_WORDS of at most about WARM_ROWS rows.
+
+    They only save work: whatever they lack or hold, ids are the same. Other words are folded where they come up.
+    """
+    total = docs.count()
+    if not total:
+        return {}
+    some = docs.filter(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 20)) < min(1.0, WARM_ROWS / total) * (1 << 20))
+    words = some.select(F.explode(F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0))).alias("word")).groupBy("word").count()
+    top = words.filter(F.octet_length("word").between(1, WARM_BYTES)).orderBy(F.desc("count"), "word").limit(WARM_WORDS)
+    return {r["word"]: tuple(r["ids"]) for r in fold_distinct(top.repartition(16), ranks).collect()}
+
+
 class _Words(dict):
     """Word -> ids, folded when a word comes for the first time."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
+    def __init__(self, ranks: dict[bytes, int], known: dict[str, tuple[int, ...]]):
+        super().__init__(known)
         self.ranks = ranks
 
     def __missing__(self, word: str) -> tuple[int, ...]:
@@ -93,18 +160,18 @@ _OPEN: dict = {}  # what a worker keeps from task to task: by broadcast id, the
 def _opened(shipped) -> tuple[_Words, list[bytes]]:
     found = _OPEN.get(shipped.id)
     if found is None or len(found[0]) > MAX_WORDS:
-        ranks = shipped.value
+        ranks, known = shipped.value
         pieces = found[1] if found else [b""] * (max(ranks.values()) + 1)
         if not found:
             for piece, rank in ranks.items():
                 pieces[rank] = piece
         _OPEN.clear()
-        found = _OPEN[shipped.id] = (_Words(ranks), pieces)
+        found = _OPEN[shipped.id] = (_Words(ranks, known), pieces)
     return found
 
 
 class _Shipped:
-    """A broadcast rank map with an id that is the same in every task."""
+    """The broadcast rank map and frequent words, with an id that is the same in every task."""
 
     def __init__(self, held, key):
         self.held, self.id = held, key
@@ -117,16 +184,19 @@ class _Shipped:
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int) and decoded (binary: the pieces of those ids, concatenated) for every row and whole text.
 
-    Each match of pattern is encoded by itself, without special tokens. Distinct words are folded once in a
-    worker, up to MAX_WORDS of them at a time, and looked up after that. The rank map is read on the driver and
-    broadcast; its size is that of the vocabulary and does not grow with the data. Decoding knows only the ids.
+    Each match of pattern is encoded by itself, without special tokens. The most frequent words are folded by
+    Spark (frequent_words) and broadcast with the rank map: both have a bounded size. Any other word is folded
+    by the same merges in the worker that meets it, and kept, up to MAX_WORDS of them at a time. Joining all
+    occurrences of words to a table of all distinct words would shuffle each text several times over. Decoding
+    knows only the ids.
 
     Null text encodes like the empty one: no ids, no bytes. Repeated rows are encoded each; other columns are
     ignored; an empty table gives no rows. Nothing is shuffled.
     """
     ranks = read_ranks(ranks_path)
-    held = docs.sparkSession.sparkContext.broadcast(ranks)
-    shipped = _Shipped(held, (ranks_path, len(ranks), hash(frozenset(ranks.items()))))
+    known = frequent_words(docs, ranks, pattern)
+    held = docs.sparkSession.sparkContext.broadcast((ranks, known))
+    shipped = _Shipped(held, uuid.uuid4().hex)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

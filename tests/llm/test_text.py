@@ -36,6 +36,17 @@ def test_bpe_equals_the_library_and_round_trips(make_docs, small_docs):
     assert bpe.round_trip(small_docs.limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_higher_order_fold_equals_the_plain_one(spark, small_docs):
+    import regex
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    words = {w for r in small_docs.limit(40).collect() for w in regex.findall(public_tokenizers.PATTERN, r["text"])} | {"é", " ", "\n\n", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "\x00"}
+    got = {r["word"]: r["ids"] for r in bpe.fold_distinct(spark.createDataFrame([(w,) for w in sorted(words)], "word string"), ranks).collect()}
+    assert got == {w: [ranks[p] for p in bpe.fold_merges(w.encode(), ranks)] for w in words}
+    found = bpe.frequent_words(small_docs, ranks, public_tokenizers.PATTERN)
+    assert found and all(list(v) == [ranks[p] for p in bpe.fold_merges(k.encode(), ranks)] for k, v in list(found.items())[:2000])
+
+
 def test_long_words_fold_alike():
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rng = np.random.default_rng(0)
