@@ -87,5 +87,26 @@ FROM d
 """
 
 
+def _secret_arm(no: int, rule: secret_scan.Rule) -> str:
+    """Spans of one rule: places from the pieces between matches and the matches before."""
+    p = "'" + rule.pattern.replace("'", "''") + "'"
+    start = "list_sum(list_transform(pieces[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0)"
+    keep = f"WHERE length(regexp_extract(found[k], {p}, 2)) >= 6" if rule.kind == "assign" else ""
+    return f"""SELECT doc_id, {no} AS no, '{rule.kind}' AS kind, CAST({start} AS BIGINT) AS a, CAST({start} + length(found[k]) AS BIGINT) AS b FROM (
+      SELECT doc_id, pieces, found, unnest(range(1, len(found) + 1)) AS k FROM (
+        SELECT doc_id, string_split_regex(text, {p}) AS pieces, regexp_extract_all(text, {p}, 0) AS found FROM documents WHERE regexp_matches(text, {p})) x) y {keep}"""
+
+
+OP6_SQL = f"""
+WITH s AS ({" UNION ALL ".join(_secret_arm(no, r) for no, r in enumerate(secret_scan.RULES))}),
+t AS (SELECT doc_id, no, kind, a, concat(kind, ':', CAST(a AS VARCHAR), ':', CAST(b AS VARCHAR)) AS tag FROM s)
+SELECT d.doc_id,
+       count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(tag, ',' ORDER BY a, no) FILTER (no < 3), '')) AS base_sha256,
+       coalesce(string_agg(tag, ',' ORDER BY a, no), '') AS spans
+FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op6_secrets": OP6_SQL}

@@ -1,0 +1,44 @@
+"""Queries of the training-data operators: those with SQL equal it; all read whole tables and have their contracts' columns."""
+
+import duckdb
+import pytest
+
+import __spark_entry__
+from sievelight.llm import queries
+
+COLUMNS = {
+    "op1_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op2_exact_dedup": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
+    "op3_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    "op4_quality": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op5_nearest": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
+    "op6_secrets": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
+    "op7_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op8_sharding": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op9_pii": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
+    "op10_mixing": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_columns_and_rows(spark, sf_dir, name):
+    df = queries.queries()[name](spark, sf_dir)
+    kinds = dict(df.dtypes)
+    assert {c: kinds.get(c) for c in COLUMNS[name]} == COLUMNS[name]
+    if name != "op5_nearest":
+        assert df.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    cols = sorted(want.columns)
+    got = [tuple(r[c] for c in cols) for r in queries.queries()[name](spark, sf_dir).collect()]
+    assert sorted(got) == sorted(con.sql(f"select {', '.join(cols)} from ({queries.oracle_sql()[name]}) x").fetchall())
+
+
+def test_all_are_registered():
+    names = __spark_entry__.queries()
+    assert set(COLUMNS) | {"pipeline"} <= set(names)

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sievelight.llm import ann, exact_dedup, mixing, simhash
@@ -60,6 +61,10 @@ def test_pipeline_stages(spark, sf_dir):
     by_id = {r["doc_id"]: r["text"] for r in docs.collect()}
     left = set(by_id) - {r["doc_id"] for r in kept.collect()}
     assert all(not re.search(r"[^\W\d_]", by_id[i] or "") for i in left)
+    foreign = docs.limit(5).withColumn("doc_id", docs["doc_id"] + 10**6).withColumn("text", F.lit("Привет, мир")).withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, docs.unionByName(foreign), sf_dir).filter("doc_id >= 1000000").count() == 0
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, unlabelled, sf_dir).count() == docs.count()
     exact = corpus_pipeline.exact(spark, docs, sf_dir)
     want = {r["doc_id"] for r in exact_dedup.assign_groups(docs).filter("kept").collect()}
     assert {r["doc_id"] for r in exact.collect()} == want and exact.count() == len(want)
