@@ -53,25 +53,46 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
+def _packed(points: np.ndarray, n: int) -> np.ndarray:
+    """Each run of n code points as one integer; runs of other lengths never come out alike, as code points have 21 bits."""
+    out = points[: len(points) - n + 1].copy()
+    for k in range(1, n):
+        out = (out << 21) | points[k : len(points) - n + 1 + k]
+    return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
 class Model:
-    """Languages by share, log chances of n-grams (row 0: of one not seen), and the languages that use each script."""
+    """Languages by share, log chances of n-grams, and the languages that use each script.
+
+    grams are the packed n-grams in order; chances has a row for each, after row 0 for one that was not seen.
+    """
 
-    def __init__(self, langs: list[str], grams: dict[str, int], chances: np.ndarray, scripts: dict[str, np.ndarray]):
+    def __init__(self, langs: list[str], grams: np.ndarray, chances: np.ndarray, scripts: dict[str, np.ndarray]):
         self.langs, self.grams, self.chances, self.scripts = langs, grams, chances, scripts
         self.key = uuid.uuid4().hex
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """A row for each word of letters: the log chance of each language, over the languages that use its script."""
-        get, rows, ends = self.grams.get, [], []
-        for word in words:
-            w = f"^{word.lower()}$"
-            n = len(w)
-            rows += [get(g, 0) for g in w[1:-1]]
-            rows += [get(w[i : i + 2], 0) for i in range(n - 1)]
-            rows += [get(w[i : i + 3], 0) for i in range(n - 2)]
-            ends.append(len(rows))
+        padded = [f"^{w.lower()}$" for w in words]
+        sizes = np.array([len(w) for w in padded])
+        points = _points("".join(padded))
+        ends = np.cumsum(sizes)
+        left = np.repeat(ends, sizes) - np.arange(len(points))  # characters from here to the word's end
         k = len(self.langs)
-        total = np.add.reduceat(self.chances[rows], [0, *ends[:-1]], axis=0, dtype=np.float64)
+        total = np.zeros((len(words), k))
+        for n in range(1, ORDER + 1):
+            inside = left[: len(points) - n + 1] >= n
+            if n == 1:  # single letters without the edges
+                inside = (left > 1) & (left < np.repeat(sizes, sizes))
+            keys = _packed(points, n)[inside]
+            at = np.minimum(np.searchsorted(self.grams, keys), len(self.grams) - 1)
+            rows = np.where(self.grams[at] == keys, at + 1, 0)
+            counts = sizes - 2 if n == 1 else sizes - n + 1
+            total += np.add.reduceat(self.chances[rows], np.cumsum(counts) - counts, axis=0, dtype=np.float64)
         anywhere = np.ones(k, bool)
         scripts = [script_of(w[0]) for w in words]
         total = np.where([self.scripts.get(x, anywhere) for x in scripts], total, -np.inf)
@@ -109,10 +130,14 @@ def learn(docs: DataFrame, *, max_train: int = MAX_TRAIN, max_grams: int = MAX_G
     grams = words.select("lang", "count", F.explode(F.concat(*map(pieces, range(1, ORDER + 1)))).alias("g")).groupBy("lang", "g").agg(F.sum("count").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "g")
     kept = grams.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max(500, min(max_grams, 1_000_000 // len(langs)))).select("lang", "g", "n").collect()
+    if not kept:  # labelled texts without a letter
+        return None
     firsts = letters.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "c"))).filter("r <= 1000").collect()
 
     at = {lang: i for i, lang in enumerate(langs)}
-    table = {g: i + 1 for i, g in enumerate(sorted({r["g"] for r in kept}))}
+    table = {g: 0 for g in {r["g"] for r in kept}}
+    pack = {g: int(_packed(_points(g), len(g))[0]) for g in table}
+    table = {g: i + 1 for i, g in enumerate(sorted(table, key=pack.__getitem__))}
     seen = np.zeros((len(table) + 1, len(langs)))
     for r in kept:
         seen[table[r["g"]], at[r["lang"]]] += r["n"]
@@ -128,7 +153,7 @@ def learn(docs: DataFrame, *, max_train: int = MAX_TRAIN, max_grams: int = MAX_G
     all_letters = sum(uses.values(), np.zeros(len(langs)))
     # A language uses a script in which it writes a hundredth of its words or more; a script that none uses so stands open to those that have it.
     scripts = {s: (v >= 0.01 * np.maximum(all_letters, 1)) if (v >= 0.01 * np.maximum(all_letters, 1)).any() else v > 0 for s, v in uses.items()}
-    return Model(langs, table, chances.astype(np.float32), scripts)
+    return Model(langs, np.array([pack[g] for g in table], np.int64), chances.astype(np.float32), scripts)
 
 
 class _Words(dict):
@@ -146,7 +171,7 @@ class _Words(dict):
         if new:
             self.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
             own = [letters[w] for w in new]
-            blocks = [self.model.word_scores(own[i : i + 20_000]).astype(np.float32) for i in range(0, len(own), 20_000)]
+            blocks = [self.model.word_scores(own[i : i + 10_000]).astype(np.float32) for i in range(0, len(own), 10_000)]
             self.scores = np.concatenate([self.scores, *blocks])
             self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in own], np.int32)])
 
