@@ -49,10 +49,15 @@ def headline_counts(findings: DataFrame) -> DataFrame:
 
 
 def top_findings_per_severity(findings: DataFrame, n: int = 10) -> DataFrame:
-    """The first n findings of each repository and severity, with their place and how many more there are."""
-    group = Window.partitionBy("repo", "severity")
-    rows = findings.withColumn("place", F.row_number().over(group.orderBy("detector_rank", "seq", "file", "line", "id"))).withColumn("more", F.greatest(F.count(F.lit(1)).over(group) - n, F.lit(0)))
-    return rows.filter(F.col("place") <= n)
+    """The first n findings of each repository and severity, with their place and how many more there are.
+
+    Tasks drop what is beyond their own first n before the shuffle, and counts are combined before theirs, so a
+    repository with very many findings does not meet in one task.
+    """
+    order = Window.partitionBy("repo", "severity").orderBy("detector_rank", "seq", "file", "line", "id")
+    first = findings.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+    counts = findings.groupBy("repo", "severity").agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("more"))
+    return first.join(counts, ["repo", "severity"]).select(*findings.columns, "place", "more")
 
 
 def severity_sorted_report(findings: DataFrame) -> DataFrame:
