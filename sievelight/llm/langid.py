@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain
@@ -18,8 +17,8 @@ from pyspark.sql import Window
 
 from sievelight.llm.common import materialize
 
-#: Bounds of the model: labelled rows read of each language, languages, n-grams kept of each, words kept in a worker.
-MAX_TRAIN, MAX_LANGS, MAX_GRAMS, MAX_WORDS = 2000, 200, 20_000, 200_000
+#: Bounds of the model: labelled rows read of each language, languages, n-grams kept of each, words kept in a task.
+MAX_TRAIN, MAX_LANGS, MAX_GRAMS, MAX_WORDS = 2000, 200, 20_000, 100_000
 #: Longest n-gram, cost of a switch of language (nats), and share of each word's chance that goes to all languages alike.
 ORDER, SWITCH, NOISE = 3, 10.0, 0.02
 
@@ -73,7 +72,6 @@ class Model:
 
     def __init__(self, langs: list[str], grams: np.ndarray, chances: np.ndarray, scripts: dict[str, np.ndarray]):
         self.langs, self.grams, self.chances, self.scripts = langs, grams, chances, scripts
-        self.key = uuid.uuid4().hex
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """A row for each word of letters: the log chance of each language, over the languages that use its script."""
@@ -159,10 +157,10 @@ def learn(docs: DataFrame, *, max_train: int = MAX_TRAIN, max_grams: int = MAX_G
 class _Words(dict):
     """Word -> row of a matrix of scores; row 0, which favours none, is for matches without letters."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model | None):
         super().__init__()
         self.model = model
-        self.scores, self.sizes = np.zeros((1, len(model.langs)), np.float32), np.zeros(1, np.int32)
+        self.scores, self.sizes = np.zeros((1, len(model.langs) if model else 1), np.float32), np.zeros(1, np.int32)
 
     def add(self, words: set[str]) -> None:
         letters = {w: _letters(w) for w in words - self.keys()}
@@ -176,17 +174,6 @@ class _Words(dict):
             self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in own], np.int32)])
 
 
-_OPEN: dict[str, _Words] = {}  # one model's words in a worker
-
-
-def _words(model: Model) -> _Words:
-    found = _OPEN.get(model.key)
-    if found is None or len(found) > MAX_WORDS:
-        _OPEN.clear()
-        found = _OPEN[model.key] = _Words(model)
-    return found
-
-
 def _one_language(scores: np.ndarray, switch: float) -> int:
     """The language that labels all words on the best path, or -1 where that is not certain.
 
@@ -237,9 +224,9 @@ def _viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch
     return path
 
 
-def label(texts: list[str | None], model: Model, switch: float = SWITCH) -> list[tuple[str, float, list]]:
-    """(language, score, spans) of each text."""
-    words = _words(model)
+def label(texts: list[str | None], words: _Words, switch: float = SWITCH) -> list[tuple[str, float, list]]:
+    """(language, score, spans) of each text; words keeps the scores of words seen before."""
+    model = words.model
     parts, lengths = [], []
     for at in range(0, len(texts), 64):  # the words themselves are held for a few texts at a time
         found = [_WORD.findall(t) if t else [] for t in texts[at : at + 64]]
@@ -282,7 +269,7 @@ def label(texts: list[str | None], model: Model, switch: float = SWITCH) -> list
     return out
 
 
-def _parts(batch: pa.RecordBatch, column: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about size bytes of text, or one row if that is longer."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
@@ -311,10 +298,13 @@ def annotate(docs: DataFrame, model: Model | None, *, switch: float = SWITCH) ->
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words(model)
         for batch in frames:
             for rows in _parts(batch, at):
+                if len(words) > MAX_WORDS:
+                    words = _Words(model)
                 texts = rows.column(at).to_pylist()
-                found = label(texts, model, switch) if model is not None else [("und", 0.0, [])] * len(texts)
+                found = label(texts, words, switch) if model is not None else [("und", 0.0, [])] * len(texts)
                 spans = pa.array([[{"start": a, "end": b, "lang": c} for a, b, c in x[2]] for x in found], span)
                 own = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *own], schema.names)
