@@ -18,8 +18,8 @@ def version_key(version: Column) -> Column:
 
     Missing parts count as 0, build metadata is dropped, and text without a number gives null.
     """
-    plain = F.regexp_replace(F.trim(version), r"\+.*$", "")
-    part = lambda i: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(plain, _VERSION, i), F.lit("")), F.lit("99999999999999999")).cast("long"), F.lit(0))
+    plain = F.substring_index(F.trim(version), "+", 1)
+    part = lambda i: F.coalesce(F.regexp_extract(plain, _VERSION, i).try_cast("long"), F.lit(0))
     pre = F.regexp_extract(plain, _VERSION, 4)
     key = F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"), F.when(pre == "", 1).otherwise(0).alias("is_release"), pre.alias("pre"))
     return F.when(F.rlike(plain, F.lit(r"^[vV=\s]*[0-9]")), key)

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.functions.regex import ascii_words
+from sievelight.functions.regex import any_of, ascii_words
 from sievelight.schema import RANKS, as_findings
 
 INJECTION, CRYPTO, CONFIG = "A03:2021 Injection", "A02:2021 Cryptographic Failures", "A05:2021 Security Misconfiguration"
@@ -94,7 +94,7 @@ def lines_of(content: Column) -> Column:
 
 def line_patterns(files: DataFrame, rules: list[Rule] = LINE_RULES) -> DataFrame:
     """At most one finding per rule and line. Lines that no rule matches are dropped before they become rows."""
-    any_rule = F.lit("|".join(f"(?:{java(r)})" for r in rules))
+    any_rule = F.lit(any_of([r.pattern for r in rules]))
     numbered = F.transform(lines_of(F.col("content")), lambda text, i: F.struct((i + 1).cast("int").alias("line"), text.alias("text")))
     hits = files.filter(F.rlike("content", any_rule)).select("repo", "file", F.explode(F.filter(numbered, lambda x: F.rlike(x["text"], any_rule))).alias("l"))
     tested = F.filter(F.array(*[F.when(F.rlike("l.text", F.lit(java(r))), _rule_struct(r, no)) for no, r in enumerate(rules)]), lambda r: r.isNotNull())

@@ -42,7 +42,7 @@ def _items(reports: DataFrame, schema: str, *fields: str) -> DataFrame:
 
 
 def _line(c: Column) -> Column:
-    return F.nullif(F.try_to_number(c, F.lit("999999999")).cast("int"), F.lit(0))
+    return F.nullif(c.try_cast("int"), F.lit(0))
 
 
 def normalize_bandit(reports: DataFrame, root: str = "/work") -> DataFrame:
