@@ -181,20 +181,20 @@ class _Shipped:
         return self.held.value
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, warm: bool = False) -> DataFrame:
     """doc_id, ids (array of int) and decoded (binary: the pieces of those ids, concatenated) for every row and whole text.
 
-    Each match of pattern is encoded by itself, without special tokens. The most frequent words are folded by
-    Spark (frequent_words) and broadcast with the rank map: both have a bounded size. Any other word is folded
-    by the same merges in the worker that meets it, and kept, up to MAX_WORDS of them at a time. Joining all
-    occurrences of words to a table of all distinct words would shuffle each text several times over. Decoding
-    knows only the ids.
+    Each match of pattern is encoded by itself, without special tokens. A distinct word is folded once in the
+    worker that meets it, and kept, up to MAX_WORDS of them at a time. The rank map is read on the driver and
+    broadcast; its size is that of the vocabulary. With warm, the most frequent words are folded by Spark's
+    higher-order functions beforehand (frequent_words) and broadcast too. Joining all occurrences of words to a
+    table of all distinct words would shuffle each text several times over. Decoding knows only the ids.
 
     Null text encodes like the empty one: no ids, no bytes. Repeated rows are encoded each; other columns are
     ignored; an empty table gives no rows. Nothing is shuffled.
     """
     ranks = read_ranks(ranks_path)
-    known = frequent_words(docs, ranks, pattern)
+    known = frequent_words(docs, ranks, pattern) if warm else {}
     held = docs.sparkSession.sparkContext.broadcast((ranks, known))
     shipped = _Shipped(held, uuid.uuid4().hex)
     kind = docs.schema["doc_id"].dataType.simpleString()
