@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sievelight.llm.common import let
 
 #: Distinct words whose ids a worker keeps, and text (characters) after which a batch of results goes out.
-MAX_WORDS, BATCH_CHARS = 120_000, 2 << 20
+MAX_WORDS, BATCH_CHARS = 300_000, 2 << 20
 #: Rows whose words, and of those the most frequent words, Spark folds before the texts are read; longer words are left out.
 WARM_ROWS, WARM_WORDS, WARM_BYTES = 2_000, 10_000, 32
 #: Maps that the literal rank map is split into, as a lookup in one of Spark's maps goes through its entries.
