@@ -8,14 +8,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sievelight.llm.common import materialize, small
+from sievelight.llm.common import NON_SPACE, materialize, small
 from sievelight.llm.components import connected_components
 
 SEED = 42
+#: The wide search: 32-bit SimHashes of a text, and bits of each that are flipped in turn, the least certain ones.
+TABLES, FLIPS = 32, 8
+#: Bits of all tables in which candidates may differ. At a resemblance of 0.8 each bit differs with a chance of 0.15 to 0.2.
+FAR_BITS = TABLES * 32 * 3 // 10
 
 
 def _fingerprint(text: bytes | None, width: int) -> int:
@@ -65,6 +69,18 @@ def ball_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
 
 
+def _grouped(fps: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of the rows of fps(doc_id, fp), joined by links(a, b) between fingerprints."""
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = materialize(connected_components(links), "simhash-roots")
+    linked = nodes.join(small(roots, roots.count(), 32), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = materialize(linked, "simhash-linked")
+    names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written out, so that the last join reads plain exchanges and Spark can split a hot fingerprint.
+    named = materialize(linked.join(materialize(names, "simhash-names"), "root").select("fp", "component_id"), "simhash-named")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
 def near_groups(docs: DataFrame, *, shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links, itself included).
 
@@ -74,15 +90,104 @@ def near_groups(docs: DataFrame, *, shingle_words: int = 3, max_bits: int = 2) -
     empty table gives no rows; other columns are ignored.
     """
     fps = materialize(fingerprints(docs, shingle_words), "simhash-fps")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(ball_links(nodes.select("fp"), max_bits))
-    roots = materialize(roots, "simhash-roots")
-    linked = nodes.join(small(roots, roots.count(), 32), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = materialize(linked, "simhash-linked")
-    names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    # Written out, so that the last join reads plain exchanges and Spark can split a hot fingerprint.
-    named = materialize(linked.join(materialize(names, "simhash-names"), "root").select("fp", "component_id"), "simhash-named")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    links = ball_links(fps.select("fp").distinct(), max_bits)
+    return _grouped(fps, links).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """Hashes of the different shingles, ascending; a text of fewer words is one shingle."""
+    words = text.split()
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype="<u8"))
+
+
+def _sketch(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """Bits of all tables by majority over the shingles, and the FLIPS bits of each table with the closest votes."""
+    words = np.arange(1, TABLES // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(TABLES * 32, dtype=np.int64)
+    for at in range(0, len(hashes), 4080):  # blocks: a very long text needs no more memory than these
+        z = hashes[at : at + 4080, None] + words
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        bits = np.unpackbits(z.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        for part in range(0, len(bits), 255):  # as many rows as a byte can count
+            ones += bits[part : part + 255].sum(axis=0, dtype=np.uint8)
+    votes = 2 * ones - len(hashes)
+    low = np.argsort(np.abs(votes).reshape(TABLES, 32), axis=1, kind="stable")[:, :FLIPS]
+    return np.packbits(votes > 0, bitorder="little").tobytes(), low.astype(np.uint8).tobytes()
+
+
+def _words(text: Column) -> Column:
+    """The words in lower case (ASCII alone) with one space between them; null is the empty text."""
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.concat_ws(" ", F.regexp_extract_all(lower, F.lit(f"({NON_SPACE}+)")))
+
+
+def resemblance_links(docs: DataFrame, *, shingle_words: int = 5, resemblance: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, fp being a hash of its words, and links (a, b) of fps whose shingles resemble each other.
+
+    Each text has TABLES independent 32-bit SimHashes. Balls of radius one around each, over the bits whose votes
+    were closest and that a change flips first, meet on shared variants. Neighbours in a bucket and its first member
+    are candidates; those that differ in at most FAR_BITS of all bits are verified: the Jaccard resemblance of the
+    sets of shingles decides. Only shingles of candidates are shuffled.
+    """
+
+    def sketches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            hashes = [_shingle_hashes(t.as_py(), shingle_words) for t in batch.column(1)]
+            made = [_sketch(h) for h in hashes]
+            columns = [pa.array([len(h) for h in hashes], pa.int64()), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["fp", "n", "sketch", "low"])
+
+    def variants(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = np.arange(TABLES, dtype=np.int64)[None, :, None] << 32
+        for batch in frames:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                base = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u4").reshape(-1, TABLES, 1).astype(np.int64)
+                low = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, TABLES, FLIPS).astype(np.int64)
+                ball = np.concatenate([base, base ^ (np.int64(1) << low)], axis=2) | tables
+                fp = np.repeat(part.column(0).to_numpy(zero_copy_only=False), TABLES * (FLIPS + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ball.reshape(-1)), pa.array(fp)], ["variant", "fp"])
+
+    def close(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, TABLES * 4) for i in (2, 3))
+            near = np.unpackbits(a ^ b, axis=1).sum(axis=1) <= FAR_BITS
+            yield batch.select([0, 1]).filter(pa.array(near))
+
+    def shingles(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            sets = pa.array((_shingle_hashes(t.as_py(), shingle_words).view("<i8") for t in batch.column(1)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["fp", "shingles"])
+
+    texts = docs.select("doc_id", _words(F.col("text")).alias("words")).select("doc_id", F.xxhash64("words").alias("fp"), F.col("words").cast("binary").alias("words"))
+    fps = materialize(texts.select("doc_id", "fp"), "simhash-fps")
+    made = materialize(texts.select("fp", "words").mapInArrow(sketches, "fp long, n long, sketch binary, low binary").dropDuplicates(["fp"]), "simhash-sketches")
+    bucket = Window.partitionBy("variant").orderBy("fp")
+    first = F.first("fp").over(bucket)
+    balls = made.select("fp", "sketch", "low").mapInArrow(variants, "variant long, fp long")
+    met = balls.select("fp", F.array_distinct(F.array_compact(F.array(F.lag("fp").over(bucket), F.lag("fp", 2).over(bucket), first))).alias("others"))
+    pairs = met.select(F.explode("others").alias("a"), F.col("fp").alias("b")).filter("a != b").distinct()
+    pairs = materialize(pairs, "simhash-pairs")
+    for side in "ab":
+        pairs = pairs.join(made.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+    alike = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * resemblance
+    pairs = materialize(pairs.filter(alike).select("a", "b", "s_a", "s_b").mapInArrow(close, "a long, b long"), "simhash-close")
+    ask = materialize(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "simhash-ask")
+    asked = texts.join(small(ask, ask.count(), 16), "fp", "left_semi").select("fp", "words").mapInArrow(shingles, "fp long, shingles array<long>")
+    sets = materialize(asked.groupBy("fp").agg(F.first("shingles").alias("shingles")), "simhash-shingles")
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("fp").alias(side), F.col("shingles").alias(f"s_{side}")), side)
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return fps, pairs.filter(common >= (F.size("s_a") + F.size("s_b") - common) * resemblance).select("a", "b")
+
+
+def resembling_groups(docs: DataFrame, *, shingle_words: int = 5, resemblance: float = 0.8) -> DataFrame:
+    """doc_id, component_id by the links of resemblance_links; rows, ids and nulls are treated as in near_groups."""
+    fps, links = resemblance_links(docs, shingle_words=shingle_words, resemblance=resemblance)
+    return _grouped(fps, links).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, *, shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
@@ -91,6 +196,14 @@ def keep_one(docs: DataFrame, *, shingle_words: int = 3, max_bits: int = 2) -> D
     The ids that leave are broadcast if their measured number is small, and joined by shuffle otherwise. Rows
     without an id stay. Where an id is repeated, its rows leave together if one of them does.
     """
-    groups = near_groups(docs, shingle_words=shingle_words, max_bits=max_bits)
+    return _smallest(docs, near_groups(docs, shingle_words=shingle_words, max_bits=max_bits))
+
+
+def keep_one_resembling(docs: DataFrame, *, shingle_words: int = 5, resemblance: float = 0.8) -> DataFrame:
+    """docs without near copies, as keep_one leaves them, by the groups of resembling_groups."""
+    return _smallest(docs, resembling_groups(docs, shingle_words=shingle_words, resemblance=resemblance))
+
+
+def _smallest(docs: DataFrame, groups: DataFrame) -> DataFrame:
     leave = materialize(groups.filter("doc_id != component_id").select("doc_id").distinct(), "simhash-leave")
     return docs.join(small(leave, leave.count(), 32), "doc_id", "left_anti").select(*docs.columns)
