@@ -52,18 +52,12 @@ def base_spans(text: Column) -> list[tuple[str, Column]]:
     ]
 
 
-def _shape(value: Column) -> Column:
-    """Form of an identifier: which kinds of characters it has."""
-    return F.concat(*[F.when(F.rlike(value, F.lit(p)), F.lit(c)).otherwise(F.lit("")) for p, c in (("[0-9]", "9"), ("[a-z]", "a"), ("[A-Z]", "A"), ("@", "@"), (r"\.", "."), ("[+() /_-]", "-"))])
-
-
 def _occurrence(text: Column, s: Column, kind: Column) -> Column:
-    """Place, value and lexical patterns of a span: the words before it (one, and two) with its shape."""
+    """Place, value and lexical patterns of a span: the words before it, one and two, whatever its shape."""
     before = F.lower(F.substr(text, F.greatest(F.lit(1), s["start"] + 1 - REACH), F.least(s["start"], F.lit(REACH))))
     one = F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
     two = F.regexp_extract(before, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-    shape = _shape(s["value"])
-    patterns = F.transform(F.filter(F.array(one, two), lambda p: p != ""), lambda p: F.concat(F.regexp_replace(p, r"[0-9]+", "0"), F.lit("\x01"), shape))
+    patterns = F.transform(F.filter(F.array(one, two), lambda p: p != ""), lambda p: F.regexp_replace(p, r"[0-9]+", "0"))
     return F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"), F.xxhash64(s["value"]).alias("instance"), F.array_distinct(patterns).alias("patterns"))
 
 
@@ -82,33 +76,37 @@ def extract(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("key"), spans.kinds(named).alias("base"), seen.alias("seen"))
 
 
-def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """edges(pattern, instance, seed) -> (pattern, score, seeds), by turns over the pattern-instance graph.
 
-    Known entities score 1. A pattern scores the mean of its instances; an unknown instance scores as its best
-    pattern that has met MIN_SEEDS known entities. Sums are combined before each shuffle, and each round is
-    written to the shared folder. A pattern or instance that most rows share is one row on one side of a join.
+    A pattern scores the share of seeds among its instances, of which an unknown one is not asked about itself.
+    Patterns of min_score or more with min_seeds seeds promote their unknown instances to seeds of the next round, so
+    that these teach other patterns; a promoted instance votes for a pattern only if another one promotes it too.
+    Sums are combined before each shuffle, and each round is written to the shared folder. A pattern or instance
+    that most rows share is one row on one side of a join.
     """
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
-    patterns = None
+    votes, patterns = edges.withColumn("vote", F.col("seed")), None
     for turn in range(rounds):
-        patterns = scored.groupBy("pattern").agg(F.avg("score").alias("score"), F.sum("seed").alias("seeds"))
-        patterns = materialize(patterns.filter(F.col("seeds") > 0), "pii-patterns")
+        counted = votes.groupBy("pattern").agg(F.sum("vote").alias("seeds"), F.count(F.lit(1)).alias("n")).filter("seeds > 0")
+        score = F.col("seeds") / F.when(F.col("n") > F.col("seeds"), F.col("n") - 1).otherwise(F.col("n"))
+        patterns = materialize(counted.select("pattern", score.alias("score"), "seeds"), "pii-patterns")
         if turn + 1 < rounds:
-            trusted = patterns.filter(F.col("seeds") >= MIN_SEEDS).select("pattern", F.col("score").alias("of"))
-            best = edges.filter("seed = 0").join(trusted, "pattern").groupBy("instance").agg(F.max("of").alias("best"))
-            best = materialize(best, "pii-instances")
-            scored = edges.join(best, "instance", "left").withColumn("score", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))).drop("best")
+            trusted = patterns.filter((F.col("score") >= min_score) & (F.col("seeds") >= min_seeds)).select("pattern", F.lit(1).alias("own"))
+            trusted = small(trusted, trusted.count(), 96)
+            promoted = edges.filter("seed = 0").join(trusted, "pattern").groupBy("instance").agg(F.count(F.lit(1)).alias("by"))
+            promoted = materialize(promoted, "pii-instances")
+            others = F.coalesce("by", F.lit(0)) - F.coalesce("own", F.lit(0))
+            votes = edges.join(promoted, "instance", "left").join(trusted, "pattern", "left").select("pattern", F.when(F.col("seed") == 1, 1).otherwise((others > 0).cast("int")).alias("vote"))
     return patterns
 
 
 def find(docs: DataFrame, *, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """doc_id, base and spans: arrays of (start, no, end, kind) by start and then by kind.
 
-    Base spans are the seeds. The words before an entity, one and two of them, with the entity's shape make
-    lexical patterns; other tokens that look like identifiers are instances of theirs. Spark scores the graph of
-    patterns and instances in rounds. Patterns of min_score or more that met min_seeds different known entities
-    add the unknown tokens they stand before, as spans of kind `context`.
+    Base spans are the first seeds. The words before an entity, one and two of them, make lexical patterns; other
+    tokens that look like identifiers, of any shape, are instances of theirs. Spark scores the graph of patterns
+    and instances in rounds, each of which promotes what its patterns discover to seeds. Patterns of min_score or more
+    that met min_seeds different seeds add the unknown tokens they stand before, as spans of kind `context`.
 
     Null text is the empty one. Each row gives one row, repeated ids and rows too; spans found by context are
     joined back by id and text. Texts are read once and never shuffled. Other columns are ignored; an empty
@@ -118,7 +116,7 @@ def find(docs: DataFrame, *, rounds: int = ROUNDS, min_score: float = MIN_SCORE,
     seen = read.select("doc_id", "key", F.explode("seen").alias("s"))
     pairs = seen.select(F.explode("s.patterns").alias("pattern"), F.col("s.instance").alias("instance"), F.col("s.kind").isNotNull().cast("int").alias("seed"))
     edges = materialize(pairs.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
-    trusted = score_patterns(edges, rounds).filter((F.col("score") >= min_score) & (F.col("seeds") >= min_seeds)).select("pattern")
+    trusted = score_patterns(edges, rounds, min_score, min_seeds).filter((F.col("score") >= min_score) & (F.col("seeds") >= min_seeds)).select("pattern")
     unknown = seen.filter("s.kind is null").select("doc_id", "key", "s.start", "s.end", F.explode("s.patterns").alias("pattern"))
     added = unknown.join(small(trusted, trusted.count(), 96), "pattern", "left_semi").select("doc_id", "key", "start", "end").distinct()
     span = F.struct("start", F.lit(len(BASE_KINDS)).alias("no"), "end", F.lit("context").alias("kind"))
