@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from sievelight.operators import deps, detect, findings as ops, incremental, ingest, model_prep
 from sievelight.plans.common import Registry, scratch
@@ -434,6 +435,17 @@ def build_prompts(spark, sf_dir):
 README = "SELECT source AS repo, string_agg(text, chr(10) ORDER BY doc_id) AS content FROM documents GROUP BY source"
 
 
+def first_lines(docs: DataFrame, n: int) -> DataFrame:
+    """repo, content: of the texts of each source, by doc_id, the first n lines that are not blank. Whole texts are never shuffled."""
+    texts = docs.filter("text is not null").select(F.col("source").alias("repo"), "doc_id", "text")
+    lines = F.slice(F.filter(F.split(F.concat("text", F.lit("\n")), r"\r?\n"), lambda x: F.trim(x) != ""), 1, n)
+    rows = texts.select("repo", "doc_id", F.xxhash64("text").alias("key"), F.posexplode(lines).alias("no", "line"))
+    place = F.row_number().over(Window.partitionBy("repo").orderBy(F.col("doc_id").asc_nulls_last(), "key", "no"))
+    cells = F.array_sort(F.collect_list(F.struct("place", "line")))
+    kept = rows.withColumn("place", place).filter(F.col("place") <= n).groupBy("repo").agg(F.array_join(F.transform(cells, lambda c: c["line"]), "\n").alias("content"))
+    return texts.select("repo").distinct().join(kept, "repo", "left").select("repo", F.coalesce("content", F.lit("\n")).alias("content"))
+
+
 @R.query(rf"""WITH f AS ({FILES}), t AS (SELECT DISTINCT repo, concat(regexp_extract(file, '^[^/]+', 0), CASE WHEN contains(file, '/') THEN '/' ELSE '' END) AS entry FROM f),
   k AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY entry) AS n FROM t WHERE NOT regexp_matches(entry, '^(\.git|node_modules|dist|build|coverage)/?$')),
   top AS (SELECT repo, concat('Top-level: ', string_agg(entry, ', ' ORDER BY entry)) AS top FROM k WHERE n <= 30 GROUP BY repo),
@@ -443,8 +455,7 @@ def repo_context(spark, sf_dir):
     """READMEs made of the documents of each source, a package.json for each, and the derived files."""
     files = derived(spark, sf_dir, "files").select("repo", "file", "content")
     docs = table(spark, sf_dir, "documents")
-    cells = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
-    readme = docs.groupBy(F.col("source").alias("repo")).agg(F.array_join(F.transform(cells, lambda c: c["text"]), "\n").alias("content")).withColumn("file", F.lit("README.md"))
+    readme = first_lines(docs, 12).withColumn("file", F.lit("README.md"))
     package = docs.select(F.col("source").alias("repo")).distinct().withColumn("content", F.concat(F.lit('{"name":"'), "repo", F.lit('","version":"1.0.0"}'))).withColumn("file", F.lit("package.json"))
     extra = readme.unionByName(package)
     context = model_prep.repo_context(files.unionByName(extra))
