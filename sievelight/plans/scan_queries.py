@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from sievelight.rules.defaults import default_matchers, native_matchers
 from sievelight.sources import readers
 
 R = Registry()
+#: Bytes of a file that are one row on their way to its digest.
+SLICE = 16384
 FILES, LINES = duck("files"), duck("lines")
 BASE = "regexp_extract(file, '([^/]*)$', 1)"
 EXT = f"lower(regexp_extract({BASE}, '^.+(\\.[^.]*)$', 1))"
@@ -39,12 +45,40 @@ def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("SELECT source AS file, md5(concat(string_agg(text, chr(10) ORDER BY doc_id), chr(10))) AS digest FROM documents GROUP BY source")
 def read_files(spark, sf_dir):
-    """Writes the documents of each source as one text file, and reads the folder as files."""
+    """Writes the documents of each source as text files by ranges of doc_id, and reads the folder as files."""
     path = scratch(spark, "files")
     docs = table(spark, sf_dir, "documents").filter("text is not null")
-    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").text(path)
-    out = readers.read_files(spark, path).filter(F.contains("file", F.lit("/part-")))
-    return out.select(F.regexp_extract("file", "source=([^/]*)/", 1).alias("file"), F.md5("content").alias("digest"))
+    write_ranges(docs, path)
+    return digest_sources(readers.read_files(spark, path))
+
+
+def write_ranges(docs: DataFrame, path: str, rows: int = 256) -> None:
+    """Text files of at most so many documents. A source of many rows is split over tasks; names sort as (source, doc_id)."""
+    order = [F.col("source"), F.col("doc_id").asc_nulls_last()]
+    docs.repartitionByRange(*order).sortWithinPartitions(*order).select("source", "text").write.option("maxRecordsPerFile", rows).partitionBy("source").text(path)
+
+
+def digest_sources(files: DataFrame) -> DataFrame:
+    """file (the source), digest: MD5 over the files of each source in order, a file at a time; no value holds a whole source."""
+
+    def digests(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, md5, done = None, None, []
+        for batch in frames:
+            for name, content in zip(batch.column(0), batch.column(1)):
+                if md5 is None or name.as_py() != source:
+                    done += [(source, md5.hexdigest())] if md5 else []
+                    source, md5 = name.as_py(), hashlib.md5()
+                md5.update(content.as_buffer())
+        done += [(source, md5.hexdigest())] if md5 else []
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.string()) for i in (0, 1)], ["file", "digest"])
+
+    name = r"source=([^/]*)/part-([0-9]+)-.*[.-]c([0-9]+)"
+    place = [F.regexp_extract("path", name, 2).cast("long"), F.regexp_extract("path", name, 3).cast("long")]
+    parts = files.filter(F.contains("file", F.lit("/part-"))).select(F.regexp_extract("file", name, 1).alias("file"), F.col("file").alias("path"), F.col("content").cast("binary").alias("content"))
+    # Slices keep what one Arrow batch holds bounded: its size is a number of rows.
+    slices = F.transform(F.sequence(F.lit(0), F.floor(F.length("content") / SLICE).cast("int")), lambda i: F.substr(F.col("content"), i * SLICE + 1, F.lit(SLICE)))
+    rows = parts.select("file", *[p.alias(k) for p, k in zip(place, ("part", "chunk"))], F.posexplode(slices).alias("no", "content"))
+    return rows.repartition("file").sortWithinPartitions("file", "part", "chunk", "no").select("file", "content").mapInArrow(digests, "file string, digest string")
 
 
 GLOB_SQL = r"regexp_matches(file, '^src/.*\.ts$') OR regexp_matches(file, '\.(py|go)$')"
