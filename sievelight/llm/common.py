@@ -1,4 +1,4 @@
-"""What the operators share: intermediate tables in the cluster's shared folder, and size checks for broadcasts."""
+"""What the operators share: intermediate tables in the cluster's shared folder, size checks for broadcasts, running sums."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window
 
-#: A side is broadcast only when its measured rows times row bytes stay below this.
+#: A side is broadcast only when its measured size in memory stays below this.
 BROADCAST_BYTES = 32 << 20
 
 #: ASCII white space, as the contracts define it.
@@ -17,8 +19,10 @@ NON_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one named in spark.checkpoint.dir; a local one only where that is unset."""
+    """Folder for intermediate tables: the one named in spark.checkpoint.dir; on one machine a local one where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     return named or tempfile.gettempdir() + "/sievelight-shared"
 
 
@@ -42,9 +46,40 @@ def discard(df: DataFrame) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """df with a broadcast hint if rows * row_bytes is under BROADCAST_BYTES; else df, which then joins by shuffle."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+def memory_bytes(df: DataFrame) -> int:
+    """Measured bytes of df as the hash table of a broadcast join: rows with their fields, and the lengths of texts and arrays."""
+    fields = 8 * len(df.columns)
+    lengths = [F.lit(0)]
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            lengths.append(F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)))
+        elif isinstance(f.dataType, T.ArrayType):
+            inner = f.dataType.elementType
+            lengths.append(F.greatest(F.size(F.col(f"`{f.name}`")), F.lit(0)) * (16 + 8 * len(inner.fields) if isinstance(inner, T.StructType) else 8))
+    rows, more = df.agg(F.count(F.lit(1)), F.sum(sum(lengths[1:], lengths[0]).cast("long"))).first()
+    return 3 * rows * (8 + fields) + 2 * (more or 0)  # keys, rows and pages of the table come to about thrice the rows
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, which should be a written table, with a broadcast hint if its measured size is under BROADCAST_BYTES; else it joins by shuffle."""
+    return F.broadcast(df) if memory_bytes(df) <= BROADCAST_BYTES else df
+
+
+def running(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column] | None = None) -> DataFrame:
+    """df with _n, the place of each row (from 1) in its group by order, and _<name>, the running sum of each of sums.
+
+    Rows are dealt by ranges of (group, order), so a group of any size is spread over tasks; a task numbers its
+    own rows, and what the ranges before it hold of a group is added. The groups have no nulls; order should leave no ties.
+    """
+    placed = materialize(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "running")
+    values = {"_n": F.lit(1), **{f"_{name}": value for name, value in (sums or {}).items()}}
+    held = placed.groupBy("_part", *group).agg(*[F.sum(v).alias(k) for k, v in values.items()])
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(held.select("_part", *group, *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in values]), "running-offsets")
+    upto = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.select("*", *[F.sum(v).over(upto).alias(k) for k, v in values.items()])
+    joined = local.join(small(offsets), ["_part", *group])
+    return joined.select(*df.columns, *[(F.col(k) + F.col(f"{k}_before")).alias(k) for k in values])
 
 
 def let(value: Column, body) -> Column:

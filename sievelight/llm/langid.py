@@ -17,8 +17,12 @@ from pyspark.sql import Window
 
 from sievelight.llm.common import materialize
 
-#: Bounds of the model: labelled rows read of each language, languages, n-grams kept of each, words kept in a task.
-MAX_TRAIN, MAX_LANGS, MAX_GRAMS, MAX_WORDS = 2000, 200, 20_000, 100_000
+#: Bounds of the model: labelled rows read of each language, and n-grams kept of each.
+MAX_TRAIN, MAX_GRAMS = 2000, 20_000
+#: Languages from which on learning fails, as the driver could not hold the model. No language is ever left out.
+MAX_LANGS = 2000
+#: Bounds of memory in a task, which change no result: words kept, numbers held at a time, and numbers of a dense model.
+MAX_WORDS, ROOM, DENSE = 100_000, 4_000_000, 16_000_000
 #: Longest n-gram, cost of a switch of language (nats), and share of each word's chance that goes to all languages alike.
 ORDER, SWITCH, NOISE = 3, 10.0, 0.02
 
@@ -43,6 +47,13 @@ def script_of(letter: str) -> str:
     return SCRIPTS[at][1] if at >= 0 else "Other"
 
 
+def script_column(letter: Column) -> Column:
+    """script_of as a column of the first character."""
+    names = F.array(*[F.lit(name) for _, name in SCRIPTS])
+    before = F.size(F.filter(F.array(*map(F.lit, _STARTS)), lambda start: start <= F.ascii(letter)))
+    return F.when(before > 0, F.element_at(names, before)).otherwise("Other")
+
+
 def _letters(word: str) -> str:
     return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
@@ -67,11 +78,35 @@ def _points(text: str) -> np.ndarray:
 class Model:
     """Languages by share, log chances of n-grams, and the languages that use each script.
 
-    grams are the packed n-grams in order; chances has a row for each, after row 0 for one that was not seen.
+    grams are the packed n-grams in order. An n-gram of n letters has the log chance base[n] in each language, and
+    gains on it where the language has it: those of gram i are langs_of[firsts[i]:firsts[i + 1]] and gains likewise.
+    base[0] is for n-grams that none has.
     """
 
-    def __init__(self, langs: list[str], grams: np.ndarray, chances: np.ndarray, scripts: dict[str, np.ndarray]):
-        self.langs, self.grams, self.chances, self.scripts = langs, grams, chances, scripts
+    def __init__(self, langs: list[str], grams: np.ndarray, sizes: np.ndarray, base: np.ndarray, firsts: np.ndarray, langs_of: np.ndarray, gains: np.ndarray, scripts: dict[str, np.ndarray]):
+        self.langs, self.grams, self.sizes, self.base, self.scripts = langs, grams, sizes, base, scripts
+        self.firsts, self.langs_of, self.gains = firsts, langs_of, gains
+        self.dense = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "dense": None}
+
+    def _sums(self, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """For each word the sums of its n-grams' log chances; rows are places of n-grams plus one, 0 for unknown ones."""
+        k = len(self.langs)
+        if (len(self.grams) + 1) * k <= DENSE:
+            if self.dense is None:
+                self.dense = np.concatenate([self.base[:1], self.base[self.sizes]]).astype(np.float32)
+                self.dense[np.repeat(np.arange(1, len(self.grams) + 1), np.diff(self.firsts)), self.langs_of] += self.gains
+            return np.add.reduceat(self.dense[rows], np.cumsum(counts) - counts, axis=0, dtype=np.float64)
+        word = np.repeat(np.arange(len(counts)), counts)
+        kinds = np.where(rows > 0, self.sizes[np.maximum(rows, 1) - 1], 0)
+        total = np.bincount(word * len(self.base) + kinds, minlength=len(counts) * len(self.base)).reshape(-1, len(self.base)) @ self.base
+        known = np.flatnonzero(rows)
+        first = self.firsts[rows[known] - 1]
+        n = self.firsts[rows[known]] - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return total + np.bincount(np.repeat(word[known], n) * k + self.langs_of[at], self.gains[at], len(counts) * k).reshape(-1, k)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """A row for each word of letters: the log chance of each language, over the languages that use its script."""
@@ -88,9 +123,7 @@ class Model:
                 inside = (left > 1) & (left < np.repeat(sizes, sizes))
             keys = _packed(points, n)[inside]
             at = np.minimum(np.searchsorted(self.grams, keys), len(self.grams) - 1)
-            rows = np.where(self.grams[at] == keys, at + 1, 0)
-            counts = sizes - 2 if n == 1 else sizes - n + 1
-            total += np.add.reduceat(self.chances[rows], np.cumsum(counts) - counts, axis=0, dtype=np.float64)
+            total += self._sums(np.where(self.grams[at] == keys, at + 1, 0), sizes - 2 if n == 1 else sizes - n + 1)
         anywhere = np.ones(k, bool)
         scripts = [script_of(w[0]) for w in words]
         total = np.where([self.scripts.get(x, anywhere) for x in scripts], total, -np.inf)
@@ -103,20 +136,23 @@ class Model:
 def learn(docs: DataFrame, *, max_train: int = MAX_TRAIN, max_grams: int = MAX_GRAMS) -> Model | None:
     """Model from docs(doc_id, text, lang) with non-null lang; None if there are none.
 
-    About max_train rows of each language are drawn by a hash of the id, of the MAX_LANGS languages with most
-    rows. Words and their n-grams are counted by Spark; the max_grams most frequent n-grams of each language
-    reach the driver, so the model's size does not grow with the data.
+    Every language is learned; more than MAX_LANGS of them are an error. About max_train rows of each are drawn by
+    a hash of the id. Words, their n-grams and the scripts of their first letters are counted by Spark; the max_grams
+    most frequent n-grams of each language reach the driver, so the model does not grow with the data.
     """
     marked = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
-    counts = marked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
+    counts = materialize(marked.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "langid-langs")
+    listed = counts.orderBy(F.desc("rows"), "lang").limit(MAX_LANGS + 1).collect()
+    if not listed:
         return None
-    langs = [r["lang"] for r in counts]
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, max_train / r["count"])))])
-    drawn = marked.filter(F.col("lang").isin(langs)).filter(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    if len(listed) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    langs = [r["lang"] for r in listed]
+    # One row for each language, of which there are at most MAX_LANGS.
+    drawn = marked.join(F.broadcast(counts), "lang").filter(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(1 << 20)) * F.col("rows") < max_train * (1 << 20))
     words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w")).groupBy("lang", "w").count()
     words = materialize(words, "langid-words")
-    letters = words.select("lang", F.substring("w", 1, 1).alias("c"), "count").groupBy("lang", "c").agg(F.sum("count").alias("n"))
+    scripts = words.groupBy("lang", script_column(F.col("w")).alias("script")).agg(F.sum("count").alias("n"))
     padded = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
     size = F.length("w") + 2
 
@@ -127,31 +163,31 @@ def learn(docs: DataFrame, *, max_train: int = MAX_TRAIN, max_grams: int = MAX_G
 
     grams = words.select("lang", "count", F.explode(F.concat(*map(pieces, range(1, ORDER + 1)))).alias("g")).groupBy("lang", "g").agg(F.sum("count").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "g")
-    kept = grams.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max(500, min(max_grams, 1_000_000 // len(langs)))).select("lang", "g", "n").collect()
+    kept = grams.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max_grams).select("lang", "g", "n").collect()
     if not kept:  # labelled texts without a letter
         return None
-    firsts = letters.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "c"))).filter("r <= 1000").collect()
 
     at = {lang: i for i, lang in enumerate(langs)}
-    table = {g: 0 for g in {r["g"] for r in kept}}
-    pack = {g: int(_packed(_points(g), len(g))[0]) for g in table}
-    table = {g: i + 1 for i, g in enumerate(sorted(table, key=pack.__getitem__))}
-    seen = np.zeros((len(table) + 1, len(langs)))
-    for r in kept:
-        seen[table[r["g"]], at[r["lang"]]] += r["n"]
-    length = np.array([0, *map(len, table)])
-    chances = np.zeros_like(seen)
-    for n in range(1, ORDER + 1):  # chances of n-grams of one length, smoothed by half a count
-        own = length == n
-        chances[own] = np.log((seen[own] + 0.5) / (seen[own].sum(axis=0) + 0.5 * own.sum() + 1))
-    chances[0] = np.log(0.5 / (seen.sum(axis=0) / ORDER + 0.5 * len(table) + 1))
+    pack = {g: int(_packed(_points(g), len(g))[0]) for g in {r["g"] for r in kept}}
+    order = sorted(pack, key=pack.__getitem__)
+    place = {g: i for i, g in enumerate(order)}
+    sizes = np.array([len(g) for g in order])
+    entries = sorted((place[r["g"]], at[r["lang"]], r["n"]) for r in kept)
+    gram, lang, n = (np.array([e[i] for e in entries], np.int64) for i in range(3))
+    k = len(langs)
+    # Log chances of n-grams of one length, smoothed by half a count.
+    totals = [np.bincount(lang[sizes[gram] == m], n[sizes[gram] == m], k) for m in range(1, ORDER + 1)]
+    rooms = np.array([t + 0.5 * (sizes == m + 1).sum() + 1 for m, t in enumerate(totals)])
+    base = np.concatenate([np.log(0.5 / (sum(totals) / ORDER + 0.5 * len(order) + 1))[None], np.log(0.5 / rooms)])
+    gains = np.log((n + 0.5) / 0.5).astype(np.float32)
+    firsts = np.searchsorted(gram, np.arange(len(order) + 1))
     uses: dict[str, np.ndarray] = {}
-    for r in firsts:
-        uses.setdefault(script_of(r["c"]), np.zeros(len(langs)))[at[r["lang"]]] += r["n"]
-    all_letters = sum(uses.values(), np.zeros(len(langs)))
+    for r in scripts.collect():  # at most the scripts times the languages
+        uses.setdefault(r["script"], np.zeros(k))[at[r["lang"]]] += r["n"]
+    all_letters = sum(uses.values(), np.zeros(k))
     # A language uses a script in which it writes a hundredth of its words or more; a script that none uses so stands open to those that have it.
-    scripts = {s: (v >= 0.01 * np.maximum(all_letters, 1)) if (v >= 0.01 * np.maximum(all_letters, 1)).any() else v > 0 for s, v in uses.items()}
-    return Model(langs, np.array([pack[g] for g in table], np.int64), chances.astype(np.float32), scripts)
+    open_to = {s: (v >= 0.01 * np.maximum(all_letters, 1)) if (v >= 0.01 * np.maximum(all_letters, 1)).any() else v > 0 for s, v in uses.items()}
+    return Model(langs, np.array([pack[g] for g in order], np.int64), sizes, base, firsts, lang, gains, open_to)
 
 
 class _Words(dict):
@@ -169,38 +205,46 @@ class _Words(dict):
         if new:
             self.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
             own = [letters[w] for w in new]
-            blocks = [self.model.word_scores(own[i : i + 10_000]).astype(np.float32) for i in range(0, len(own), 10_000)]
+            step = max(1, min(10_000, ROOM // len(self.model.langs)))
+            blocks = [self.model.word_scores(own[i : i + step]).astype(np.float32) for i in range(0, len(own), step)]
             self.scores = np.concatenate([self.scores, *blocks])
             self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in own], np.int32)])
 
 
-def _one_language(scores: np.ndarray, switch: float) -> int:
-    """The language that labels all words on the best path, or -1 where that is not certain.
+def _one_language(scores: np.ndarray, rows: np.ndarray, switch: float) -> int:
+    """The language that labels all words on the best path, or -1 where that is not certain; rows are the words' scores.
 
     Of paths beside the single best language: one that uses it too has as many switches as stretches in other
     languages, or more, so it gains nothing if no stretch favours another language by more than switch. One that
     never uses it has a switch less than stretches, of which one is a prefix and one a suffix; it gains nothing if
-    moreover the best prefix and the best suffix together do not favour others by more than switch.
+    moreover the best prefix and the best suffix together do not favour others by more than switch. Long texts are
+    gone through in blocks.
     """
-    best = int(scores.sum(axis=0).argmax())
-    gain = np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64)
-    low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-    stretch = (gain[1:] - low[:-1]).max(initial=gain[0].max())
-    ends = max(0.0, gain.max()) + (gain[-1] - low[-1]).max()
-    return best if max(stretch, ends) <= switch else -1
-
-
-def _viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
+    k = scores.shape[1]
+    blocks = range(0, len(rows), max(1, ROOM // k))
+    best = int(sum(scores[rows[at : at + blocks.step]].sum(axis=0, dtype=np.float64) for at in blocks).argmax())
+    last, low, high, stretch = np.zeros(k), np.zeros(k), 0.0, -np.inf
+    for at in blocks:
+        own = scores[rows[at : at + blocks.step]]
+        gain = last + np.cumsum(own - own[:, best : best + 1], axis=0, dtype=np.float64)
+        before = np.minimum(np.minimum.accumulate(np.concatenate([low[None], gain]), axis=0), 0)
+        stretch = max(stretch, (gain - before[:-1]).max())
+        last, low, high = gain[-1], before[-1], max(high, gain.max())
+    return best if max(stretch, high + (last - low).max()) <= switch else -1
+
+
+def _viterbi(scores: np.ndarray, rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
     """Best language of each word of many texts; a change of language between words costs switch.
 
-    Texts stand one after the other in scores and are worked through side by side, a word of each at a step.
+    Texts stand one after the other in rows, which names the scores of each word, and are worked through side by
+    side, a word of each at a step.
     """
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     k = scores.shape[1]
     own = np.arange(k)
-    back, path = np.empty(scores.shape, np.int16), np.empty(len(scores), np.int16)
-    state = scores[starts].astype(np.float64)
+    back, path = np.empty((len(rows), k), np.int16), np.empty(len(rows), np.int16)
+    state = scores[rows[starts]].astype(np.float64)
     ends = np.empty(len(starts), np.int16)
     live = len(starts)
     for t in range(1, int(lengths[0]) + 1):
@@ -214,7 +258,7 @@ def _viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch
         moved = np.take_along_axis(held, top, 1) - switch
         stay = held >= moved
         back[at] = np.where(stay, own, top)
-        state[:live] = np.where(stay, held, moved) + scores[at]
+        state[:live] = np.where(stay, held, moved) + scores[rows[at]]
     last = starts + lengths - 1
     path[last] = ends
     for t in range(int(lengths[0]) - 1, 0, -1):
@@ -237,21 +281,21 @@ def label(texts: list[str | None], words: _Words, switch: float = SWITCH) -> lis
     rows = np.concatenate([np.empty(0, np.int32), *parts])
     lengths = np.array(lengths, np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths)])[: len(texts)].astype(np.int64)
-    single = [_one_language(words.scores[rows[a : a + n]], switch) if n else 0 for a, n in zip(starts, lengths)]
+    single = [_one_language(words.scores, rows[a : a + n], switch) if n else 0 for a, n in zip(starts, lengths)]
     mixed = [i for i, x in enumerate(single) if x < 0]
     paths = {}
-    room = max(1, 4_000_000 // len(model.langs))
+    room = max(1, ROOM // len(model.langs))
     while mixed:  # as many texts side by side as fit into a bounded number of words
         total = np.cumsum(lengths[mixed])
         n = max(1, int(np.searchsorted(total, room, "right")))
         group, mixed = mixed[:n], mixed[n:]
         joined = np.concatenate([np.arange(starts[i], starts[i] + lengths[i]) for i in group])
         at = np.concatenate([[0], np.cumsum(lengths[group])])
-        path = _viterbi(words.scores[rows[joined]], at[:-1], lengths[group], switch)
+        path = _viterbi(words.scores, rows[joined], at[:-1], lengths[group], switch)
         paths.update((i, path[a:b]) for i, a, b in zip(group, at[:-1], at[1:]))
     out = []
     for i, (text, a, n) in enumerate(zip(texts, starts, lengths)):
-        own, weight = words.scores[rows[a : a + n]], words.sizes[rows[a : a + n]]
+        own, weight = rows[a : a + n], words.sizes[rows[a : a + n]]
         letters = int(weight.sum())
         if not letters:
             out.append(("und", 0.0, []))
@@ -259,7 +303,7 @@ def label(texts: list[str | None], words: _Words, switch: float = SWITCH) -> lis
         path = paths.get(i)
         share = np.bincount(path, weight, len(model.langs)) if path is not None else None
         best = single[i] if share is None else int(share.argmax())  # of equals the one with more rows, as they stand so
-        chance = min(1.0, float(np.exp(own[:, best].astype(np.float64)) @ weight / letters))
+        chance = min(1.0, float(np.exp(words.scores[own, best].astype(np.float64)) @ weight / letters))
         if path is None or (ends := np.flatnonzero(np.diff(path, append=-1))).size == 1:
             out.append((model.langs[best], chance, [(0, len(text), model.langs[best])]))
             continue
@@ -288,25 +332,33 @@ def predict(docs: DataFrame, model: Model | None, *, switch: float = SWITCH) ->
     with score 0 and no spans; so is everything without a model. Repeated rows are labelled each; other
     columns are ignored; an empty table gives no rows. Nothing is shuffled.
     """
-    return annotate(docs.select("doc_id", "text"), model, switch=switch).select("doc_id", "lang_pred", F.col("lang_score").alias("score"), "spans")
+    return annotate(docs.select("doc_id", "text"), model, "found", switch=switch).select("doc_id", "found.*")
 
 
-def annotate(docs: DataFrame, model: Model | None, *, switch: float = SWITCH) -> DataFrame:
-    """All columns of docs(text, ...) with lang_pred, lang_score and spans, as predict has them. Nothing is joined."""
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("lang_pred string, lang_score double, spans array<struct<start:int,end:int,lang:string>>").fields])
+def annotate(docs: DataFrame, model: Model | None, column: str, *, switch: float = SWITCH) -> DataFrame:
+    """All columns of docs(text, ...) and one more, whose name docs must not have: lang_pred, score and spans as predict has them.
+
+    Nothing is joined. The model is broadcast.
+    """
+    if column in docs.columns:
+        raise ValueError(f"docs has a column {column}")
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"`{column}` struct<lang_pred:string,score:double,spans:array<struct<start:int,end:int,lang:string>>>").fields])
     at = docs.columns.index("text")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    most = max(1000, min(MAX_WORDS, ROOM // len(model.langs))) if model is not None else 0
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
         words = _Words(model)
         for batch in frames:
             for rows in _parts(batch, at):
-                if len(words) > MAX_WORDS:
+                if len(words) > most:
                     words = _Words(model)
                 texts = rows.column(at).to_pylist()
                 found = label(texts, words, switch) if model is not None else [("und", 0.0, [])] * len(texts)
                 spans = pa.array([[{"start": a, "end": b, "lang": c} for a, b, c in x[2]] for x in found], span)
-                own = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *own], schema.names)
+                own = pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans], ["lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, own], schema.names)
 
     return docs.mapInArrow(batches, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sievelight.llm.common import NON_SPACE, let, materialize, small
+from sievelight.llm.common import NON_SPACE, let, materialize, running, small
 
 #: Weights of the sources in order of code point, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -26,26 +26,27 @@ def uniform(*keys: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
-    """(source, source_size) -> the same with target: share of all sizes by weight, none above cap times its size.
+    """(source, source_size, ...) -> the same with source_no (from 1, in code-point order, null last) and target, written out.
 
-    Water-filling in one pass: sources that reach their cap do so in order of cap * size / weight, so the ones
-    that do form a prefix of that order; the rest share what remains by weight. Weights repeat by the source's
-    place in code-point order, null last. The sources are few next to the rows: their windows run in one task.
+    Targets share `share` of all sizes by weight, and none is above cap times its size. Water-filling: sources that
+    the common level per weight lifts to their cap are full, which raises the level for the rest, until no other one
+    is. Each turn is one aggregate over the sources, of which there may be as many as rows. Weights repeat by source_no.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    place = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))).cast("int")
-    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = sizes.withColumn("w", F.array(*map(F.lit, weights))[place]).withColumn("limit", F.col("source_size") * cap)
-    rows = rows.withColumn("total", F.sum("source_size").over(everything) * share).withColumn("level", F.col("limit") / F.col("w"))
-    upto = Window.orderBy("level", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("full_before", F.coalesce(F.sum("limit").over(upto), F.lit(0.0))).withColumn("w_before", F.coalesce(F.sum("w").over(upto), F.lit(0.0)))
-    rows = rows.withColumn("w_all", F.sum("w").over(everything))
-    # A source is full if, with all before it full, its share of the rest would reach its limit.
-    rows = rows.withColumn("full", (F.col("total") - F.col("full_before")) / (F.col("w_all") - F.col("w_before")) >= F.col("level"))
-    rows = rows.withColumn("full_sum", F.sum(F.when(F.col("full"), F.col("limit")).otherwise(0.0)).over(everything))
-    rows = rows.withColumn("w_open", F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("w"))).over(everything))
-    target = F.when(F.col("full"), F.col("limit")).otherwise((F.col("total") - F.col("full_sum")) * F.col("w") / F.col("w_open"))
-    return rows.select("source", "source_size", target.alias("target"))
+    ordered = running(sizes, [], [F.col("source").asc_nulls_last()])
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("_n") - 1, F.lit(len(weights))) + 1).cast("int"))
+    rows = materialize(ordered.select(*sizes.columns, F.col("_n").cast("long").alias("source_no"), weight.alias("w")), "mix-weights")
+    limit = F.col("source_size") * cap
+    total = (rows.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, n_full = 0.0, -1
+    while True:
+        full = limit <= F.col("w") * level
+        held = rows.agg(F.sum(full.cast("long")).alias("n"), F.sum(F.when(full, limit)).alias("sum"), F.sum(F.when(~full, F.col("w"))).alias("w")).first()
+        rest, open_weight = total - (held["sum"] or 0.0), held["w"] or 0.0
+        if not open_weight or held["n"] == n_full:
+            break
+        level, n_full = rest / open_weight, held["n"]
+    target = F.when(full, limit).otherwise(F.lit(rest) * F.col("w") / F.lit(open_weight or 1.0))
+    return materialize(rows.select(*sizes.columns, "source_no", target.alias("target")), "mix-sources")
 
 
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
@@ -77,39 +78,40 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(source_no, quota) -> (source_no, shard, n): exact block quotas dealt to equal shards.
+    """(source_no, quota) -> (source_no, shard, n): exact block quotas dealt to equal shards; source_no counts from 1.
 
-    A binary tree over ranges of shards. Each node holds the counts of all its sources as one array and gives
-    the left half of its shards the matching half of its blocks: for one source after the other the number that
-    goes left is hypergeometric in what remains, which makes the vector multivariate hypergeometric. Depth is
-    the logarithm of the shards; a node's array has one entry per source.
+    A binary tree over ranges of shards: each node gives the left half of its shards the matching half of its
+    blocks. What goes left is dealt to the sources down a second binary tree, over ranges of sources: of the blocks
+    that a range sends left, its first half sends a hypergeometric number in what both halves hold, and the second
+    half the rest, which makes the vector multivariate hypergeometric. All nodes of a level are rows and split side
+    by side; no row or task holds all sources. Depth is the logarithm of the shards times that of the sources.
     """
-    node = quotas.groupBy().agg(F.array_sort(F.collect_list(F.struct("source_no", F.col("quota").alias("n")))).alias("counts"))
-    node = node.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "counts", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("size"))
+    node = quotas.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), F.col("source_no").cast("long").alias("source_no"), F.col("quota").cast("long").alias("n"))
+    node = materialize(node, "mix-node")
+    levels = int(node.agg(F.max("source_no")).first()[0] or 0).bit_length()
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
     width = shards
     while width > 1:
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        # Slots are gapless over all shards: shard s has floor((s + 1) T / shards) - floor(s T / shards) of T.
-        left_size = F.floor(F.col("size") * (mid - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("long")
-        start = F.struct(F.array().cast("array<long>").alias("got"), F.col("size").alias("rest"), left_size.alias("room"))
-
-        def step(acc, x):
-            u = uniform(F.lit(seed), F.col("lo"), F.col("hi"), x["source_no"])
-            return let(hypergeometric(acc["rest"], x["n"], acc["room"], u), lambda k: F.struct(F.array_append(acc["got"], k).alias("got"), (acc["rest"] - x["n"]).alias("rest"), (acc["room"] - k).alias("room")))
-
-        node = node.withColumn("got", F.when(F.col("hi") - F.col("lo") > 1, F.aggregate("counts", start, step)["got"]))
-        left = F.transform("counts", lambda x, i: F.struct(x["source_no"].alias("source_no"), F.col("got")[i].alias("n")))
-        right = F.transform("counts", lambda x, i: F.struct(x["source_no"].alias("source_no"), (x["n"] - F.col("got")[i]).alias("n")))
-        halves = F.when(
-            F.col("hi") - F.col("lo") > 1,
-            F.array(
-                F.struct(F.col("lo").alias("lo"), mid.alias("hi"), left.alias("counts"), left_size.alias("size")),
-                F.struct(mid.alias("lo"), F.col("hi").alias("hi"), right.alias("counts"), (F.col("size") - left_size).alias("size")),
-            ),
-        ).otherwise(F.array(F.struct("lo", "hi", "counts", "size")))
-        node = materialize(node.select(F.explode(halves).alias("x")).select("x.*"), "mix-node")
+        split = node.filter(F.col("hi") - F.col("lo") > 1)
+        # Slots are gapless over all shards: a half of the shards takes its part of the blocks, rounded down on the left.
+        left_size = F.floor(F.col("total") * (mid - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("long")
+        down = split.groupBy("lo", "hi").agg(F.sum("n").alias("total")).withColumn("range", F.lit(0).cast("long")).withColumn("k", left_size)
+        for level in range(levels - 1, -1, -1):
+            half = F.shiftright("source_no", level)
+            firsts = split.filter(half % 2 == 0).groupBy("lo", "hi", F.shiftright(half, 1).alias("range")).agg(F.sum("n").alias("first"))
+            both = down.join(firsts, ["lo", "hi", "range"], "left").withColumn("first", F.coalesce("first", F.lit(0).cast("long")))
+            u = uniform(F.lit(seed), F.col("lo"), F.col("hi"), F.lit(level), F.col("range"))
+            both = both.withColumn("goes", hypergeometric(F.col("total"), F.col("first"), F.col("k"), u))
+            child = lambda no, total, k: F.struct((F.col("range") * 2 + no).alias("range"), total.alias("total"), k.alias("k"))
+            children = F.array(child(0, F.col("first"), F.col("goes")), child(1, F.col("total") - F.col("first"), F.col("k") - F.col("goes")))
+            down = both.select("lo", "hi", F.explode(children).alias("x")).select("lo", "hi", "x.*").filter("total > 0")
+            down = materialize(down, "mix-down") if level % 4 == 0 else down
+        got = split.join(down.select("lo", "hi", F.col("range").alias("source_no"), "k"), ["lo", "hi", "source_no"], "left").withColumn("k", F.coalesce("k", F.lit(0).cast("long")))
+        halves = F.array(F.struct("lo", mid.alias("hi"), "source_no", F.col("k").alias("n")), F.struct(mid.alias("lo"), "hi", "source_no", (F.col("n") - F.col("k")).alias("n")))
+        after = got.select(F.explode(halves).alias("x")).select("x.*")
+        node = materialize(after.unionByName(node.filter(F.col("hi") - F.col("lo") <= 1)), "mix-node")
         width = -(-width // 2)
-    return node.select(F.col("lo").alias("shard"), F.explode("counts").alias("c")).select("c.source_no", "shard", "c.n")
+    return node.select("source_no", F.col("lo").alias("shard"), "n")
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
@@ -122,11 +124,9 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 
 
 def sources_of(sized: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
-    """(source, source_no, n_docs, source_size, target), written to the shared folder."""
+    """(source, source_size, n_docs, source_no, target), written to the shared folder."""
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    targets = source_targets(per_source.select("source", "source_size"), share, cap, weights).withColumnRenamed("source", "s").drop("source_size")
-    named = per_source.join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("s")
-    return materialize(named.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))), "mix-sources")
+    return source_targets(per_source, share, cap, weights)
 
 
 def draw(sized: DataFrame, sources: DataFrame, *, shards: int = 16, block_rows: int = 256, seed: int = 5) -> DataFrame:
@@ -135,33 +135,32 @@ def draw(sized: DataFrame, sources: DataFrame, *, shards: int = 16, block_rows:
     named = sources.withColumn("n_blocks", F.ceil(F.col("n_docs") / block_rows))
     named = named.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     named = named.withColumn("rest", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0)))
-    n_sources = sources.count()
+    named = materialize(named, "mix-named")
 
     block = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "digest", "copy"), F.col("n_blocks"))
-    dealt = sized.alias("d").join(small(named, n_sources, 128).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    dealt = sized.alias("d").join(small(named).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     dealt = dealt.select("d.doc_id", "d.digest", "d.copy", "d.size", "s.source_no", "s.passes", "s.rest", block.alias("block"))
 
     # Permuted blocks with running sums; those that end within the rest are whole, the next one is cut.
-    turn = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed + 1), "source_no", "block"), "block")
     blocks = dealt.groupBy("source_no", "block", "passes", "rest").agg(F.sum("size").alias("words"))
-    blocks = blocks.withColumn("end", F.sum("words").over(turn.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = blocks.withColumn("whole", F.col("end") <= F.col("rest")).withColumn("lacks", F.col("rest") - (F.col("end") - F.col("words")))
+    blocks = running(blocks, ["source_no"], [F.xxhash64(F.lit(seed + 1), "source_no", "block"), F.col("block")], {"words": F.col("words")})
+    blocks = blocks.withColumn("whole", F.col("_words") <= F.col("rest")).withColumn("lacks", F.col("rest") - (F.col("_words") - F.col("words")))
     blocks = blocks.withColumn("cut", ~F.col("whole") & (F.col("lacks") > 0))
 
     # A drawn block is one unit of its source's quota for each time it is taken.
     units = blocks.withColumn("copies", F.col("passes") + F.when(F.col("whole") | F.col("cut"), 1).otherwise(0)).filter("copies > 0")
     units = units.select("source_no", "block", "cut", "lacks", "passes", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("epoch"))
     units = units.withColumn("cut", F.col("cut") & (F.col("epoch") > F.col("passes"))).drop("passes")
-    drawn = Window.partitionBy("source_no").orderBy("epoch", F.xxhash64(F.lit(seed + 2), "source_no", "epoch", "block"), "block")
-    units = materialize(units.withColumn("draw", F.row_number().over(drawn)), "mix-units")
+    drawn = running(units, ["source_no"], [F.col("epoch"), F.xxhash64(F.lit(seed + 2), "source_no", "epoch", "block"), F.col("block")])
+    units = materialize(drawn.withColumnRenamed("_n", "draw"), "mix-units")
     n_units = units.count()
     shares = split_quotas(units.groupBy("source_no").agg(F.count(F.lit(1)).alias("quota")), shards, seed + 3)
     runs = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     ranges = shares.withColumn("upto", F.sum("n").over(runs)).groupBy("source_no").agg(F.array_sort(F.collect_list(F.struct("upto", "shard", "n"))).alias("ranges"))
     shard = F.filter("ranges", lambda r: (r["upto"] >= F.col("draw")) & (r["n"] > 0))[0]["shard"]
-    placed = units.join(small(ranges, n_sources, 24 * shards + 16), "source_no").select("source_no", "block", "epoch", "cut", "lacks", shard.alias("shard"))
+    placed = units.join(small(materialize(ranges, "mix-ranges")), "source_no").select("source_no", "block", "epoch", "cut", "lacks", shard.alias("shard"))
 
-    rows = dealt.drop("passes", "rest").join(small(placed, n_units, 64), ["source_no", "block"])
+    rows = dealt.drop("passes", "rest").join(small(materialize(placed, "mix-placed")), ["source_no", "block"])
     # Of the cut block, documents are taken in permuted order up to the first that does not fit into what the
     # source still lacks; the gap is filled by those that fit, larger ones first, and by the least one of the rest
     # if that brings the sum nearer.
@@ -190,7 +189,7 @@ def draw(sized: DataFrame, sources: DataFrame, *, shards: int = 16, block_rows:
     local = Window.partitionBy("shard", "part").orderBy(F.xxhash64(F.lit(seed + 5), "doc_id", "digest", "copy", "epoch"), "doc_id", "digest", "copy", "epoch")
     counts = taken.groupBy("shard", "part").count()
     starts = counts.select("shard", "part", (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("start"))
-    out = taken.withColumn("slot", F.row_number().over(local) - 1).join(small(starts, shards * n_parts, 32), ["shard", "part"])
+    out = taken.withColumn("slot", F.row_number().over(local) - 1).join(small(materialize(starts, "mix-starts")), ["shard", "part"])
     return out.select("doc_id", "digest", "copy", "source_no", "size", F.col("epoch").cast("int").alias("epoch"), "shard", (F.col("slot") + F.col("start")).cast("long").alias("slot"))
 
 
@@ -202,11 +201,13 @@ def mix(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, weights: tuple
     many permuted blocks as fit into what remains of the target, then documents of one more block that bring the
     sum near the target. The block quotas are split among the output shards by
     split_quotas, shards draw disjoint runs of the permuted blocks, and rows are shuffled inside a shard by a
-    seeded hash; slots are gapless in each shard. Only ids and sizes are shuffled. The windows over a source
-    hold one row per block, and those over documents one block per source.
+    seeded hash; slots are gapless in each shard. Only ids and sizes are shuffled. Running
+    sums over a source's blocks are dealt by ranges, so a source of any size is spread over tasks, and there may be
+    any number of sources.
 
     Null text has size 0; a null source is a source of its own and comes last. Repeated rows are dealt each. A
-    source without words has target 0 and gives no rows. An empty table gives no rows. Other columns are ignored.
+    source without words has target 0 and gives no rows. Very long texts are documents like any other and never
+    split. An empty table gives no rows. Other columns are ignored.
     """
     sized = sized_documents(docs)
     return draw(sized, sources_of(sized, share, cap, weights), shards=shards, block_rows=block_rows, seed=seed)
@@ -217,7 +218,7 @@ def taken_words(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, weight
     sized = sized_documents(docs)
     sources = sources_of(sized, share, cap, weights)
     got = draw(sized, sources, **options).groupBy("doc_id", "digest", "copy").agg(F.sum("size").alias("taken"))
-    side = small(sources.select("source", "source_size", "target"), sources.count(), 64)
+    side = small(sources.select("source", "source_size", "target"))
     rows = sized.alias("d").join(side.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
     same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & F.col("d.digest").eqNullSafe(F.col("g.digest")) & (F.col("d.copy") == F.col("g.copy"))
     out = rows.join(got.alias("g"), same, "left")
@@ -225,20 +226,22 @@ def taken_words(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, weight
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: all columns, a row for each time a document is taken."""
+    """docs as the mix takes them: all columns, whatever their names, and a row for each time a document is taken.
+
+    Nulls, empty and very long texts, repeated rows and empty tables are treated as in mix.
+    """
     cols = docs.columns
     taken = materialize(mix(docs, **options).groupBy("doc_id", "digest", "copy").agg(F.count(F.lit(1)).cast("int").alias("times")), "mix-taken")
-    times = taken.groupBy("doc_id", "digest").agg(F.max("copy").alias("copies"), F.sum("times").alias("times"))
-    rows = docs.withColumn("_digest", F.xxhash64("text"))
-    side = small(times, taken.count(), 48).alias("t")
-    found = rows.join(side, rows["doc_id"].eqNullSafe(F.col("t.doc_id")) & (rows["_digest"] == F.col("t.digest")))
-    once = found.filter("copies = 1").select(*[rows[c] for c in cols], F.explode(F.sequence(F.lit(1), F.col("t.times").cast("int"))).alias("_n")).drop("_n")
+    times = materialize(taken.groupBy("doc_id", "digest").agg(F.max("copy").alias("copies"), F.sum("times").cast("int").alias("times")), "mix-times")
+    row = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")
+    rows = docs.select(row, F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col("source").alias("from"))
+    found = rows.join(small(times), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("digest")))
+    repeat = F.explode(F.sequence(F.lit(1), F.col("times"))).alias("n")
+    once = found.filter("copies = 1").select("row", repeat).select("row.*")
     if taken.filter("copy > 1").isEmpty():
         return once
     # Rows that repeat doc_id and text are told apart by their copy number.
-    again = found.filter("copies > 1").select(*[rows[c] for c in cols], rows["_digest"])
-    again = again.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy("source"))).alias("a")
-    each = taken.alias("t")
-    match = F.col("a.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("a._digest") == F.col("t.digest")) & (F.col("a._copy") == F.col("t.copy"))
-    more = again.join(each, match).select(*[F.col(f"a.{c}") for c in cols], F.explode(F.sequence(F.lit(1), F.col("t.times"))).alias("_n")).drop("_n")
-    return once.unionByName(more)
+    again = found.filter("copies > 1").select("row", "id", "hash", "from")
+    again = again.withColumn("no", F.row_number().over(Window.partitionBy("id", "hash").orderBy("from")))
+    more = again.join(taken, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("digest")) & (F.col("no") == F.col("copy")))
+    return once.unionByName(more.select("row", repeat).select("row.*"))

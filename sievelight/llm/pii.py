@@ -92,7 +92,7 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_score: float = MI
         patterns = materialize(counted.select("pattern", score.alias("score"), "seeds"), "pii-patterns")
         if turn + 1 < rounds:
             trusted = patterns.filter((F.col("score") >= min_score) & (F.col("seeds") >= min_seeds)).select("pattern", F.lit(1).alias("own"))
-            trusted = small(trusted, trusted.count(), 96)
+            trusted = small(materialize(trusted, "pii-trusted"))
             promoted = edges.filter("seed = 0").join(trusted, "pattern").groupBy("instance").agg(F.count(F.lit(1)).alias("by"))
             promoted = materialize(promoted, "pii-instances")
             others = F.coalesce("by", F.lit(0)) - F.coalesce("own", F.lit(0))
@@ -118,7 +118,7 @@ def find(docs: DataFrame, *, rounds: int = ROUNDS, min_score: float = MIN_SCORE,
     edges = materialize(pairs.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
     trusted = score_patterns(edges, rounds, min_score, min_seeds).filter((F.col("score") >= min_score) & (F.col("seeds") >= min_seeds)).select("pattern")
     unknown = seen.filter("s.kind is null").select("doc_id", "key", "s.start", "s.end", F.explode("s.patterns").alias("pattern"))
-    added = unknown.join(small(trusted, trusted.count(), 96), "pattern", "left_semi").select("doc_id", "key", "start", "end").distinct()
+    added = unknown.join(small(materialize(trusted, "pii-trusted")), "pattern", "left_semi").select("doc_id", "key", "start", "end").distinct()
     span = F.struct("start", F.lit(len(BASE_KINDS)).alias("no"), "end", F.lit("context").alias("kind"))
     added = added.groupBy("doc_id", "key").agg(F.collect_list(span).alias("added"))
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key"))

@@ -11,7 +11,7 @@ from sievelight.llm.common import documents
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    held_out = langid.fold(F.col("doc_id"), 4) == 2
+    held_out = F.coalesce(langid.fold(F.col("doc_id"), 4) == 2, F.lit(False))
     model = langid.learn(docs.filter(~held_out))
     out = langid.predict(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
@@ -27,7 +27,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    held_out = quality.fold(F.col("doc_id"), 5) == 0
+    held_out = F.coalesce(quality.fold(F.col("doc_id"), 5) == 0, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out)
     out = quality.score(docs, quality.learn(docs, labels))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -141,7 +141,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     key = F.xxhash64("text").alias("key")
     listed = materialize(candidates(docs, queries), "secret-candidates")
-    hit = docs.join(small(listed, listed.count(), 64), "doc_id").select("doc_id", "text", "rules")
+    hit = docs.join(small(listed), "doc_id").select("doc_id", "text", "rules")
     hit = hit.unionByName(docs.filter("doc_id is null").withColumn("rules", F.array(*map(F.lit, queries))))
     checked = [F.when(F.array_contains("rules", no), _found(F.col("text"), rule)).otherwise(spans.none()) if no in queries else spans.none() for no, rule in enumerate(rules)]
     verified = hit.select("doc_id", key, spans.kinds([(r.kind, c) for r, c in zip(rules, checked)]).alias("verified")).filter(F.size("verified") > 0).distinct()

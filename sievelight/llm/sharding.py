@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sievelight.llm.common import small
+from sievelight.llm.common import materialize, small
 
 #: Seeds of the hashes that choose a shard and a bucket.
 SHARD_SEED, BUCKET_SEED = 11, 12
@@ -29,14 +29,14 @@ def shard_of(key: Column, shards: int) -> Column:
 def shuffle_shards(rows: DataFrame, shards: int = 24, *, key: str = "doc_id", text: str = "text", bucket_bytes: int = 4 << 20, seed: int = 7) -> DataFrame:
     """The rows with all their columns, plus shard (from 0) and slot (gapless from 0 in each shard, in shuffled order).
 
-    Pass one scatters whole records by seeded hashes of the key: a rendezvous hash picks the shard, a second hash
-    one of the shard's buckets, of which there are as many as make a bucket about bucket_bytes. Pass two sorts a
+    Pass one scatters whole records by seeded hashes: a rendezvous hash of the key picks the shard, a hash of the
+    whole record one of the shard's buckets, of which there are as many as make a bucket about bucket_bytes. Pass two sorts a
     bucket's records by key (so that reruns and recomputed tasks agree), shuffles them by Fisher-Yates with a
     seed, and numbers them from where the bucket before ends. Equal texts have different keys and scatter like
-    any others. The size of each bucket is bounded by design; one record is never split.
+    any others, and so do records that share a key, which is null or repeated, within its shard. The size of each
+    bucket is bounded by design; one record is never split, however long its text.
 
-    A null key hashes like a value of its own; null texts have no bytes; repeated keys share a bucket and get a
-    slot each. Columns named like the ones used here inside are safe, as records travel in one struct. Columns
+    A null key hashes like a value of its own; null texts have no bytes; repeated rows get a slot each. Columns named like the ones used here inside are safe, as records travel in one struct. Columns
     of rows named shard or slot are replaced. An empty table gives no rows.
     """
     cols = [c for c in rows.columns if c not in ("shard", "slot")]
@@ -46,7 +46,7 @@ def shuffle_shards(rows: DataFrame, shards: int = 24, *, key: str = "doc_id", te
     parts = max(1, min(shards * buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), shards * buckets // 8)
     spread = rows.select(
         shard_of(F.col(key), shards).alias("_s"),
-        F.pmod(F.xxhash64(F.lit(BUCKET_SEED), F.lit(seed), F.col(key)), F.lit(buckets)).cast("int").alias("_b"),
+        F.pmod(F.xxhash64(F.lit(BUCKET_SEED), F.lit(seed), F.col(key), *cols), F.lit(buckets)).cast("int").alias("_b"),
         F.struct(F.col(key).alias("_k"), F.xxhash64(*cols).alias("_h"), F.struct(*cols).alias("_r")).alias("_rec"),
     )
     # The number of partitions is explicit, and a partition's buckets are ordered: the permutation that
@@ -55,7 +55,7 @@ def shuffle_shards(rows: DataFrame, shards: int = 24, *, key: str = "doc_id", te
     dealt = gathered.select("_s", "_b", F.shuffle(F.array_sort("_recs"), seed).alias("_recs")).select("_s", "_b", F.posexplode("_recs").alias("_p", "_rec"))
     sizes = spread.groupBy("_s", "_b").count()
     starts = sizes.select("_s", "_b", (F.sum("count").over(Window.partitionBy("_s").orderBy("_b")) - F.col("count")).alias("_from"))
-    placed = dealt.join(small(starts, shards * buckets, 32), ["_s", "_b"])
+    placed = dealt.join(small(materialize(starts, "shard-starts")), ["_s", "_b"])
     return placed.select(*[F.col("_rec._r").getField(c).alias(c) for c in cols], F.col("_s").alias("shard"), (F.col("_from") + F.col("_p")).cast("long").alias("slot"))
 
 

@@ -73,7 +73,7 @@ def _grouped(fps: DataFrame, links: DataFrame) -> DataFrame:
     """doc_id, fp, component_id of the rows of fps(doc_id, fp), joined by links(a, b) between fingerprints."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = materialize(connected_components(links), "simhash-roots")
-    linked = nodes.join(small(roots, roots.count(), 32), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = nodes.join(small(roots), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = materialize(linked, "simhash-linked")
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     # Written out, so that the last join reads plain exchanges and Spark can split a hot fingerprint.
@@ -176,7 +176,7 @@ def resemblance_links(docs: DataFrame, *, shingle_words: int = 5, resemblance: f
     alike = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * resemblance
     pairs = materialize(pairs.filter(alike).select("a", "b", "s_a", "s_b").mapInArrow(close, "a long, b long"), "simhash-close")
     ask = materialize(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "simhash-ask")
-    asked = texts.join(small(ask, ask.count(), 16), "fp", "left_semi").select("fp", "words").mapInArrow(shingles, "fp long, shingles array<long>")
+    asked = texts.join(small(ask), "fp", "left_semi").select("fp", "words").mapInArrow(shingles, "fp long, shingles array<long>")
     sets = materialize(asked.groupBy("fp").agg(F.first("shingles").alias("shingles")), "simhash-shingles")
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("fp").alias(side), F.col("shingles").alias(f"s_{side}")), side)
@@ -206,4 +206,4 @@ def keep_one_resembling(docs: DataFrame, *, shingle_words: int = 5, resemblance:
 
 def _smallest(docs: DataFrame, groups: DataFrame) -> DataFrame:
     leave = materialize(groups.filter("doc_id != component_id").select("doc_id").distinct(), "simhash-leave")
-    return docs.join(small(leave, leave.count(), 32), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(leave), "doc_id", "left_anti").select(*docs.columns)

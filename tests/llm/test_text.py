@@ -70,12 +70,13 @@ def test_viterbi_is_the_best_path():
     texts = [rng.normal(size=(rng.integers(1, 40), 4)) * rng.choice([0.3, 1, 4]) for _ in range(200)]
     lengths = np.array([len(t) for t in texts])
     starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    path = langid._viterbi(np.concatenate(texts), starts, lengths, 3.0)
+    joined = np.concatenate(texts)
+    path = langid._viterbi(joined, np.arange(len(joined)), starts, lengths, 3.0)
     for t, a, n in zip(texts, starts, lengths):
         p = path[a : a + n]
         cost = sum(t[i, p[i]] for i in range(n)) - 3.0 * sum(p[i] != p[i - 1] for i in range(1, n))
         assert cost == pytest.approx(brute_viterbi(t, 3.0))
-        one = langid._one_language(t, 3.0)
+        one = langid._one_language(t, np.arange(n), 3.0)
         if one >= 0:
             assert t[:, one].sum() == pytest.approx(cost)
 
