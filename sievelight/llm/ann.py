@@ -2,41 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import combinations
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-#: Rows that the rotations and the radius are learned from; the index holds every row.
-SAMPLE_ROWS, SAMPLE_QUERIES = 4000, 400
-#: Bits of a code at least, bits of a substring, and share of the sample's true neighbours that the radius must take in.
-BITS, SUBSTRING, TAKE_IN = 256, 16, 0.98
-#: Rows of an index block and queries that meet it in one task.
-BLOCK_ROWS, BLOCK_QUERIES = 2048, 2048
+from sievelight.llm.common import materialize, small
+
+#: Rows that the rotations are learned from, and queries among them whose true neighbours the search is fitted to;
+#: the index holds every row.
+SAMPLE_ROWS, SAMPLE_QUERIES = 4000, 200
+#: Bits of a substring, substrings of a code at most, bits of a substring that probing may flip at most, and the bits
+#: (whole substrings) that are compared in full.
+SUBSTRING, TABLES, MOST_FLIPS, COMPARED = 16, 96, 4, 128
+#: Shares of the sample's true neighbours that probing must meet and that the radius over the compared bits must take in.
+MEET, TAKE_IN = 0.97, 0.99
+#: Queries that scan the table side by side.
+BLOCK = 1024
 
 _ONES = np.array([bin(i).count("1") for i in range(1 << SUBSTRING)], np.uint8)
 
 
-class Codec:
-    """Rotations that turn a unit vector into signs, and the Hamming radius to search."""
+def _ball(flips: int) -> np.ndarray:
+    """All values of a substring with up to so many bits."""
+    return np.array([sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(SUBSTRING), n)], np.int64)
 
-    def __init__(self, rotations: np.ndarray, radius: int):
-        self.rotations, self.radius = rotations, radius
-        self.bits = rotations.shape[1]
 
-    def encode(self, unit: np.ndarray) -> np.ndarray:
-        """Codes as rows of 16-bit substrings."""
-        signs = unit @ self.rotations > 0
-        pad = -signs.shape[1] % SUBSTRING
-        return np.packbits(np.pad(signs, ((0, 0), (0, pad))), axis=1).view(np.uint16)
+class Codec:
+    """Rotations that turn a vector into signs, the substrings that are indexed, flips probed in each, and the radius.
 
+    By the pigeonhole principle, probing all values within `flips` bits of each of the substrings meets every code
+    within (flips + 1) * tables - 1 bits, and others beyond.
+    """
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    def __init__(self, rotations: np.ndarray, tables: int, flips: int, radius: int):
+        self.rotations, self.tables, self.flips, self.radius = rotations, tables, flips, radius
 
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        """Codes as rows of 16-bit substrings."""
+        return np.packbits(x @ self.rotations > 0, axis=1).view(np.uint16)
 
-def _rotation(unit: np.ndarray, rng: np.random.Generator, rounds: int = 25) -> np.ndarray:
+
+def _rotation(unit: np.ndarray, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     """Iterative quantisation: turn the axes until the vectors lie close to their signs."""
     turn, _ = np.linalg.qr(rng.normal(size=(unit.shape[1],) * 2))
     for _ in range(rounds):
@@ -45,116 +57,208 @@ def _rotation(unit: np.ndarray, rng: np.random.Generator, rounds: int = 25) -> n
     return turn
 
 
-def learn(vectors: DataFrame, k: int, *, sample_rows: int = SAMPLE_ROWS, bits: int = BITS, seed: int = 1) -> Codec | None:
-    """Codec from a sample of vectors(id, v), drawn by a hash of the id; None if there are none.
+def _rows(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of one length as a matrix of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
 
-    The radius takes in the share TAKE_IN of the true neighbours inside the sample. Neighbours among all rows
-    are nearer than those in a sample, so recall over all rows is that or more. What reaches the driver is bounded.
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def scan(vectors: DataFrame, asked: list[tuple[int, list[float]]], k: int, dim: int) -> DataFrame:
+    """(query_id, vec_id, score): the k rows of vectors(id, v) nearest to each asked (id, v), itself included.
+
+    Every row is compared in the task that reads it; each batch hands on k rows a query.
+    """
+    ids = np.array([i for i, _ in asked], np.int64)
+    held = vectors.sparkSession.sparkContext.broadcast(np.array([v for _, v in asked], np.float64).reshape(-1, dim))
+
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = held.value
+        norms = np.linalg.norm(q, axis=1)
+        for batch in frames:
+            x, own = _rows(batch.column(1), dim), batch.column(0).to_numpy(zero_copy_only=False)
+            if not len(x):
+                continue
+            score = (q @ x.T) / (norms[:, None] * np.linalg.norm(x, axis=1))
+            n = min(k, len(x))
+            # Of rows that tie at the end of the list all go on, so that the smaller ids can be told later.
+            least = -np.partition(-score, n - 1, axis=1)[:, n - 1]
+            at, near = np.nonzero(score >= least[:, None] - 1e-12)
+            exact = (q[at] * x[near]).sum(axis=1) / (norms[at] * np.linalg.norm(x[near], axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(own[near].astype(np.int64)), pa.array(exact)], ["query_id", "vec_id", "score"])
+
+    return best(vectors.select("id", "v").mapInArrow(batches, "query_id long, vec_id long, score double"), k)
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """The first k rows of each query by score and then by id, with their rank from 1; tasks drop the rest before the shuffle."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def learn(vectors: DataFrame, k: int, dim: int, queries: int, *, sample_rows: int = SAMPLE_ROWS, seed: int = 1) -> Codec:
+    """Codec fitted to the true neighbours, among all rows of vectors(id, v), of queries drawn by a hash of the id.
+
+    Of all numbers of substrings and flips that meet the share MEET of those neighbours, the ones that make the search
+    cheapest are taken, by what probes, postings and meetings they come to. What reaches the driver is bounded.
     """
     n = vectors.count()
-    if not n:
-        return None
-    drawn = vectors.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) <= min(1.0, sample_rows / n) * (1 << 20)).limit(2 * sample_rows)
-    rows = sorted((r["id"], r["v"]) for r in drawn.collect())
-    if not rows:
-        rows = [(r["id"], r["v"]) for r in vectors.limit(1).collect()]
-    unit = _unit(np.array([v for _, v in rows], np.float64))
+    drawn = vectors.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) <= min(1.0, sample_rows / max(1, n)) * (1 << 20)).limit(2 * sample_rows)
+    rows = sorted((r["id"], r["v"]) for r in drawn.collect()) or [(r["id"], r["v"]) for r in vectors.limit(1).collect()]
     rng = np.random.default_rng(seed)
-    rotations = np.hstack([_rotation(unit, rng) for _ in range(-(-bits // unit.shape[1]))])
-    codec = Codec(rotations, rotations.shape[1])
-    if len(unit) > k + 1:
-        asked = rng.permutation(len(unit))[:SAMPLE_QUERIES]
-        near = unit[asked] @ unit.T
-        near[np.arange(len(asked)), asked] = -np.inf
-        best = np.argpartition(-near, k, axis=1)[:, :k]
-        codes = codec.encode(unit)
-        apart = _ONES[codes[asked][:, None] ^ codes[best]].sum(axis=2, dtype=np.int64)
-        codec.radius = int(np.quantile(apart, TAKE_IN))
+    sample = _unit(np.array([v for _, v in rows], np.float64))
+    rotations = np.hstack([_rotation(sample, rng) for _ in range(-(-TABLES * SUBSTRING // dim))])[:, : TABLES * SUBSTRING]
+    codec = Codec(rotations, TABLES, MOST_FLIPS, COMPARED)
+    asked = [rows[i] for i in rng.permutation(len(rows))[:SAMPLE_QUERIES]]
+    near = materialize(scan(vectors, asked, k + 1, dim).filter("query_id != vec_id").select("query_id", F.col("vec_id").alias("id")), "ann-sample")
+    pairs = near.join(vectors, "id").select("query_id", "v").collect()
+    if not pairs:
+        return codec
+    by_id = dict(asked)
+    a = codec.encode(np.array([by_id[r["query_id"]] for r in pairs], np.float64))
+    b = codec.encode(np.array([r["v"] for r in pairs], np.float64))
+    apart = _ONES[a ^ b]
+    codec.radius = int(np.quantile(apart[:, : COMPARED // SUBSTRING].sum(axis=1, dtype=np.int64), TAKE_IN, method="higher"))
+    q, x = codec.encode(np.array([v for _, v in asked], np.float64)), codec.encode(sample)
+    costs = []
+    for flips in range(MOST_FLIPS + 1):
+        met = np.logical_or.accumulate(apart <= flips, axis=1).mean(axis=0)
+        chance = np.array([(_ONES[q[:, j, None] ^ x[None, :, j]] <= flips).mean() for j in range(TABLES)])
+        for tables in np.flatnonzero(met >= MEET)[:1] + 1:
+            costs.append((queries * tables * len(_ball(flips)) * 10 + n * tables * 30 + n * queries * chance[:tables].sum() * 4, int(tables), flips))
+    if costs:
+        _, codec.tables, codec.flips = min(costs)
     return codec
 
 
-def _search(queries: pd.DataFrame, rows: pd.DataFrame, codec: Codec, k: int) -> pd.DataFrame:
-    """The k nearest rows of a block for each query, by its index of substrings."""
-    out = {"query_id": [], "vec_id": [], "score": []}
-    if len(queries) and len(rows):
-        queries, rows = queries.drop_duplicates("id"), rows.drop_duplicates("id")
-        q, x = np.stack(queries["v"]).astype(np.float64), np.stack(rows["v"]).astype(np.float64)
-        q_ids, x_ids = queries["id"].to_numpy(), rows["id"].to_numpy()
-        q_norm, x_norm = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
-        q_codes, x_codes = codec.encode(q / q_norm[:, None]), codec.encode(x / x_norm[:, None])
-        # The index: for each substring its values and the rows that have them.
-        index = [np.unique(x_codes[:, j], return_inverse=True) for j in range(x_codes.shape[1])]
-        for at in range(0, len(q), 256):
-            codes = q_codes[at : at + 256]
-            own = q_ids[at : at + 256, None] == x_ids[None]
-            radius = np.full(len(codes), codec.radius)
-            near = np.zeros(own.shape, bool)
-            todo = np.arange(len(codes))
-            while len(todo):
-                # Pigeonhole: within the radius, some substring differs in at most radius / substrings bits.
-                hit = np.zeros((len(todo), len(x)), bool)
-                for j, (values, which) in enumerate(index):
-                    hit |= (_ONES[codes[todo, j, None] ^ values[None]] <= radius[todo, None] // len(index))[:, which]
-                apart = np.zeros(hit.shape, np.int32)
-                for j in range(x_codes.shape[1]):
-                    apart += _ONES[codes[todo, j, None] ^ x_codes[None, :, j]]
-                near[todo] = hit & (apart <= radius[todo, None]) & ~own[todo]
-                # Where the radius gave fewer than k, a wider one is searched, up to all bits.
-                todo = todo[(near[todo].sum(axis=1) < k) & (radius[todo] < codec.bits)]
-                radius[todo] = np.minimum(codec.bits, radius[todo] + max(8, codec.bits // 16))
-            pairs_q, pairs_x = np.nonzero(near)
-            pairs_q += at
-            score = np.empty(len(pairs_q))
-            for i in range(0, len(pairs_q), 100_000):
-                a, b = pairs_q[i : i + 100_000], pairs_x[i : i + 100_000]
-                score[i : i + 100_000] = (q[a] * x[b]).sum(axis=1) / (q_norm[a] * x_norm[b])
-            order = np.lexsort((x_ids[pairs_x], -score, pairs_q))
-            pairs_q, pairs_x, score = pairs_q[order], pairs_x[order], score[order]
-            first = np.searchsorted(pairs_q, pairs_q, "left")
-            best = np.arange(len(pairs_q)) - first < k
-            out["query_id"].append(q_ids[pairs_q[best]])
-            out["vec_id"].append(x_ids[pairs_x[best]])
-            out["score"].append(score[best])
-    kinds = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
-    return pd.DataFrame({c: np.concatenate(v).astype(kinds[c]) if v else np.empty(0, kinds[c]) for c, v in out.items()})
-
-
-def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
-    """Rows (id, v) that can take part: with an id, and a vector of finite numbers that are not all zero.
-
-    Vectors of another length than most have take no part either.
+def _postings(vectors: DataFrame, codec: Codec, dim: int, probe: bool) -> DataFrame:
+    """(key, id, c0, c1) of vectors(id, v): a row for each substring's value, or for each value within the flips of it.
+
+    key is the substring's number and value; c0 and c1 are the bits that are compared in full.
     """
+    held = vectors.sparkSession.sparkContext.broadcast(codec)
+
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = held.value
+        ball = _ball(codec.flips if probe else 0)
+        tables = np.arange(codec.tables, dtype=np.int64)[None, :, None] << SUBSTRING
+        step = max(1, 500_000 // (codec.tables * len(ball)))
+        for batch in frames:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                codes = codec.encode(_rows(part.column(1), dim))
+                keys = tables | (codes[:, : codec.tables, None].astype(np.int64) ^ ball)
+                n = keys.shape[1] * keys.shape[2]
+                full = np.ascontiguousarray(codes[:, : COMPARED // SUBSTRING]).view(np.int64)
+                columns = [keys.reshape(-1), *(np.repeat(c, n) for c in (part.column(0).to_numpy(zero_copy_only=False), full[:, 0], full[:, 1]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "c0", "c1"])
+
+    return vectors.select("id", "v").mapInArrow(batches, "key long, id long, c0 long, c1 long")
+
+
+def _rerank(pairs: DataFrame, dim: int) -> DataFrame:
+    """(query_id, vec_id, score) of pairs(query_id, vec_id, q, x): the cosine in double precision."""
+
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            q, x = _rows(batch.column(2), dim), _rows(batch.column(3), dim)
+            score = (q * x).sum(axis=1) / (np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    return pairs.select("query_id", "vec_id", "q", "x").mapInArrow(batches, "query_id long, vec_id long, score double")
+
+
+def candidates(queries: DataFrame, vectors: DataFrame, codec: Codec, dim: int) -> DataFrame:
+    """(query_id, vec_id): rows that probing meets and whose compared bits lie within the radius, each pair once.
+
+    Postings and probes are shuffled on the substring's value, so a task sees the rows of its values alone.
+    """
+    index = _postings(vectors, codec, dim, False)
+    probes = _postings(queries, codec, dim, True).toDF("key", "query_id", "q0", "q1")
+    apart = F.bit_count(F.col("c0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("c1").bitwiseXOR(F.col("q1")))
+    met = probes.join(index, "key").filter(apart <= codec.radius)
+    return met.select("query_id", F.col("id").alias("vec_id")).distinct()
+
+
+def _search(rows: DataFrame, is_query: Callable[[Column], Column], k: int, dim: int, block: int) -> DataFrame:
+    """nearest() for rows (id, v) of one length."""
+    repeated = rows.groupBy("id").count().filter("count > 1").select("id")
+    if not repeated.isEmpty():  # of rows with one id the least vector counts, whichever comes first
+        repeated = materialize(repeated, "ann-repeated")
+        one = rows.join(small(repeated), "id", "left_semi").groupBy("id").agg(F.min("v").alias("v"))
+        rows = materialize(rows.join(small(repeated), "id", "left_anti").unionByName(one), "ann-rows")
+    # Equal vectors are searched as one: the first k + 1 ids of each are all that an answer can hold.
+    named = materialize(rows.select("id", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")), "ann-hashes")
+    groups = materialize(named.groupBy("h", "g").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "ann-groups")
+    asked = materialize(rows.filter(is_query(F.col("id"))).select("id"), "ann-asked")
+    copies = None
+    if groups.isEmpty():
+        ours = asked.select("id", F.col("id").alias("rep"))
+    else:
+        member = materialize(named.join(small(groups), ["h", "g"]).select("id", "rep"), "ann-members")
+        gone = materialize(member.filter("id != rep").select("id"), "ann-gone")
+        rows = materialize(rows.join(small(gone), "id", "left_anti"), "ann-distinct")
+        first = Window.partitionBy("rep").orderBy("id")
+        copies = materialize(member.withColumn("no", F.row_number().over(first)).filter(F.col("no") <= k + 1).select("rep", F.col("id").alias("copy")), "ann-copies")
+        ours = asked.join(member, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    ours = materialize(ours, "ann-queries")
+    wanted = materialize(ours.select(F.col("rep").alias("id")).distinct(), "ann-wanted")
+    queries = materialize(rows.join(small(wanted), "id"), "ann-query-vectors")
+    codec = learn(rows, k, dim, queries.count())
+    met = materialize(candidates(queries, rows, codec, dim), "ann-met")
+    pairs = met.join(rows.select(F.col("id").alias("vec_id"), F.col("v").alias("x")), "vec_id").join(small(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"))), "query_id")
+    found = materialize(best(_rerank(pairs, dim), k + 1).drop("rank"), "ann-found")
+
+    def expanded(found: DataFrame) -> DataFrame:
+        """Each distinct vector as the ids that have it."""
+        if copies is None:
+            return found
+        every = found.join(small(copies), F.col("vec_id") == F.col("rep"), "left")
+        return best(every.select("query_id", F.coalesce("copy", "vec_id").alias("vec_id"), "score"), k + 1).drop("rank")
+
+    found = expanded(found)
+    # A query that met too few rows widens its radius to all bits, where probing comes to a scan; in blocks of queries.
+    full = found.groupBy("query_id").count().filter(F.col("count") > k).select(F.col("query_id").alias("id"))
+    short = materialize(queries.join(full, "id", "left_anti"), "ann-short")
+    n_short = short.count()
+    if n_short:
+        blocks = -(-n_short // block)
+        parts = [short.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) for b in range(blocks)]
+        scans = [scan(rows, [(r["id"], r["v"]) for r in part.collect()], k + 1, dim).drop("rank") for part in parts]
+        widened = expanded(reduce(DataFrame.unionByName, scans))
+        found = found.join(small(short.select(F.col("id").alias("query_id"))), "query_id", "left_anti").unionByName(widened)
+    answers = ours.join(found, F.col("rep") == F.col("query_id")).filter("id != vec_id").select(F.col("id").alias("query_id"), "vec_id", "score")
+    return best(answers, k)
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """Rows (id, v) that can take part: with an id, and a vector of finite numbers that are not all zero."""
     fit = F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    good = vectors.filter(fit)
-    if dim is None:
-        most = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-        dim = most["n"] if most else 0
-    return good.filter(F.size("v") == dim)
+    return vectors.filter(fit)
 
 
-def nearest(vectors: DataFrame, is_query, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows found by cosine for each row that is_query(id) names.
 
-    Rows are dealt by a hash of their id into blocks, and queries likewise; each pair of a row block and a query
-    block is one task's work, in which every row is indexed by its code's substrings. All rows within the
-    learned radius are retrieved and ranked by their original vectors in double precision; a query that finds
-    fewer than k in a block widens its radius there. Each block hands on k rows a query, which a window merges.
-    Blocks have a bounded size, so no task grows with the data, and equal vectors have different ids and spread.
+    Signs of learned rotations make a code of each vector, which is split into substrings. Postings (substring,
+    value) of all rows and probes of the queries, which flip few bits of each substring, are shuffled on the value
+    and meet there; by the pigeonhole principle all codes within a radius are met. Of those met, the ones whose
+    compared bits lie within the learned radius are ranked by their original vectors in double precision. How many
+    substrings and flips that takes is learned; clustered vectors need few. A query that finds fewer than k rows
+    is widened to all bits, block_rows of them at a time.
 
-    A query's own id is never a candidate; rows that repeat an id count once. Rows that usable() turns away
-    take no part. Ties go to the smaller id. Without candidates there are no rows. Other columns are ignored.
+    Vectors are compared with those of their own length, as the cosine has no meaning between others. Equal
+    vectors are searched once, however many rows have them. A query's own id is never a candidate; of rows that
+    repeat an id the one with the least vector counts. Rows that usable() turns away take no part. Ties go to the
+    smaller id. Without candidates there are no rows. Other columns are ignored.
     """
-    all_rows = usable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")))
-    codec = learn(all_rows, k)
-    schema = "query_id long, vec_id long, score double"
-    if codec is None:
+    given = usable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")))
+    rows = materialize(given.withColumn("dim", F.size("v")), "ann-given")
+    dims = sorted(r["dim"] for r in rows.select("dim").distinct().collect())
+    if not dims:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    queries = all_rows.filter(is_query(F.col("id")))
-    row_blocks = max(1, -(-all_rows.count() // block_rows))
-    query_blocks = max(1, -(-queries.count() // block_queries))
-    rows = all_rows.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = queries.withColumn("qb", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(query_blocks)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-    found = asked.groupBy("rb", "qb").cogroup(rows.groupBy("rb", "qb")).applyInPandas(lambda a, b: _search(a, b, codec, k), schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = [_search(rows.filter(F.col("dim") == dim).select("id", "v"), is_query, k, dim, block_rows) for dim in dims]
+    return reduce(DataFrame.unionByName, found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
