@@ -179,7 +179,8 @@ def candidates(queries: DataFrame, vectors: DataFrame, codec: Codec, dim: int) -
     index = _postings(vectors, codec, dim, False)
     probes = _postings(queries, codec, dim, True).toDF("key", "query_id", "q0", "q1")
     apart = F.bit_count(F.col("c0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("c1").bitwiseXOR(F.col("q1")))
-    met = probes.join(index, "key").filter(apart <= codec.radius)
+    # Spark takes both sides for as small as the vectors that they are made of, and would broadcast one of them.
+    met = probes.join(index.hint("merge"), "key").filter(apart <= codec.radius)
     return met.select("query_id", F.col("id").alias("vec_id")).distinct()
 
 
