@@ -19,12 +19,13 @@ from sievelight.llm.common import materialize, small
 SAMPLE_ROWS, SAMPLE_QUERIES = 4000, 200
 #: Bits of a substring, substrings of a code at most, bits of a substring that probing may flip at most, and the bits
 #: (whole substrings) that are compared in full.
-SUBSTRING, TABLES, MOST_FLIPS, COMPARED = 16, 96, 4, 128
+SUBSTRING, TABLES, MOST_FLIPS, COMPARED = 16, 96, 4, 512
 #: Shares of the sample's true neighbours that probing must meet and that the radius over the compared bits must take in.
-MEET, TAKE_IN = 0.97, 0.99
+MEET, TAKE_IN = 0.97, 0.98
 #: Queries that scan the table side by side.
 BLOCK = 1024
 
+_COMPARED = [f"c{i}" for i in range(COMPARED // 64)]
 _ONES = np.array([bin(i).count("1") for i in range(1 << SUBSTRING)], np.uint8)
 
 
@@ -135,9 +136,9 @@ def learn(vectors: DataFrame, k: int, dim: int, queries: int, *, sample_rows: in
 
 
 def _postings(vectors: DataFrame, codec: Codec, dim: int, probe: bool) -> DataFrame:
-    """(key, id, c0, c1) of vectors(id, v): a row for each substring's value, or for each value within the flips of it.
+    """(key, id, c0, c1, ...) of vectors(id, v): a row for each substring's value, or for each value within the flips of it.
 
-    key is the substring's number and value; c0 and c1 are the bits that are compared in full.
+    key is the substring's number and value; the others are the bits that are compared in full.
     """
     held = vectors.sparkSession.sparkContext.broadcast(codec)
 
@@ -153,10 +154,10 @@ def _postings(vectors: DataFrame, codec: Codec, dim: int, probe: bool) -> DataFr
                 keys = tables | (codes[:, : codec.tables, None].astype(np.int64) ^ ball)
                 n = keys.shape[1] * keys.shape[2]
                 full = np.ascontiguousarray(codes[:, : COMPARED // SUBSTRING]).view(np.int64)
-                columns = [keys.reshape(-1), *(np.repeat(c, n) for c in (part.column(0).to_numpy(zero_copy_only=False), full[:, 0], full[:, 1]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "c0", "c1"])
+                columns = [keys.reshape(-1), *(np.repeat(c, n) for c in (part.column(0).to_numpy(zero_copy_only=False), *full.T))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", *_COMPARED])
 
-    return vectors.select("id", "v").mapInArrow(batches, "key long, id long, c0 long, c1 long")
+    return vectors.select("id", "v").mapInArrow(batches, ", ".join(f"{c} long" for c in ("key", "id", *_COMPARED)))
 
 
 def _rerank(pairs: DataFrame, dim: int) -> DataFrame:
@@ -177,8 +178,8 @@ def candidates(queries: DataFrame, vectors: DataFrame, codec: Codec, dim: int) -
     Postings and probes are shuffled on the substring's value, so a task sees the rows of its values alone.
     """
     index = _postings(vectors, codec, dim, False)
-    probes = _postings(queries, codec, dim, True).toDF("key", "query_id", "q0", "q1")
-    apart = F.bit_count(F.col("c0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("c1").bitwiseXOR(F.col("q1")))
+    probes = _postings(queries, codec, dim, True).toDF("key", "query_id", *[f"q{c}" for c in _COMPARED])
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"q{c}"))) for c in _COMPARED), F.lit(0))
     # Spark takes both sides for as small as the vectors that they are made of, and would broadcast one of them.
     met = probes.join(index.hint("merge"), "key").filter(apart <= codec.radius)
     return met.select("query_id", F.col("id").alias("vec_id")).distinct()
