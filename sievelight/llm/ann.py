@@ -172,6 +172,17 @@ def _rerank(pairs: DataFrame, dim: int) -> DataFrame:
     return pairs.select("query_id", "vec_id", "q", "x").mapInArrow(batches, "query_id long, vec_id long, score double")
 
 
+def _is_first(codec: Codec) -> Column:
+    """Whether a pair that met in one substring meets in none before it, as far as the compared bits tell."""
+    first = F
+    for j in range(min(codec.tables, COMPARED // SUBSTRING)):
+        word = F.col(_COMPARED[j // 4]).bitwiseXOR(F.col(f"q{_COMPARED[j // 4]}"))
+        meets = F.bit_count(F.shiftrightunsigned(word, SUBSTRING * (j % 4)).bitwiseAND(F.lit((1 << SUBSTRING) - 1))) <= codec.flips
+        first = first.when(meets, j)
+    own = F.shiftright("key", SUBSTRING)
+    return first.otherwise(own) == own
+
+
 def candidates(queries: DataFrame, vectors: DataFrame, codec: Codec, dim: int) -> DataFrame:
     """(query_id, vec_id): rows that probing meets and whose compared bits lie within the radius, each pair once.
 
@@ -181,7 +192,7 @@ def candidates(queries: DataFrame, vectors: DataFrame, codec: Codec, dim: int) -
     probes = _postings(queries, codec, dim, True).toDF("key", "query_id", *[f"q{c}" for c in _COMPARED])
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"q{c}"))) for c in _COMPARED), F.lit(0))
     # Spark takes both sides for as small as the vectors that they are made of, and would broadcast one of them.
-    met = probes.join(index.hint("merge"), "key").filter(apart <= codec.radius)
+    met = probes.join(index.hint("merge"), "key").filter(apart <= codec.radius).filter(_is_first(codec))
     return met.select("query_id", F.col("id").alias("vec_id")).distinct()
 
 
