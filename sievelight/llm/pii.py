@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm import spans
-from sievelight.llm.common import materialize, small
+from sievelight.llm.common import let, materialize, small
 
 #: Runs are entered at their start or where the match before ended; entering them elsewhere finds no other match.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -21,8 +21,10 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 
 #: Rounds of scoring, least score of a pattern, and known entities that it must have met.
 ROUNDS, MIN_SCORE, MIN_SEEDS = 3, 0.8, 3
-#: Characters before an entity in which its context is looked for.
-REACH = 48
+#: A word of a context: a run of letters and digits of any script.
+WORD = r"[\p{L}\p{N}]+"
+#: Characters before an entity in which its context is looked for at first, then, and at last in all that stands before it.
+REACHES = (48, 1024)
 
 
 def _octets(ip: Column) -> Column:
@@ -52,13 +54,30 @@ def base_spans(text: Column) -> list[tuple[str, Column]]:
     ]
 
 
+def _words_before(text: Column, start: Column) -> Column:
+    """Words before a place, of which the last two are whole: those of a window that holds three or begins with the text."""
+
+    def window(reach: Column) -> Column:
+        before = F.substr(text, F.greatest(F.lit(1), start + 1 - reach), F.least(start, reach))
+        return F.regexp_extract_all(F.lower(before), F.lit(WORD), F.lit(0))
+
+    def within(reaches: tuple[int, ...]) -> Column:
+        if not reaches:
+            return window(start)
+        return let(window(F.lit(reaches[0])), lambda w: F.when((F.size(w) >= 3) | (start <= reaches[0]), w).otherwise(within(reaches[1:])))
+
+    return within(REACHES)
+
+
 def _occurrence(text: Column, s: Column, kind: Column) -> Column:
-    """Place, value and lexical patterns of a span: the words before it, one and two, whatever its shape."""
-    before = F.lower(F.substr(text, F.greatest(F.lit(1), s["start"] + 1 - REACH), F.least(s["start"], F.lit(REACH))))
-    one = F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-    two = F.regexp_extract(before, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-    patterns = F.transform(F.filter(F.array(one, two), lambda p: p != ""), lambda p: F.regexp_replace(p, r"[0-9]+", "0"))
-    return F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"), F.xxhash64(s["value"]).alias("instance"), F.array_distinct(patterns).alias("patterns"))
+    """Place, value and lexical patterns of a span: the words before it, one and two, whatever its shape and their length."""
+
+    def patterns(words: Column) -> Column:
+        one, other = F.get(words, F.size(words) - 1), F.get(words, F.size(words) - 2)
+        named = F.filter(F.array(one, F.concat(other, F.lit(" "), one)), lambda p: p.isNotNull())
+        return F.array_distinct(F.transform(named, lambda p: F.regexp_replace(p, r"[0-9]+", "0")))
+
+    return F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"), F.xxhash64(s["value"]).alias("instance"), let(_words_before(text, s["start"]), patterns).alias("patterns"))
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -103,13 +122,13 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_score: float = MI
 def find(docs: DataFrame, *, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """doc_id, base and spans: arrays of (start, no, end, kind) by start and then by kind.
 
-    Base spans are the first seeds. The words before an entity, one and two of them, make lexical patterns; other
+    Base spans are the first seeds. The words before an entity, one and two of them however long, make lexical patterns; other
     tokens that look like identifiers, of any shape, are instances of theirs. Spark scores the graph of patterns
     and instances in rounds, each of which promotes what its patterns discover to seeds. Patterns of min_score or more
     that met min_seeds different seeds add the unknown tokens they stand before, as spans of kind `context`.
 
     Null text is the empty one. Each row gives one row, repeated ids and rows too; spans found by context are
-    joined back by id and text. Texts are read once and never shuffled. Other columns are ignored; an empty
+    joined back by id and text. Texts, long ones too, are read once and never shuffled. Other columns are ignored; an empty
     table gives no rows.
     """
     read = materialize(extract(docs), "pii-read")

@@ -74,7 +74,7 @@ def test_trigram_queries():
     grams = lambda p: sorted(map(sorted, secret_scan.trigram_query(p)))
     assert grams("abc") == [["abc"]] and grams("ab?c") == [] and grams("[0-9]+") == []
     assert grams("(foo|bar)x*") == [["bar"], ["foo"]]
-    assert grams("(?i:Token)=") == [["en=", "oke", "tok"]] or ["tok" in b for b in grams("(?i:Token)=")]
+    assert grams("(?i:Token)=") == [["en=", "ken", "tok"]]
     for rule in secret_scan.RULES:
         assert bool(secret_scan.trigram_query(rule.pattern)) == (rule.kind != "hex")
 
