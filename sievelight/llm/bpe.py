@@ -8,7 +8,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from sievelight.llm.common import let
 
 #: Distinct words whose ids a worker keeps, and text (characters) after which a batch of results goes out.
 MAX_WORDS, BATCH_CHARS = 300_000, 2 << 20
+#: Texts of more characters are encoded by blocks of words, so that their words are never held together.
+LONG_TEXT, BLOCK_WORDS = 4 << 20, 100_000
 #: Rows whose words, and of those the most frequent words, Spark folds before the texts are read; longer words are left out.
 WARM_ROWS, WARM_WORDS, WARM_BYTES = 2_000, 10_000, 32
 #: Maps that the literal rank map is split into, as a lookup in one of Spark's maps goes through its entries.
@@ -190,7 +192,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, warm: bool = F
     higher-order functions beforehand (frequent_words) and broadcast too. Joining all occurrences of words to a
     table of all distinct words would shuffle each text several times over. Decoding knows only the ids.
 
-    Null text encodes like the empty one: no ids, no bytes. Repeated rows are encoded each; other columns are
+    Null text encodes like the empty one: no ids, no bytes. Very long texts are encoded whole, by blocks of words. Repeated rows are encoded each; other columns are
     ignored; an empty table gives no rows. Nothing is shuffled.
     """
     ranks = read_ranks(ranks_path)
@@ -199,17 +201,27 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, warm: bool = F
     shipped = _Shipped(held, uuid.uuid4().hex)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def encode(compiled: regex.Pattern, text: str, words: _Words) -> np.ndarray:
+        if len(text) <= LONG_TEXT:
+            return np.fromiter(chain.from_iterable(map(words.__getitem__, compiled.findall(text))), np.int32)
+        found, parts = (m[0] for m in compiled.finditer(text)), []
+        while block := list(islice(found, BLOCK_WORDS)):
+            if len(words) > MAX_WORDS:
+                words.clear()
+            parts.append(np.fromiter(chain.from_iterable(map(words.__getitem__, block)), np.int32))
+        return np.concatenate(parts)
+
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
         for batch in frames:
             names, ids, decoded, size = [], [], [], 0
             for name, text in zip(batch.column(0), batch.column(1)):
                 words, pieces = _opened(shipped)
                 text = text.as_py() or ""
-                own = list(chain.from_iterable(map(words.__getitem__, find(text))))
+                own = encode(compiled, text, words)
                 names.append(name.as_py())
-                ids.append(np.array(own, np.int32))
-                decoded.append(b"".join(map(pieces.__getitem__, own)))
+                ids.append(own)
+                decoded.append(b"".join(map(pieces.__getitem__, own.tolist())))
                 size += len(text)
                 if size > BATCH_CHARS:
                     yield _batch(batch, names, ids, decoded)

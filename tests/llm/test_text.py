@@ -36,6 +36,98 @@ def test_bpe_equals_the_library_and_round_trips(make_docs, small_docs):
     assert bpe.round_trip(small_docs.limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_texts_are_encoded_by_blocks(make_docs, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", 7)
+    text = "Some words, " * 400_000
+    got = bpe.round_trip(make_docs(text), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).first()
+    assert len(text) > bpe.LONG_TEXT and bytes(got["decoded"]).decode() == text
+    assert got["ids"][:8] == tiktoken_encoding().encode_ordinary(text[:100])[:8]
+    assert len(got["ids"]) == len(tiktoken_encoding().encode_ordinary(text))
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any old bound: a word of each, all predicted, by the sparse model and the dense one alike."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = ["".join(rng.choice(letters, 9)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, f"{w} {w}", f"l{i:03d}") for i, w in enumerate(words)], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert len(model.langs) == 300
+    dense = model.word_scores(words)
+    assert [model.langs[i] for i in dense.argmax(axis=1)] == [f"l{i:03d}" for i in range(300)]
+    kept, langid.DENSE, model.dense = langid.DENSE, 0, None
+    try:
+        assert np.allclose(model.word_scores(words + ["zz", "unseen", "é"])[:300], dense, atol=1e-3)
+    finally:
+        langid.DENSE = kept
+    assert {r["lang_pred"] for r in langid.predict(docs, model).collect()} == set(model.langs)
+
+
+def test_blocks_change_no_label(monkeypatch):
+    rng = np.random.default_rng(7)
+    scores = rng.normal(size=(500, 3)).astype(np.float32)
+    for n in range(1, 60):
+        rows = rng.integers(0, 500, n)
+        monkeypatch.setattr(langid, "ROOM", 10**9)
+        whole = [langid._one_language(scores, rows, s) for s in (0.5, 5.0, 50.0)]
+        monkeypatch.setattr(langid, "ROOM", 12)
+        assert [langid._one_language(scores, rows, s) for s in (0.5, 5.0, 50.0)] == whole
+
+
+def plain_scores(model, word):
+    """Chances of a word in each language from the model's tables, one n-gram after the other."""
+    padded, total = f"^{word.lower()}$", np.zeros(len(model.langs))
+    places = {int(g): i for i, g in enumerate(model.grams)}
+    for n in (1, 2, 3):
+        for i in range(1 if n == 1 else 0, len(padded) - n + 1 - (n == 1)):
+            key = 0
+            for c in padded[i : i + n]:
+                key = key << 21 | ord(c)
+            if key not in places:
+                total += model.base[0]
+                continue
+            total += model.base[n]
+            a, b = model.firsts[places[key]], model.firsts[places[key] + 1]
+            for lang, gain in zip(model.langs_of[a:b], model.gains[a:b]):
+                total[lang] += gain
+    fits = model.scripts.get(langid.script_of(word[0]))
+    if fits is None:
+        return np.full(len(total), -np.log(len(total)))
+    total = np.where(fits, total, -np.inf)
+    p = np.exp(total - total.max())
+    return np.log(0.98 * p / p.sum() + 0.02 / len(p))
+
+
+def test_predictions_equal_brute_force(spark, small_docs):
+    """Words, scores, best path, prediction and spans of each text computed anew, word by word."""
+    import re
+
+    model = langid.learn(small_docs)
+    texts = {r["doc_id"]: r["text"] or "" for r in small_docs.limit(30).collect()}
+    texts[10**6] = texts[min(texts)][:150] + " мир " + max(texts.values(), key=len)[:150]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in langid.predict(docs, model).collect():
+        text = texts[r["doc_id"]]
+        found = [(m.start(), m.end(), "".join(filter(str.isalpha, m[0]))) for m in re.finditer(r"[^\W\d_]+", text)]
+        if not any(w for _, _, w in found):
+            assert (r["lang_pred"], r["score"], r["spans"]) == ("und", 0.0, [])
+            continue
+        table = np.array([plain_scores(model, w) if w else np.zeros(len(model.langs)) for _, _, w in found])
+        letters = np.array([len(w) for _, _, w in found])
+        label = {lang: i for i, lang in enumerate(model.langs)}
+        path = np.full(len(found), -1)
+        for s in r["spans"]:
+            for i, (a, b, _) in enumerate(found):
+                if s["start"] <= a and b <= s["end"]:
+                    path[i] = label[s["lang"]]
+        assert (path >= 0).all()
+        cost = table[np.arange(len(path)), path].sum() - langid.SWITCH * (np.diff(path) != 0).sum()
+        assert cost == pytest.approx(brute_viterbi(table, langid.SWITCH), abs=1e-3)
+        share = np.bincount(path, letters, len(model.langs))
+        assert share[label[r["lang_pred"]]] == share.max()
+        assert r["score"] == pytest.approx(np.exp(table[:, label[r["lang_pred"]]]) @ letters / letters.sum(), abs=1e-4)
+
+
 def test_higher_order_fold_equals_the_plain_one(spark, small_docs):
     import regex
 
