@@ -65,6 +65,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if memory_bytes(df) <= BROADCAST_BYTES else df
 
 
+def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """df, of at most so many counted rows with fields and arrays of row_bytes, with a broadcast hint if it is small as in small()."""
+    return F.broadcast(df) if 3 * rows * (8 + row_bytes) <= BROADCAST_BYTES else df
+
+
 def running(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column] | None = None) -> DataFrame:
     """df with _n, the place of each row (from 1) in its group by order, and _<name>, the running sum of each of sums.
 
@@ -75,10 +80,10 @@ def running(df: DataFrame, group: list[str], order: list[Column], sums: dict[str
     values = {"_n": F.lit(1), **{f"_{name}": value for name, value in (sums or {}).items()}}
     held = placed.groupBy("_part", *group).agg(*[F.sum(v).alias(k) for k, v in values.items()])
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = materialize(held.select("_part", *group, *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in values]), "running-offsets")
+    offsets = held.select("_part", *group, *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in values])
     upto = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.select("*", *[F.sum(v).over(upto).alias(k) for k, v in values.items()])
-    joined = local.join(small(offsets), ["_part", *group])
+    joined = local.join(offsets, ["_part", *group])  # dealt as the window is: only the offsets move
     return joined.select(*df.columns, *[(F.col(k) + F.col(f"{k}_before")).alias(k) for k in values])
 
 

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sievelight.llm.common import NON_SPACE, let, materialize, running, small
+from sievelight.llm.common import NON_SPACE, bounded, let, materialize, running, small
 
+#: Parts that a range of sources splits into.
+FAN = 64
 #: Weights of the sources in order of code point, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -36,12 +38,11 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("_n") - 1, F.lit(len(weights))) + 1).cast("int"))
     rows = materialize(ordered.select(*sizes.columns, F.col("_n").cast("long").alias("source_no"), weight.alias("w")), "mix-weights")
     limit = F.col("source_size") * cap
-    total = (rows.agg(F.sum("source_size")).first()[0] or 0) * share
     level, n_full = 0.0, -1
     while True:
         full = limit <= F.col("w") * level
-        held = rows.agg(F.sum(full.cast("long")).alias("n"), F.sum(F.when(full, limit)).alias("sum"), F.sum(F.when(~full, F.col("w"))).alias("w")).first()
-        rest, open_weight = total - (held["sum"] or 0.0), held["w"] or 0.0
+        held = rows.agg(F.sum("source_size").alias("all"), F.sum(full.cast("long")).alias("n"), F.sum(F.when(full, limit)).alias("sum"), F.sum(F.when(~full, F.col("w"))).alias("w")).first()
+        rest, open_weight = (held["all"] or 0) * share - (held["sum"] or 0.0), held["w"] or 0.0
         if not open_weight or held["n"] == n_full:
             break
         level, n_full = rest / open_weight, held["n"]
@@ -81,31 +82,37 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """(source_no, quota) -> (source_no, shard, n): exact block quotas dealt to equal shards; source_no counts from 1.
 
     A binary tree over ranges of shards: each node gives the left half of its shards the matching half of its
-    blocks. What goes left is dealt to the sources down a second binary tree, over ranges of sources: of the blocks
-    that a range sends left, its first half sends a hypergeometric number in what both halves hold, and the second
-    half the rest, which makes the vector multivariate hypergeometric. All nodes of a level are rows and split side
-    by side; no row or task holds all sources. Depth is the logarithm of the shards times that of the sources.
+    blocks. What goes left is dealt to the sources down a second tree, over ranges of sources, FAN parts to a range: for
+    one part after the other the number that goes left is hypergeometric in what remains, which makes the vector
+    multivariate hypergeometric. All nodes and ranges of a level are rows and split side by side; no row or task holds
+    all sources. Depth is the logarithm of the shards times that of the sources to the base FAN.
     """
     node = quotas.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), F.col("source_no").cast("long").alias("source_no"), F.col("quota").cast("long").alias("n"))
     node = materialize(node, "mix-node")
-    levels = int(node.agg(F.max("source_no")).first()[0] or 0).bit_length()
+    last, levels = int(node.agg(F.max("source_no")).first()[0] or 0), 1
+    while FAN**levels <= last:
+        levels += 1
     mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+
+    def step(acc: Column, part: Column) -> Column:
+        u = uniform(F.lit(seed), F.col("lo"), F.col("hi"), part["range"])
+        draw = hypergeometric(acc["rest"], part["n"], acc["room"], u)
+        return let(draw, lambda k: F.struct(F.array_append(acc["got"], F.struct(part["range"].alias("range"), k.alias("k"))).alias("got"), (acc["rest"] - part["n"]).alias("rest"), (acc["room"] - k).alias("room")))
+
     width = shards
     while width > 1:
         split = node.filter(F.col("hi") - F.col("lo") > 1)
         # Slots are gapless over all shards: a half of the shards takes its part of the blocks, rounded down on the left.
-        left_size = F.floor(F.col("total") * (mid - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("long")
-        down = split.groupBy("lo", "hi").agg(F.sum("n").alias("total")).withColumn("range", F.lit(0).cast("long")).withColumn("k", left_size)
+        left_size = F.floor(F.sum("n") * (mid - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("long")
+        down = split.groupBy("lo", "hi").agg(left_size.alias("k")).withColumn("range", F.lit(0).cast("long"))
         for level in range(levels - 1, -1, -1):
-            half = F.shiftright("source_no", level)
-            firsts = split.filter(half % 2 == 0).groupBy("lo", "hi", F.shiftright(half, 1).alias("range")).agg(F.sum("n").alias("first"))
-            both = down.join(firsts, ["lo", "hi", "range"], "left").withColumn("first", F.coalesce("first", F.lit(0).cast("long")))
-            u = uniform(F.lit(seed), F.col("lo"), F.col("hi"), F.lit(level), F.col("range"))
-            both = both.withColumn("goes", hypergeometric(F.col("total"), F.col("first"), F.col("k"), u))
-            child = lambda no, total, k: F.struct((F.col("range") * 2 + no).alias("range"), total.alias("total"), k.alias("k"))
-            children = F.array(child(0, F.col("first"), F.col("goes")), child(1, F.col("total") - F.col("first"), F.col("k") - F.col("goes")))
-            down = both.select("lo", "hi", F.explode(children).alias("x")).select("lo", "hi", "x.*").filter("total > 0")
-            down = materialize(down, "mix-down") if level % 4 == 0 else down
+            part = F.floor(F.col("source_no") / FAN**level).cast("long")
+            parts = split.groupBy("lo", "hi", part.alias("part")).agg(F.sum("n").alias("n"))
+            cells = F.array_sort(F.collect_list(F.struct(F.col("part").alias("range"), "n")))
+            parts = parts.groupBy("lo", "hi", F.floor(F.col("part") / FAN).cast("long").alias("range")).agg(cells.alias("parts"), F.sum("n").alias("total"))
+            start = F.struct(F.array().cast("array<struct<range:bigint,k:bigint>>").alias("got"), F.col("total").alias("rest"), F.col("k").alias("room"))
+            dealt = down.join(parts, ["lo", "hi", "range"]).select("lo", "hi", F.aggregate("parts", start, step)["got"].alias("got"))
+            down = dealt.select("lo", "hi", F.explode("got").alias("x")).select("lo", "hi", "x.range", "x.k")
         got = split.join(down.select("lo", "hi", F.col("range").alias("source_no"), "k"), ["lo", "hi", "source_no"], "left").withColumn("k", F.coalesce("k", F.lit(0).cast("long")))
         halves = F.array(F.struct("lo", mid.alias("hi"), "source_no", F.col("k").alias("n")), F.struct(mid.alias("lo"), "hi", "source_no", (F.col("n") - F.col("k")).alias("n")))
         after = got.select(F.explode(halves).alias("x")).select("x.*")
@@ -135,10 +142,10 @@ def draw(sized: DataFrame, sources: DataFrame, *, shards: int = 16, block_rows:
     named = sources.withColumn("n_blocks", F.ceil(F.col("n_docs") / block_rows))
     named = named.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     named = named.withColumn("rest", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0)))
-    named = materialize(named, "mix-named")
+    n_sources = sources.count()
 
     block = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "digest", "copy"), F.col("n_blocks"))
-    dealt = sized.alias("d").join(small(named).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    dealt = sized.alias("d").join((F.broadcast(named) if small(sources) is not sources else named).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     dealt = dealt.select("d.doc_id", "d.digest", "d.copy", "d.size", "s.source_no", "s.passes", "s.rest", block.alias("block"))
 
     # Permuted blocks with running sums; those that end within the rest are whole, the next one is cut.
@@ -158,9 +165,9 @@ def draw(sized: DataFrame, sources: DataFrame, *, shards: int = 16, block_rows:
     runs = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     ranges = shares.withColumn("upto", F.sum("n").over(runs)).groupBy("source_no").agg(F.array_sort(F.collect_list(F.struct("upto", "shard", "n"))).alias("ranges"))
     shard = F.filter("ranges", lambda r: (r["upto"] >= F.col("draw")) & (r["n"] > 0))[0]["shard"]
-    placed = units.join(small(materialize(ranges, "mix-ranges")), "source_no").select("source_no", "block", "epoch", "cut", "lacks", shard.alias("shard"))
+    placed = units.join(bounded(ranges, n_sources, 24 + 32 * shards), "source_no").select("source_no", "block", "epoch", "cut", "lacks", shard.alias("shard"))
 
-    rows = dealt.drop("passes", "rest").join(small(materialize(placed, "mix-placed")), ["source_no", "block"])
+    rows = dealt.drop("passes", "rest").join(bounded(placed, n_units, 48), ["source_no", "block"])
     # Of the cut block, documents are taken in permuted order up to the first that does not fit into what the
     # source still lacks; the gap is filled by those that fit, larger ones first, and by the least one of the rest
     # if that brings the sum nearer.
@@ -189,7 +196,7 @@ def draw(sized: DataFrame, sources: DataFrame, *, shards: int = 16, block_rows:
     local = Window.partitionBy("shard", "part").orderBy(F.xxhash64(F.lit(seed + 5), "doc_id", "digest", "copy", "epoch"), "doc_id", "digest", "copy", "epoch")
     counts = taken.groupBy("shard", "part").count()
     starts = counts.select("shard", "part", (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("start"))
-    out = taken.withColumn("slot", F.row_number().over(local) - 1).join(small(materialize(starts, "mix-starts")), ["shard", "part"])
+    out = taken.withColumn("slot", F.row_number().over(local) - 1).join(bounded(starts, shards * n_parts, 24), ["shard", "part"])
     return out.select("doc_id", "digest", "copy", "source_no", "size", F.col("epoch").cast("int").alias("epoch"), "shard", (F.col("slot") + F.col("start")).cast("long").alias("slot"))
 
 

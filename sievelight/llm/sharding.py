@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sievelight.llm.common import materialize, small
+from sievelight.llm.common import bounded
 
 #: Seeds of the hashes that choose a shard and a bucket.
 SHARD_SEED, BUCKET_SEED = 11, 12
@@ -55,7 +55,7 @@ def shuffle_shards(rows: DataFrame, shards: int = 24, *, key: str = "doc_id", te
     dealt = gathered.select("_s", "_b", F.shuffle(F.array_sort("_recs"), seed).alias("_recs")).select("_s", "_b", F.posexplode("_recs").alias("_p", "_rec"))
     sizes = spread.groupBy("_s", "_b").count()
     starts = sizes.select("_s", "_b", (F.sum("count").over(Window.partitionBy("_s").orderBy("_b")) - F.col("count")).alias("_from"))
-    placed = dealt.join(small(materialize(starts, "shard-starts")), ["_s", "_b"])
+    placed = dealt.join(bounded(starts, shards * buckets, 24), ["_s", "_b"])
     return placed.select(*[F.col("_rec._r").getField(c).alias(c) for c in cols], F.col("_s").alias("shard"), (F.col("_from") + F.col("_p")).cast("long").alias("slot"))
 
 
