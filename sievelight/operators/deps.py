@@ -13,15 +13,21 @@ BROADCAST_ROWS = 200_000
 _VERSION = r"^[vV=\s]*([0-9]+)(?:\.([0-9]+))?(?:\.([0-9]+))?(?:\.[0-9]+)*(?:[-.]?([A-Za-z][0-9A-Za-z.-]*|-[0-9A-Za-z.-]+))?"
 
 
+PRE = "array<struct<word:int,number:bigint,text:string>>"
+
+
 def version_key(version: Column) -> Column:
-    """major, minor, patch, is_release (1 above 0) and pre-release text: structs that compare in version order.
+    """major, minor, patch, is_release (1 above 0) and the pre-release's parts: structs that compare in version order.
 
-    Missing parts count as 0, build metadata is dropped, and text without a number gives null.
+    Of pre-release parts, numbers compare as numbers and stand before words, and fewer parts before more. Missing
+    parts of a version count as 0, build metadata is dropped, and text without a number gives null.
     """
     plain = F.substring_index(F.trim(version), "+", 1)
     part = lambda i: F.coalesce(F.regexp_extract(plain, _VERSION, i).try_cast("long"), F.lit(0))
-    pre = F.regexp_extract(plain, _VERSION, 4)
-    key = F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"), F.when(pre == "", 1).otherwise(0).alias("is_release"), pre.alias("pre"))
+    pre = F.regexp_replace(F.regexp_extract(plain, _VERSION, 4), "^-", "")
+    number = lambda x: F.when(F.rlike(x, F.lit("^[0-9]{1,18}$")), x.try_cast("long"))
+    parts = F.transform(F.filter(F.split(pre, r"\."), lambda x: x != ""), lambda x: F.struct(number(x).isNull().cast("int").alias("word"), F.coalesce(number(x), F.lit(0)).alias("number"), F.when(number(x).isNull(), x).otherwise("").alias("text")))
+    key = F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"), F.when(pre == "", 1).otherwise(0).alias("is_release"), parts.alias("pre"))
     return F.when(F.rlike(plain, F.lit(r"^[vV=\s]*[0-9]")), key)
 
 
@@ -32,28 +38,35 @@ def _bumped(key: Column, level: Column) -> Column:
         F.when(level == 0, F.lit(0)).when(level == 1, key["minor"] + 1).otherwise(key["minor"]).cast("long").alias("minor"),
         F.when(level <= 1, F.lit(0)).otherwise(key["patch"] + 1).cast("long").alias("patch"),
         F.lit(0).alias("is_release"),
-        F.lit("").alias("pre"),
+        F.array().cast(PRE).alias("pre"),
     )
 
 
 def range_intervals(advisories: DataFrame) -> DataFrame:
     """One row for each alternative of affectedRange: lo, lo_inc, hi, hi_inc (null bound: open).
 
-    Alternatives are split at ||; comparators inside one are joined: `>=a <b`, `^`, `~`, `=`, a bare version, `*`.
+    Alternatives are split at ||; comparators inside one are joined: `>=a <b`, `a - b`, `^`, `~`, `=`, a bare version,
+    `*`. Versions may be partial or end in x: `1.2` and `1.2.x` are all of 1.2, `>1` begins at 2.0.0, `<=1.2` ends
+    before 1.3.0. Pre-releases lie in an interval by their order alone: 2.0.0-rc1 is in `<2.0.0`, as it lacks what
+    2.0.0 mends; package managers leave such versions out unless a comparator names one.
     """
     parts = advisories.select("*", F.explode(F.split("affectedRange", r"\|\|")).alias("_alt"))
-    found = F.regexp_extract_all(F.col("_alt"), F.lit(r"(>=|<=|>|<|=|\^|~>?|)\s*[vV]?([0-9*xX][0-9A-Za-z.*+-]*)"), F.lit(0))
-    tokens = F.transform(found, lambda t: F.struct(F.regexp_extract(t, r"^(>=|<=|>|<|=|\^|~)?", 1).alias("op"), version_key(F.regexp_replace(t, r"^[>=<^~\s]+", "")).alias("v"), F.size(F.split(t, r"\.")).alias("parts")))
+    hyphens = F.regexp_replace("_alt", r"(\S+)\s+-\s+(\S+)", ">=$1 <=$2")
+    found = F.regexp_extract_all(hyphens, F.lit(r"(>=|<=|>|<|=|\^|~>?|)\s*[vV]?([0-9*xX][0-9A-Za-z.*+-]*)"), F.lit(0))
+    bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"^[>=<^~\sv]+", ""), r"\.[xX*].*$", "")
+    given = lambda t: F.size(F.split(F.regexp_extract(bare(t), r"^[0-9]+(?:\.[0-9]+){0,2}", 0), r"\."))
+    tokens = F.transform(found, lambda t: F.struct(F.regexp_extract(t, r"^(>=|<=|>|<|=|\^|~)?", 1).alias("op"), version_key(bare(t)).alias("v"), given(t).alias("parts")))
     rows = parts.withColumn("_tokens", F.filter(tokens, lambda t: t["v"].isNotNull()))
 
     def bounds(t: Column) -> Column:
-        v = t["v"]
-        caret = _bumped(v, F.when(v["major"] > 0, 0).when(v["minor"] > 0, 1).otherwise(2))
+        v, partial = t["v"], t["parts"] < 3
+        caret = _bumped(v, F.when((v["major"] > 0) | (t["parts"] < 2), 0).when((v["minor"] > 0) | partial, 1).otherwise(2))
+        after = _bumped(v, t["parts"] - 1)
         tilde = _bumped(v, F.when(t["parts"] < 2, 0).otherwise(1))
         exact = t["op"].isin("", "=")
-        low = F.when(t["op"].isin(">", ">=", "^", "~") | exact, v)
-        high = F.when(t["op"].isin("<", "<=") | exact, v).when(t["op"] == "^", caret).when(t["op"] == "~", tilde)
-        return F.struct(low.alias("lo"), (t["op"] != ">").alias("lo_inc"), high.alias("hi"), (t["op"].isin("<=", "=", "")).alias("hi_inc"))
+        low = F.when((t["op"] == ">") & partial, after.withField("is_release", F.lit(1))).when(t["op"].isin(">", ">=", "^", "~") | exact, v)
+        high = F.when((exact | (t["op"] == "<=")) & partial, after).when(t["op"].isin("<", "<=") | exact, v).when(t["op"] == "^", caret).when(t["op"] == "~", tilde)
+        return F.struct(low.alias("lo"), ((t["op"] != ">") | partial).alias("lo_inc"), high.alias("hi"), (t["op"].isin("<=", "=", "") & ~partial).alias("hi_inc"))
 
     rows = rows.withColumn("_b", F.transform("_tokens", bounds))
     # The tightest bounds hold: an exclusive one is tighter than an inclusive one at the same version.

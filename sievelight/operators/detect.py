@@ -120,17 +120,28 @@ def match_lines(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, begin, step)["lines"]
 
 
+def _keyword(rule: Rule) -> str:
+    """What a match of the rule begins with: the pattern up to the first run over any text."""
+    return rule.pattern.split(r"[\s\S]*")[0]
+
+
 def infra_patterns(files: DataFrame, rules: list[Rule] = INFRA_RULES, only_infra: bool = True) -> DataFrame:
     """One finding per match of a rule in the whole text, at the line where the match begins."""
     from sievelight.functions.paths import is_infra_file
 
     rows = files.filter(is_infra_file(F.col("file"))) if only_infra else files
     none = F.array().cast("array<int>")
-    tested = F.array(*[F.struct(_rule_struct(r, no).alias("r"), F.when(F.rlike("content", F.lit(java(r))), match_lines(F.col("content"), java(r))).otherwise(none).alias("lines")) for no, r in enumerate(rules)])
+    # One pass tells files that no rule matches; a rule that ends far behind its keyword is tried only where its end stands.
+    rows = rows.filter(F.rlike("content", F.lit(any_of([_keyword(r) for r in rules]))))
+
+    def worth(r: Rule) -> Column:
+        return F.contains("content", F.lit("0.0.0.0/0")) if r.pattern.endswith(r"[\s\S]*0\.0\.0\.0/0") else F.lit(True)
+
+    tested = F.array(*[F.struct(_rule_struct(r, no).alias("r"), F.when(worth(r) & F.rlike("content", F.lit(java(r))), match_lines(F.col("content"), java(r))).otherwise(none).alias("lines")) for no, r in enumerate(rules)])
     rows = rows.select("repo", "file", F.explode(F.filter(tested, lambda x: F.size(x["lines"]) > 0)).alias("x")).select("repo", "file", "x.r", F.posexplode("x.lines").alias("k", "line"))
     found = rows.select(
         "repo", "file", "line", "r.id", "r.severity", "r.title", _tagged(F.col("r.description"), F.col("r.owasp")).alias("description"), "r.owasp",
-        F.lit("code").alias("category"), F.lit(RANKS["infra"]).alias("detector_rank"), (F.col("r.no").cast("long") * 1_000_000 + F.col("k")).alias("seq"),
+        F.lit("code").alias("category"), F.lit(RANKS["infra"]).alias("detector_rank"), (F.col("r.no").cast("long") * (1 << 40) + F.col("k")).alias("seq"),
     )
     return as_findings(found)
 
@@ -193,6 +204,6 @@ def secret_findings(literals: DataFrame) -> DataFrame:
     rows = classify_secrets(literals).select(
         "repo", "file", "line", "column", F.col("secret_id").alias("id"), F.lit("high").alias("severity"), title.alias("title"),
         _tagged(F.lit("A literal looks like a secret."), F.lit(AUTH)).alias("description"), F.lit(AUTH).alias("owasp"), F.lit("code").alias("category"),
-        F.lit(RANKS["patterns_js"]).alias("detector_rank"), (F.col("line").cast("long") * 100_000 + F.col("column")).alias("seq"),
+        F.lit(RANKS["patterns_js"]).alias("detector_rank"), (F.col("line").cast("long") * (1 << 31) + F.col("column")).alias("seq"),
     )
     return as_findings(rows)

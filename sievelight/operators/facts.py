@@ -5,6 +5,7 @@ Facts come from a lexical extractor; facts from a real parser can take their pla
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from sievelight.functions.paths import detect_language, is_code_file
+from sievelight.schema import RANKS, as_findings
 
 #: refs and calls of an expression outside the arguments of its calls; inner ones are inside them.
 EXPR = "struct<refs:array<string>,calls:array<string>,inner_refs:array<string>,inner_calls:array<string>>"
@@ -23,6 +25,7 @@ _NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
 _DOTTED = rf"{_NAME}(?:(?:\.|->|::|\?\.){_NAME})*"
 _CALL = re.compile(rf"({_DOTTED})!?\s*\(")
 _REF = re.compile(_DOTTED)
+_INDENT, _LINE = re.compile(r"[ \t]*"), re.compile(r"\n([ \t]*)(?=[^\s])")
 _ASSIGN = re.compile(rf"^\s*(?:(?:export|const|let|var|val|final|auto|static|my|mut|public|private)\s+)*(?:[A-Za-z_][\w<>\[\],.*&]*\s+[*&]?)?({_DOTTED})\s*(?::[^=;(){{}}]+)?(?::=|[+\-*/|.]?=)(?![=>])(.*)$", re.S)
 _FUNC = re.compile(rf"(?:(async)\s+)?\b(?:function\*?|def|func|fun|fn|sub)\s+(?:\([^)]*\)\s*)?({_NAME})?\s*\(([^)]*)\)|(?:({_NAME})\s*[:=]\s*)?(?:(async)\s+)?(?:\(([^()]*)\)|({_NAME}))\s*=>")
 _WORDS = frozenset("if for while switch return catch function def func fun fn sub new await async const let var val in of else elif and or not typeof throw yield import from class public private static final true false null None True False nil self this void int".split())
@@ -107,12 +110,12 @@ def _scopes(masked: str, lang: str) -> list[tuple[int, int, re.Match]]:
     out = []
     for m in _FUNC.finditer(masked):
         line_start = masked.rfind("\n", 0, m.start()) + 1
-        indent = len(masked[line_start:]) - len(masked[line_start:].lstrip(" \t"))
+        indent = _INDENT.match(masked, line_start).end() - line_start
         if lang in ("python", "ruby"):
             end = len(masked)
-            for n in re.finditer(r"\n([ \t]*)(?=[^\s])", masked[m.end() :]):
+            for n in _LINE.finditer(masked, m.end()):
                 if len(n[1]) <= indent:
-                    end = m.end() + n.start()
+                    end = n.start()
                     break
         else:
             brace = masked.find("{", m.end())
@@ -129,14 +132,18 @@ def file_facts(repo: str, file: str, lang: str, code: str) -> list[tuple]:
     lines = [m.start() for m in re.finditer("\n", code)]
 
     def where(at: int) -> tuple[int, int]:
-        import bisect
-
         n = bisect.bisect_left(lines, at)
         return n + 1, at - (lines[n - 1] if n else -1)
 
+    # Where the innermost function changes: starts and ends in order, with a stack of the open ones.
+    marks, owners, open_ = [-1], [0], []
+    for at, starts, i in sorted([(s, 1, i) for i, (s, e, _) in enumerate(scopes) if s < e] + [(e, 0, i) for i, (s, e, _) in enumerate(scopes) if s < e]):
+        open_ = [*open_, i] if starts else [x for x in open_ if x != i]
+        marks.append(at)
+        owners.append(max(open_, key=lambda x: (scopes[x][0], x)) + 1 if open_ else 0)
+
     def scope_at(at: int) -> int:
-        inside = [(s, i) for i, (s, e, _) in enumerate(scopes) if s <= at < e]
-        return max(inside)[1] + 1 if inside else 0
+        return owners[bisect.bisect_right(marks, at) - 1]
 
     events = []
     for i, (_, _, m) in enumerate(scopes):
@@ -296,8 +303,48 @@ def native_secret_rules(files: DataFrame, matchers: DataFrame) -> DataFrame:
     """Lines that a `literal` rule of the file's language fits, case-insensitive: repo, file, line, rule_id."""
     lang = detect_language(F.col("file"))
     numbered = F.transform(F.split("content", r"\r?\n", -1), lambda text, i: F.struct((i + 1).cast("int").alias("line"), text.alias("text")))
-    lines = files.withColumn("lang", lang).filter("lang is not null").select("repo", "file", "lang", F.explode(numbered).alias("l"))
-    rules = F.broadcast(matchers.filter("role = 'literal'").select(F.col("language").alias("_lang"), "rule_id", F.concat(F.lit("(?i)"), "value").alias("pattern")))
+    literal = matchers.filter("role = 'literal'")
+    # Lines are told by the rules' own patterns before they become rows; the rule table is bounded by its packs.
+    patterns = sorted(r["value"] for r in literal.select("value").distinct().collect())
+    if not patterns:
+        return files.select("repo", "file", F.lit(0).alias("line"), F.lit("").alias("rule_id")).limit(0)
+    any_rule = F.lit("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    lines = files.withColumn("lang", lang).filter(F.col("lang").isNotNull() & F.rlike("content", any_rule)).select("repo", "file", "lang", F.explode(F.filter(numbered, lambda x: F.rlike(x["text"], any_rule))).alias("l"))
+    rules = F.broadcast(literal.select(F.col("language").alias("_lang"), "rule_id", F.concat(F.lit("(?i)"), "value").alias("pattern")))
     return lines.join(rules, (F.col("lang") == F.col("_lang")) & F.rlike("l.text", F.col("pattern"))).select("repo", "file", "l.line", "rule_id")
 
 
+#: Ids, titles and categories of the call detectors' findings; all are high.
+CRYPTO, INTEGRITY = "A02:2021 Cryptographic Failures", "A08:2021 Software and Data Integrity Failures"
+CALL_DETECTORS = [
+    (weak_hash_calls, "insecure-crypto", "Weak Hash Function", CRYPTO, "arg0"),
+    (insecure_random_calls, "insecure-crypto", "Insecure Randomness", CRYPTO, "name"),
+    (insecure_cipher_api, "insecure-crypto", "Insecure Cipher API", CRYPTO, "name"),
+    (weak_cipher_calls, "insecure-crypto", "Weak Cipher Algorithm", CRYPTO, "arg0"),
+    (deserialization_calls, "unsafe-deserialization", "Unsafe Deserialization", INTEGRITY, "name"),
+]
+
+
+def call_findings(facts: DataFrame, detectors: list[tuple] = CALL_DETECTORS) -> DataFrame:
+    """Findings of the call detectors over JavaScript facts: id, severity, title, category and place of each call."""
+    found = None
+    for no, (detect, rule, title, owasp, about) in enumerate(detectors):
+        text = F.concat(F.lit(f"{title}: "), F.coalesce(F.col(about), F.col("name")), F.lit(f" [{owasp}]"))
+        rows = detect(facts.filter("lang = 'javascript'")).select(
+            "repo", "file", "line", "column", F.lit(rule).alias("id"), F.lit("high").alias("severity"), F.lit(title).alias("title"), text.alias("description"),
+            F.lit(owasp).alias("owasp"), F.lit("code").alias("category"), F.lit(RANKS["patterns_js"]).alias("detector_rank"), (F.col("pos").cast("long") * 8 + no).alias("seq"),
+        )
+        found = as_findings(rows) if found is None else found.unionByName(as_findings(rows))
+    return found
+
+
+def native_findings(facts: DataFrame, files: DataFrame, matchers: DataFrame) -> DataFrame:
+    """Findings of the `direct` and `literal` rules of the other languages, with the rules' titles, severities and categories."""
+    rules = F.broadcast(matchers.select("rule_id", "title", "severity", "owasp").distinct())
+    direct = native_direct_rules(facts.filter("lang != 'javascript'"), matchers).select("repo", "file", "line", "column", "rule_id")
+    literal = native_secret_rules(files, matchers).select("repo", "file", "line", F.lit(None).cast("int").alias("column"), "rule_id")
+    rows = direct.unionByName(literal).join(rules, "rule_id")
+    return as_findings(rows.select(
+        "repo", "file", "line", "column", F.col("rule_id").alias("id"), "severity", "title", F.concat("title", F.lit(" ["), "owasp", F.lit("]")).alias("description"), "owasp",
+        F.lit("code").alias("category"), F.lit(RANKS["taint_native"]).alias("detector_rank"), (F.col("line").cast("long") * (1 << 31) + F.coalesce("column", F.lit(0))).alias("seq"),
+    ))

@@ -14,7 +14,8 @@ from sievelight.functions.paths import module_key
 #: Sizes and limits by default.
 MAX_CHARS, CHARS_PER_TOKEN, TOKEN_LIMIT, BATCH_FILES, MODULE_DEPTH = 4000, 4, 50_000, 25, 2
 
-SCHEMA_LINE = '{"findings":[{"id":string,"severity":"low|medium|high|critical","title":string,"description":string,"file":string,"line":number}]}'
+INSTRUCTION = "Look for security weaknesses in the part of a source file below. Answer with one JSON object and nothing around it."
+SCHEMA_LINE = "The object has a list `findings`; each has id, severity (low, medium, high or critical), title, description, file and line."
 
 
 def estimate_tokens(content: Column) -> Column:
@@ -100,9 +101,9 @@ def build_prompts(chunked: DataFrame, context: DataFrame | None = None) -> DataF
     rows = chunked if context is None else chunked.join(context.select("repo", "context"), "repo", "left")
     summary = F.lit(None).cast("string") if context is None else F.when(F.trim("context") != "", F.concat(F.lit("Context Summary:\n"), F.trim("context"), F.lit("\n")))
     lines = F.array(
-        F.lit("You are a security static analysis engine."), F.lit("Return JSON only."), F.lit("Do not add explanations."), F.lit("Do not wrap in markdown."), F.lit("Do not add code fences."), F.lit(""),
+        F.lit(INSTRUCTION), F.lit(""),
         summary, F.lit("Schema:"), F.lit(SCHEMA_LINE), F.lit(""),
-        F.concat(F.lit("Analyze this code chunk from "), "file", F.lit(" (chunk "), F.col("chunk_no").cast("string"), F.lit("/"), F.col("n_chunks").cast("string"), F.lit("):")), F.col("chunk"),
+        F.concat(F.lit("File "), "file", F.lit(", chunk "), F.col("chunk_no").cast("string"), F.lit("/"), F.col("n_chunks").cast("string"), F.lit(":")), F.col("chunk"),
     )
     return rows.select("repo", "file", "chunk_no", F.array_join(lines, "\n").alias("prompt"))
 

@@ -50,10 +50,9 @@ def owasp_rollup(spark, sf_dir):
     return ops.owasp_rollup(_findings(spark, sf_dir))
 
 
-@R.query(f"SELECT repo, max({RANK}) AS worst, max({RANK}) >= 3 AS failed FROM ({FINDS}) f WHERE seq % 50 != 0 AND NOT (repo LIKE 'r1%' AND severity = 'critical') GROUP BY repo")
+@R.query(f"SELECT repo, max({RANK}) AS worst, max({RANK}) >= 3 AS failed FROM ({FINDS}) f GROUP BY repo")
 def severity_gate(spark, sf_dir):
-    found = _findings(spark, sf_dir).filter("seq % 50 != 0 and not (repo like 'r1%' and severity = 'critical')")
-    return ops.severity_gate(found, "Critical")
+    return ops.severity_gate(_findings(spark, sf_dir), "Critical")
 
 
 @R.query(f"SELECT repo, count(*) AS total, count(*) FILTER (severity IN ('critical', 'high')) AS serious FROM ({FINDS}) f GROUP BY repo")
@@ -146,8 +145,8 @@ MD_SECTION = f"""SELECT repo, severity, {RANK} AS r, count(*) AS n, concat('###
   FROM (SELECT *, {MD_ITEM} AS item, row_number() OVER (PARTITION BY repo, severity ORDER BY {SORT}) AS place FROM ({FINDS}) f) g GROUP BY repo, severity"""
 
 
-@R.query(f"""SELECT repo, md5(concat('## Scan Results', chr(10), chr(10), CASE WHEN serious > 0 THEN concat('> **', CAST(serious AS STRING), ' critical/high severity issue', CASE WHEN serious > 1 THEN 's' ELSE '' END, ' found.** Please review before merging.')
-      ELSE concat('> **', CAST(total AS STRING), ' finding', CASE WHEN total > 1 THEN 's' ELSE '' END, ' detected.** No critical issues.') END,
+@R.query(f"""SELECT repo, md5(concat('## Scan Results', chr(10), chr(10), CASE WHEN serious > 0 THEN concat('> **', CAST(serious AS STRING), ' critical/high severity issue', CASE WHEN serious > 1 THEN 's' ELSE '' END, ' to look at first.**')
+      ELSE concat('> **', CAST(total AS STRING), ' finding', CASE WHEN total > 1 THEN 's' ELSE '' END, ', none of them critical or high.**') END,
     chr(10), chr(10), '### Summary', chr(10), chr(10), '| Severity | Count |', chr(10), '|----------|-------|', chr(10), lines, chr(10), chr(10), sections)) AS digest
   FROM (SELECT repo, CAST(sum(n) AS BIGINT) AS total, CAST(coalesce(sum(n) FILTER (r >= 2), 0) AS BIGINT) AS serious, string_agg(concat('| ', upper(severity), ' | ', CAST(n AS STRING), ' |'), chr(10) ORDER BY r DESC) AS lines, string_agg(section, chr(10) || chr(10) ORDER BY r DESC) AS sections FROM ({MD_SECTION}) s GROUP BY repo) t""")
 def write_markdown_report(spark, sf_dir):
@@ -421,11 +420,11 @@ def chunk_code(spark, sf_dir):
     return model_prep.chunk_code(code).select("repo", "file", "chunk_no", "n_chunks", F.md5("chunk").alias("chunk"))
 
 
-HEAD = "You are a security static analysis engine.\nReturn JSON only.\nDo not add explanations.\nDo not wrap in markdown.\nDo not add code fences.\n\n"
+HEAD = model_prep.INSTRUCTION + "\n\n"
 
 
 @R.query(f"""SELECT repo, file, chunk_no, md5(concat({_quoted(HEAD)}, CASE WHEN CAST(file AS BIGINT) >= 0 THEN concat('Context Summary:', chr(10), 'Top-level: ', repo, chr(10), chr(10)) END, 'Schema:', chr(10), {_quoted(model_prep.SCHEMA_LINE)}, chr(10), chr(10),
-    'Analyze this code chunk from ', file, ' (chunk ', CAST(chunk_no AS STRING), '/', CAST(n_chunks AS STRING), '):', chr(10), chunk)) AS prompt FROM ({CHUNKS.format(m=4000)}) c""")
+    'File ', file, ', chunk ', CAST(chunk_no AS STRING), '/', CAST(n_chunks AS STRING), ':', chr(10), chunk)) AS prompt FROM ({CHUNKS.format(m=4000)}) c""")
 def build_prompts(spark, sf_dir):
     docs = docs_as_files(spark, sf_dir)
     context = docs.select("repo").distinct().withColumn("context", F.concat(F.lit(" Top-level: "), "repo", F.lit(" ")))

@@ -376,6 +376,29 @@ def call_edges(spark, sf_dir):
     return found.filter("callee not in ('Runtime.getRuntime', 'Runtime.getRuntime.exec') and not (callee = 'exec')")
 
 
+WEAK_NATIVE = f"SELECT repo, file, line_no AS line, CASE WHEN ends_with(file, '.py') THEN 'py' ELSE 'go' END || '-weak-crypto' AS id, 'medium' AS severity FROM (SELECT *, unnest(regexp_extract_all(line_text, '{CALL_RE}', 1)) AS name FROM ({LINES}) l WHERE regexp_matches(file, '\\.(py|go)$')) c WHERE regexp_matches(name, 'md5|sha1')"
+SECRET_NATIVE = f"SELECT repo, file, line_no AS line, CASE WHEN ends_with(file, '.py') THEN 'py' ELSE 'go' END || '-hardcoded-secret' AS id, 'medium' AS severity FROM ({LINES}) l WHERE regexp_matches(file, '\\.(py|go)$') AND regexp_matches(line_text, '{SECRET_LITERAL_SQL}')"
+CRYPTO_CALLS = """(name IN ('createHash', 'crypto.createHash') AND lower(arg0) IN ('md5', 'sha1', 'md4')) OR name IN ('Math.random', 'crypto.pseudoRandomBytes', 'pseudoRandomBytes')
+    OR name IN ('createCipher', 'crypto.createCipher', 'createDecipher', 'crypto.createDecipher')
+    OR (name IN ('createCipheriv', 'crypto.createCipheriv', 'createDecipheriv', 'crypto.createDecipheriv') AND regexp_matches(lower(arg0), 'des|3des|rc2|rc4|bf|blowfish|idea|-ecb|ecb$'))"""
+SCAN_SQL = f"""WITH w AS (SELECT * FROM ({WHOLE}) w0 WHERE regexp_matches(file, '\\.(tf|yaml)$'))
+  SELECT DISTINCT repo, file, CAST(line AS INTEGER) AS line, id, severity FROM (
+    {LINE_HITS.format(cols='id, severity', lines=f"SELECT repo, file, line_no AS line, line_text AS t FROM ({LINES}) x", tests=LINE_TESTS)}
+    UNION ALL SELECT i.repo, i.file, i.line, i.id, s.severity FROM ({" UNION ALL ".join(_infra_arm(no, r) for no, r in enumerate(detect.INFRA_RULES))}) i JOIN ({_rule_rows(detect.INFRA_RULES)}) s USING (id)
+    UNION ALL SELECT repo, file, line, 'insecure-crypto', 'high' FROM ({CALLS}) c WHERE {CRYPTO_CALLS}
+    UNION ALL SELECT repo, file, line, 'unsafe-deserialization', 'high' FROM ({CALLS}) c WHERE name IN {_in(facts.DESERIALIZERS)}
+    UNION ALL SELECT repo, file, line, secret_id, 'high' FROM ({SECRET_SQL}) z WHERE reason IS NOT NULL AND regexp_matches(file, '\\.(js|ts)$')
+    UNION ALL {WEAK_NATIVE} UNION ALL {SECRET_NATIVE}) u"""
+
+
+@R.query(SCAN_SQL)
+def scan_all(spark, sf_dir):
+    """All detectors over the files of snippets; no snippet holds a source of taint."""
+    from sievelight.operators.scan import scan_all as run
+
+    return run(whole_files(spark, sf_dir)).select("repo", "file", "line", "id", "severity")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.operators.findings import count_by_severity
 

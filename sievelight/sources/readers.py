@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.functions.paths import normalize_path
+from sievelight.functions.paths import filter_globs, is_text_file, normalize_path
 from sievelight.schema import ADVISORY
 
 MATCHER = "matcher struct<callee:string,calleePrefix:string,calleePattern:string>"
@@ -16,12 +16,19 @@ PACK = (
 MATCHERS = "language string, rule_id string, title string, severity string, owasp string, rule_kind string, rule_no int, role string, endpoint_no int, endpoint_name string, kind string, value string"
 
 
-def read_files(spark: SparkSession, path: str, repo: str = "local") -> DataFrame:
-    """repo, file (relative to path), content (UTF-8) of all files below path."""
+def read_files(spark: SparkSession, path: str, repo: str = "local", include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """repo, file (relative to path), content of the text files below path that the globs let through (by default: all).
+
+    Files with extensions of binary formats are left out before their content is decoded; bytes that are no UTF-8
+    become U+FFFD.
+    """
     rows = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(path)
-    place = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "%20", " ")
+    plain = F.coalesce(F.try_url_decode(F.regexp_replace("path", r"\+", "%2B")), "path")
+    place = F.regexp_replace(plain, "^[a-z]+:/+", "/")
     root = "/" + path.split(":", 1)[-1].lstrip("/") if ":" in path else path
-    return rows.select(F.lit(repo).alias("repo"), normalize_path(place, root).alias("file"), F.decode("content", "UTF-8").alias("content"))
+    named = rows.select(F.lit(repo).alias("repo"), normalize_path(place, root).alias("file"), "content")
+    kept = filter_globs(named, include, [] if exclude is None else exclude).filter(is_text_file(F.col("file")))
+    return kept.withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
 
 
 def read_advisories(spark: SparkSession, path: str) -> DataFrame:
@@ -49,7 +56,9 @@ def matcher_rows(rules: DataFrame) -> DataFrame:
     out = literal
     for p in parts:
         out = out.unionByName(p)
-    return out.select(*[f.split()[0] for f in MATCHERS.split(", ")])
+    # Facts write every kind of member access as a dot, and so must the names that are looked for.
+    value = F.when(F.col("kind") == "regex", F.col("value")).otherwise(F.regexp_replace("value", r"->|::|\?\.", "."))
+    return out.withColumn("value", value).select(*[f.split()[0] for f in MATCHERS.split(", ")])
 
 
 def load_native_rules(spark: SparkSession, path: str) -> DataFrame:

@@ -188,7 +188,10 @@ def test_dependencies_end_to_end(spark, tmp_path):
     assert "1.3.1" in found[0]["recommendation"] and found[0]["simulation"]["payload"]
 
 
-@pytest.mark.parametrize("text, version, inside", [(">=1.0.0 <1.3.1", "1.3.0", True), (">=1.0.0 <1.3.1", "1.3.1", False), ("<2.0.0", "2.0.0-rc1", True), ("^0.2.3", "0.2.9", True), ("^0.2.3", "0.3.0", False), ("~1.2", "1.2.9", True), ("~1.2", "1.3.0", False), ("=1.0.0 || 3.0.0", "3.0.0", True), ("*", "9.9.9", True), (">1.10.2", "1.9.0", False)])
+@pytest.mark.parametrize("text, version, inside", [(">=1.0.0 <1.3.1", "1.3.0", True), (">=1.0.0 <1.3.1", "1.3.1", False), ("<2.0.0", "2.0.0-rc1", True), ("^0.2.3", "0.2.9", True), ("^0.2.3", "0.3.0", False), ("~1.2", "1.2.9", True), ("~1.2", "1.3.0", False), ("=1.0.0 || 3.0.0", "3.0.0", True), ("*", "9.9.9", True), (">1.10.2", "1.9.0", False),
+    ("1.x", "1.7.3", True), ("1.x", "2.0.0", False), ("1.2", "1.2.5", True), ("1.2", "1.3.0", False), ("1.2.*", "1.2.0", True), ("1.0.0 - 2.0.0", "2.0.0", True), ("1.0.0 - 2.0.0", "2.0.1", False), ("1.0 - 2.1", "2.1.9", True),
+    (">1", "1.5.0", False), (">1", "2.0.0", True), (">1.2", "1.2.9", False), ("<=1.2", "1.2.9", True), ("<=1.2", "1.3.0", False), ("<1.0.0-rc.9", "1.0.0-rc.10", False), ("<1.0.0-rc.10", "1.0.0-rc.9", True), ("<1.0.0-rc.1", "1.0.0-rc", True),
+    ("^0.0", "0.0.9", True), ("^0.x", "0.9.9", True), ("^1.2.3-beta.2", "1.2.3-beta.10", True), (">=1.0.0 <2.0.0", "2.0.0-alpha", True)])
 def test_ranges(spark, text, version, inside):
     adv = spark.createDataFrame([("A", "p", "npm", text)], "id string, package string, ecosystem string, affectedRange string")
     dep = spark.createDataFrame([("npm", "p", version)], "ecosystem string, name string, version string")
@@ -273,3 +276,44 @@ def test_rule_titles_cover_all_languages(spark):
 def test_noisy_json_replies(spark):
     df = spark.createDataFrame([("r", "a.ts", 1, 'ok {"findings":[{"id":"x","severity":"low"}]} bye'), ("r", "b.ts", 1, "no json {"), ("r", "c.ts", 1, None)], "repo string, file string, chunk int, reply string")
     assert [(r["file"], r["id"]) for r in ingest.parse_model_replies(df).collect()] == [("a.ts", "x")]
+
+
+def test_files_of_any_bytes(spark, tmp_path):
+    from sievelight.sources import readers
+
+    (tmp_path / "a b+c%").mkdir()
+    (tmp_path / "a b+c%" / "latin.py").write_bytes("x = 'é'".encode("latin-1"))
+    (tmp_path / "logo.png").write_bytes(bytes(range(256)))
+    (tmp_path / "ok.ts").write_text("eval(x) // é")
+    got = {r["file"]: r["content"] for r in readers.read_files(spark, str(tmp_path)).collect()}
+    assert got == {"a b+c%/latin.py": "x = '\ufffd'", "ok.ts": "eval(x) // é"}
+    assert [r["file"] for r in readers.read_files(spark, str(tmp_path), include=["**/*.ts"]).collect()] == ["ok.ts"]
+
+
+def test_packs_with_colons(spark, tmp_path):
+    from sievelight.sources import readers
+
+    pack = '{"language":"rust","rules":[{"id":"r1","title":"T","severity":"high","owasp":"O","kind":"taint","sources":[{"id":"s","name":"s","matcher":{"callee":"env::args"}}],"sinks":[{"id":"k","name":"k","matcher":{"callee":["fs::read"]}}]}]}'
+    (tmp_path / "rust.json").write_text(pack)
+    rules = readers.load_native_rules(spark, str(tmp_path))
+    found = taint.taint_native(facts.extract_call_facts(files(spark, ("a.rs", "fn f() {\n let a = env::args();\n fs::read(a);\n}"))), rules)
+    assert [(r["rule_id"], r["line"]) for r in found.collect()] == [("r1", 3)]
+
+
+def test_scan_has_titles_and_places(spark):
+    from sievelight.operators.scan import scan_all
+
+    df = files(spark, ("a.js", 'crypto.createHash("md5");\nconst x = getUserInput(); eval(x);'), ("b.py", "hashlib.md5(b)"), ("k8s/d.yaml", "privileged: true"), ("c.png", "eval(x)"))
+    got = {(r["file"], r["line"], r["id"], r["severity"], r["title"]) for r in scan_all(df).collect()}
+    assert {("a.js", 1, "insecure-crypto", "high", "Weak Hash Function"), ("a.js", 2, "js-eval-injection", "high", "Eval Injection"), ("a.js", 2, "eval-exec", "high", "Dynamic Code Execution"), ("b.py", 1, "py-weak-crypto", "medium", "Weak Crypto"), ("k8s/d.yaml", 1, "k8s-privileged", "high", "Privileged Kubernetes Pod")} <= got
+    assert all(title and severity for _, _, _, severity, title in got) and not any(f == "c.png" for f, *_ in got)
+
+
+def test_many_functions_are_linear():
+    import time
+
+    code = "".join(f"function f{i}(a) {{\n  g{i}(a);\n}}\n" for i in range(10_000))
+    began = time.time()
+    rows = facts.file_facts("r", "a.js", "javascript", code)
+    assert len(rows) == 20_000 and time.time() - began < 8
+    assert all(r[3] == (0 if r[7] == "func" else int(r[8][1:]) + 1) for r in rows)
