@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import base64
 import json
-import uuid
 import zlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -145,42 +144,40 @@ def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> di
 
 
 class _Words(dict):
-    """Word -> ids, folded when a word comes for the first time."""
+    """Word -> ids as bytes of little-endian 32-bit numbers, folded when a word comes for the first time."""
 
     def __init__(self, ranks: dict[bytes, int], known: dict[str, tuple[int, ...]]):
-        super().__init__(known)
+        super().__init__((word, np.array(ids, "<i4").tobytes()) for word, ids in known.items())
         self.ranks = ranks
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self[word] = tuple(map(self.ranks.__getitem__, fold_merges(word.encode(), self.ranks)))
-        return ids
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = b"".join(self.ranks[p].to_bytes(4, "little") for p in fold_merges(word.encode(), self.ranks))
+        return found
 
 
-_OPEN: dict = {}  # what a worker keeps from task to task: by broadcast id, the words and the pieces
-
-
-def _opened(shipped) -> tuple[_Words, list[bytes]]:
-    found = _OPEN.get(shipped.id)
-    if found is None or len(found[0]) > MAX_WORDS:
-        ranks, known = shipped.value
-        pieces = found[1] if found else [b""] * (max(ranks.values()) + 1)
-        if not found:
-            for piece, rank in ranks.items():
-                pieces[rank] = piece
-        _OPEN.clear()
-        found = _OPEN[shipped.id] = (_Words(ranks, known), pieces)
-    return found
+class _Vocabulary:
+    """The rank map and frequent words, as broadcast, and the words and pieces that a worker makes of them.
 
+    A worker keeps them from task to task with the broadcast value, and lets go of both when it turns to a task
+    that does not use it; other stages then have the memory.
+    """
 
-class _Shipped:
-    """The broadcast rank map and frequent words, with an id that is the same in every task."""
+    def __init__(self, ranks: dict[bytes, int], known: dict[str, tuple[int, ...]]):
+        self.ranks, self.known = ranks, known
+        self.words, self.pieces = None, None
 
-    def __init__(self, held, key):
-        self.held, self.id = held, key
+    def __reduce__(self):
+        return _Vocabulary, (self.ranks, self.known)
 
-    @property
-    def value(self):
-        return self.held.value
+    def opened(self) -> tuple[_Words, list[bytes]]:
+        if self.pieces is None:
+            self.pieces = [b""] * (max(self.ranks.values()) + 1)
+            for piece, rank in self.ranks.items():
+                self.pieces[rank] = piece
+        if self.words is None or len(self.words) > MAX_WORDS:
+            self.words = None  # the old ones go before new ones come
+            self.words = _Words(self.ranks, self.known)
+        return self.words, self.pieces
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, warm: bool = False) -> DataFrame:
@@ -197,18 +194,17 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, warm: bool = F
     """
     ranks = read_ranks(ranks_path)
     known = frequent_words(docs, ranks, pattern) if warm else {}
-    held = docs.sparkSession.sparkContext.broadcast((ranks, known))
-    shipped = _Shipped(held, uuid.uuid4().hex)
+    held = docs.sparkSession.sparkContext.broadcast(_Vocabulary(ranks, known))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(compiled: regex.Pattern, text: str, words: _Words) -> np.ndarray:
         if len(text) <= LONG_TEXT:
-            return np.fromiter(chain.from_iterable(map(words.__getitem__, compiled.findall(text))), np.int32)
+            return np.frombuffer(b"".join(map(words.__getitem__, compiled.findall(text))), "<i4")
         found, parts = (m[0] for m in compiled.finditer(text)), []
         while block := list(islice(found, BLOCK_WORDS)):
             if len(words) > MAX_WORDS:
                 words.clear()
-            parts.append(np.fromiter(chain.from_iterable(map(words.__getitem__, block)), np.int32))
+            parts.append(np.frombuffer(b"".join(map(words.__getitem__, block)), "<i4"))
         return np.concatenate(parts)
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +212,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, warm: bool = F
         for batch in frames:
             names, ids, decoded, size = [], [], [], 0
             for name, text in zip(batch.column(0), batch.column(1)):
-                words, pieces = _opened(shipped)
+                words, pieces = held.value.opened()
                 text = text.as_py() or ""
                 own = encode(compiled, text, words)
                 names.append(name.as_py())
