@@ -128,9 +128,13 @@ def resemblance_links(docs: DataFrame, *, shingle_words: int = 5, resemblance: f
     """(doc_id, fp) of every row, fp being a hash of its words, and links (a, b) of fps whose shingles resemble each other.
 
     Each text has TABLES independent 32-bit SimHashes. Balls of radius one around each, over the bits whose votes
-    were closest and that a change flips first, meet on shared variants. Neighbours in a bucket and its first member
-    are candidates; those that differ in at most FAR_BITS of all bits are verified: the Jaccard resemblance of the
-    sets of shingles decides. Only shingles of candidates are shuffled.
+    were closest and that a change flips first, meet on shared variants. Candidates that differ in at most FAR_BITS
+    of all bits are verified: the Jaccard resemblance of the sets of shingles decides. Only shingles of candidates
+    are shuffled.
+
+    Texts with an equal SimHash are tried first, each against the first of its bucket. Links found so make groups. In
+    the balls, a text is tried against the first of its bucket and against the two before it, in order of the groups,
+    unless both already are in one group: such a pair could join nothing.
     """
 
     def sketches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,16 +144,16 @@ def resemblance_links(docs: DataFrame, *, shingle_words: int = 5, resemblance: f
             columns = [pa.array([len(h) for h in hashes], pa.int64()), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["fp", "n", "sketch", "low"])
 
-    def variants(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def variants(frames: Iterator[pa.RecordBatch], flips: int) -> Iterator[pa.RecordBatch]:
         tables = np.arange(TABLES, dtype=np.int64)[None, :, None] << 32
         for batch in frames:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                base = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u4").reshape(-1, TABLES, 1).astype(np.int64)
-                low = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, TABLES, FLIPS).astype(np.int64)
+                base = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u4").reshape(-1, TABLES, 1).astype(np.int64)
+                low = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(-1, TABLES, FLIPS)[:, :, :flips].astype(np.int64)
                 ball = np.concatenate([base, base ^ (np.int64(1) << low)], axis=2) | tables
-                fp = np.repeat(part.column(0).to_numpy(zero_copy_only=False), TABLES * (FLIPS + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(ball.reshape(-1)), pa.array(fp)], ["variant", "fp"])
+                fp, root = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), TABLES * (flips + 1)) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ball.reshape(-1)), pa.array(fp), pa.array(root)], ["variant", "fp", "root"])
 
     def close(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
@@ -165,23 +169,35 @@ def resemblance_links(docs: DataFrame, *, shingle_words: int = 5, resemblance: f
     texts = docs.select("doc_id", _words(F.col("text")).alias("words")).select("doc_id", F.xxhash64("words").alias("fp"), F.col("words").cast("binary").alias("words"))
     fps = materialize(texts.select("doc_id", "fp"), "simhash-fps")
     made = materialize(texts.select("fp", "words").mapInArrow(sketches, "fp long, n long, sketch binary, low binary").dropDuplicates(["fp"]), "simhash-sketches")
-    bucket = Window.partitionBy("variant").orderBy("fp")
-    first = F.first("fp").over(bucket)
-    balls = made.select("fp", "sketch", "low").mapInArrow(variants, "variant long, fp long")
-    met = balls.select("fp", F.array_distinct(F.array_compact(F.array(F.lag("fp").over(bucket), F.lag("fp", 2).over(bucket), first))).alias("others"))
-    pairs = met.select(F.explode("others").alias("a"), F.col("fp").alias("b")).filter("a != b").distinct()
-    pairs = materialize(pairs, "simhash-pairs")
-    for side in "ab":
-        pairs = pairs.join(made.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
-    alike = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * resemblance
-    pairs = materialize(pairs.filter(alike).select("a", "b", "s_a", "s_b").mapInArrow(close, "a long, b long"), "simhash-close")
-    ask = materialize(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "simhash-ask")
-    asked = texts.join(small(ask), "fp", "left_semi").select("fp", "words").mapInArrow(shingles, "fp long, shingles array<long>")
-    sets = materialize(asked.groupBy("fp").agg(F.first("shingles").alias("shingles")), "simhash-shingles")
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("fp").alias(side), F.col("shingles").alias(f"s_{side}")), side)
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    return fps, pairs.filter(common >= (F.size("s_a") + F.size("s_b") - common) * resemblance).select("a", "b")
+    ball = "variant long, fp long, root long"
+
+    def candidates(rooted: DataFrame, flips: int, before: int, name: str) -> DataFrame:
+        """Pairs (a, b) of different groups: in each bucket the first and those up to `before` places ahead of b."""
+        balls = rooted.select("fp", "root", "sketch", "low").mapInArrow(lambda frames: variants(frames, flips), ball)
+        bucket = Window.partitionBy("variant").orderBy("root", "fp")
+        own = F.struct("fp", "root")
+        others = F.array(F.first(own).over(bucket), *[F.lag(own, n).over(bucket) for n in range(1, before + 1)])
+        met = balls.select("fp", F.array_distinct(F.transform(F.filter(others, lambda x: x["root"] != F.col("root")), lambda x: x["fp"])).alias("others"))
+        return materialize(met.select(F.explode("others").alias("a"), F.col("fp").alias("b")).distinct(), f"simhash-pairs-{name}")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose sets of shingles resemble each other."""
+        for side in "ab":
+            pairs = pairs.join(made.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+        alike = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * resemblance
+        pairs = materialize(pairs.filter(alike).select("a", "b", "s_a", "s_b").mapInArrow(close, "a long, b long"), f"simhash-close-{name}")
+        ask = materialize(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), f"simhash-ask-{name}")
+        asked = texts.join(small(ask), "fp", "left_semi").select("fp", "words").mapInArrow(shingles, "fp long, shingles array<long>")
+        sets = materialize(asked.groupBy("fp").agg(F.first("shingles").alias("shingles")), f"simhash-shingles-{name}")
+        for side in "ab":
+            pairs = pairs.join(sets.select(F.col("fp").alias(side), F.col("shingles").alias(f"s_{side}")), side)
+        common = F.size(F.array_intersect("s_a", "s_b"))
+        return materialize(pairs.filter(common >= (F.size("s_a") + F.size("s_b") - common) * resemblance).select("a", "b"), f"simhash-links-{name}")
+
+    equal = verified(candidates(made.withColumn("root", F.col("fp")), 0, 0, "equal"), "equal")
+    roots = materialize(connected_components(equal), "simhash-equal-roots").select(F.col("node").alias("fp"), "root")
+    rooted = made.join(small(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return fps, equal.unionByName(verified(candidates(rooted, FLIPS, 2, "balls"), "balls"))
 
 
 def resembling_groups(docs: DataFrame, *, shingle_words: int = 5, resemblance: float = 0.8) -> DataFrame:
