@@ -133,7 +133,7 @@ def resemblance_links(docs: DataFrame, *, shingle_words: int = 5, resemblance: f
     are shuffled.
 
     Texts with an equal SimHash are tried first, each against the first of its bucket. Links found so make groups. In
-    the balls, a text is tried against the first of its bucket and against the two before it, in order of the groups,
+    the balls, a text is tried against the first of its bucket and against the five before it, in order of the groups,
     unless both already are in one group: such a pair could join nothing.
     """
 
@@ -197,7 +197,7 @@ def resemblance_links(docs: DataFrame, *, shingle_words: int = 5, resemblance: f
     equal = verified(candidates(made.withColumn("root", F.col("fp")), 0, 0, "equal"), "equal")
     roots = materialize(connected_components(equal), "simhash-equal-roots").select(F.col("node").alias("fp"), "root")
     rooted = made.join(small(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return fps, equal.unionByName(verified(candidates(rooted, FLIPS, 2, "balls"), "balls"))
+    return fps, equal.unionByName(verified(candidates(rooted, FLIPS, 5, "balls"), "balls"))
 
 
 def resembling_groups(docs: DataFrame, *, shingle_words: int = 5, resemblance: float = 0.8) -> DataFrame:
