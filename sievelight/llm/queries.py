@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import ann, bpe, exact_dedup, langid, mixing, pii, quality, secret_scan, sharding, simhash
+from sievelight.llm import ann, bpe, collocations, exact_dedup, langid, license_scan, mixing, pii, quality, secret_scan, sharding, simhash, whitening
 from sievelight.llm.common import documents
 
 
@@ -70,8 +70,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(documents(spark, sf_dir))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_simhash, op4_quality, op5_nearest, op6_secrets, op7_bpe, op8_sharding, op9_pii, op10_mixing)}
+    ops = (op1_language_id, op2_exact_dedup, op3_simhash, op4_quality, op5_nearest, op6_secrets, op7_bpe, op8_sharding, op9_pii, op10_mixing, op11_license_scan, op12_collocations, op13_whitening)
+    return {f.__name__: f for f in ops}
 
 
 OP2_SQL = r"""
@@ -108,5 +121,33 @@ FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+), g AS (
+  SELECT lang, d, array_to_string(ws[i:i + d - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) s, (VALUES (1), (2), (3), (4)) v(d) WHERE i + d - 1 <= len(ws) GROUP BY ALL
+), c AS (
+  SELECT lang, d, phrase, f, string_split(phrase, ' ') AS ws FROM g WHERE d >= 2 AND f >= 30
+), held AS (
+  SELECT DISTINCT c.lang, c.phrase FROM (
+    SELECT lang, f, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, f, d, ws, k, unnest(range(1, d - k + 2)) AS i FROM c, (VALUES (2), (3)) v(k) WHERE k < d) x) o
+  JOIN c ON c.lang = o.lang AND c.phrase = o.phrase AND 100 * o.f >= 80 * c.f
+), cuts AS (
+  SELECT lang, phrase, f, k, array_to_string(ws[1:k], ' ') AS first, array_to_string(ws[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, d)) AS k FROM c ANTI JOIN held USING (lang, phrase)) x
+), scored AS (
+  SELECT t.lang, t.phrase, t.f AS a, k, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * t.f // (l.f + r.f) AS BIGINT) AS score
+  FROM cuts t JOIN g l ON l.lang = t.lang AND l.phrase = t.first JOIN g r ON r.lang = t.lang AND r.phrase = t.rest
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM best JOIN (SELECT lang, sum(f) AS n FROM g WHERE d = 1 GROUP BY lang) t USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op2_exact_dedup": OP2_SQL, "op6_secrets": OP6_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op6_secrets": OP6_SQL, "op12_collocations": OP12_SQL}
