@@ -227,17 +227,18 @@ for _name, _reason in (("secret_value_patterns", "value"), ("secret_key_names",
 # Call facts ------------------------------------------------------------------------------------------------
 
 CALL_RE = r"([A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*)\s*\("
-#: Snippets with one call each; those with two are covered by the tests.
-CALLS = f"SELECT repo, file, CAST(line_no AS INTEGER) AS line, name, arg0 FROM (SELECT *, unnest(regexp_extract_all(line_text, '{CALL_RE}', 1)) AS name, nullif(regexp_extract(line_text, '\\(\"([^\"]*)\"\\s*[,)]', 1), '') AS arg0 FROM ({LINES}) l WHERE regexp_matches(file, '\\.(js|ts)$')) c"
+#: A member of what a call gives has no name in JavaScript; what comes before it does.
+MEMBER_RE = r"\)\s*\.\s*[A-Za-z_$][A-Za-z0-9_$.]*\s*\("
+CALLS = f"SELECT repo, file, CAST(line_no AS INTEGER) AS line, name, arg0 FROM (SELECT *, unnest(regexp_extract_all(regexp_replace(line_text, '{MEMBER_RE}', ')(', 'g'), '{CALL_RE}', 1)) AS name, nullif(regexp_extract(line_text, '\\(\"([^\"]*)\"\\s*[,)]', 1), '') AS arg0 FROM ({LINES}) l WHERE regexp_matches(file, '\\.(js|ts)$')) c"
 
 
 def js_facts(spark, sf_dir):
     return facts.extract_call_facts(whole_files(spark, sf_dir)).filter("lang = 'javascript'")
 
 
-@R.query(f"SELECT repo, file, line, name, arg0 FROM ({CALLS}) c WHERE name != 'Runtime.getRuntime' AND name != 'exec'")
+@R.query(f"SELECT repo, file, line, name, arg0 FROM ({CALLS}) c")
 def extract_call_facts(spark, sf_dir):
-    return js_facts(spark, sf_dir).filter("kind = 'call' and name not in ('Runtime.getRuntime', 'exec')").select("repo", "file", "line", "name", "arg0")
+    return js_facts(spark, sf_dir).filter("kind = 'call'").select("repo", "file", "line", "name", "arg0")
 
 
 def _calls(f, condition: str, name: str):
@@ -284,7 +285,7 @@ def callee_variants(spark, sf_dir):
 def _matcher_sql() -> str:
     from sievelight.rules.defaults import JS_RULES
 
-    rows = [f"('{rule[0]}', '{role}', {at}, '{v}')" for rule, *ends in JS_RULES for role, values in zip(("source", "sink", "sanitizer"), ends) for at, v in enumerate(values.split())]
+    rows = [f"('{rule.id}', '{role}', {at}, '{v}')" for rule in JS_RULES for role, ends in (("source", rule.sources), ("sink", rule.sinks), ("sanitizer", rule.sanitizers)) for at, (_, _, values) in enumerate(ends) for v in values]
     return "(VALUES " + ", ".join(rows) + ") AS m(rule_id, role, endpoint_no, value)"
 
 
@@ -299,9 +300,9 @@ def event_facts(spark, sf_dir):
     """Facts made of events: one expression each, with one name read or called."""
     rows = derived(spark, sf_dir, "facts")
     text = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
-    none = F.array().cast("array<string>")
-    expr = F.struct(text("ref").alias("refs"), text("called").alias("calls"), none.alias("inner_refs"), none.alias("inner_calls"))
-    return rows.select("repo", "file", F.lit("javascript").alias("lang"), "scope_id", "pos", F.lit(1).alias("line"), F.lit(1).alias("column"), "kind", "name", F.array(expr).alias("args"))
+    expr = F.struct(text("ref").alias("refs"), text("called").alias("calls"))
+    none = F.lit(None).cast("int")
+    return rows.select("repo", "file", F.lit("javascript").alias("lang"), "scope_id", "pos", F.lit(1).alias("line"), F.lit(1).alias("column"), "kind", "name", F.array(expr).alias("args"), none.alias("within"), none.alias("within_arg"), F.col("pos").alias("root"))
 
 
 FACTS = duck("facts")
@@ -332,7 +333,7 @@ def taint_js(spark, sf_dir):
     return run(event_facts(spark, sf_dir), default_matchers(spark)).select("repo", "file", "rule_id", F.col("pos").cast("long").alias("pos"))
 
 
-NATIVE_NAMES = {"getUserInput": "input", "sanitize": "clean", "unknown": "strip", "eval": "os.system", "child_process.exec": "open"}
+NATIVE_NAMES = {"getUserInput": "request.args.get", "sanitize": "clean", "unknown": "strip", "eval": "os.system", "child_process.exec": "open"}
 
 
 @R.query(f"SELECT * FROM ({TAINT_SQL.format(rule='py-cmd', sink='eval', source='getUserInput')}) a UNION ALL SELECT * FROM ({TAINT_SQL.format(rule='py-path', sink='child_process.exec', source='getUserInput')}) b")
@@ -342,7 +343,7 @@ def taint_native(spark, sf_dir):
 
     renamed = F.create_map(*[F.lit(x) for pair in NATIVE_NAMES.items() for x in pair])
     new = lambda n: F.coalesce(renamed[n], n)
-    args = F.transform("args", lambda e: F.struct(e["refs"].alias("refs"), F.transform(e["calls"], new).alias("calls"), e["inner_refs"].alias("inner_refs"), e["inner_calls"].alias("inner_calls")))
+    args = F.transform("args", lambda e: F.struct(e["refs"].alias("refs"), F.transform(e["calls"], new).alias("calls")))
     rows = event_facts(spark, sf_dir).withColumn("lang", F.lit("python")).withColumn("args", args).withColumn("name", new(F.col("name")))
     return run(rows, native_matchers(spark)).select("repo", "file", "rule_id", F.col("pos").cast("long").alias("pos"))
 
@@ -352,15 +353,15 @@ def import_edges(spark, sf_dir):
     return facts.import_edges(facts.extract_call_facts(whole_files(spark, sf_dir)))
 
 
-#: Functions made of lines: each snippet stands in a function named after its line.
+#: Functions made of lines: each snippet stands in a function named after its line; snippets with a brace would close or open others.
 def function_files(spark, sf_dir):
-    lines = derived(spark, sf_dir, "lines").filter("file like '%.js' and line_text like '%(%' and line_text not like '%{%'")
+    lines = derived(spark, sf_dir, "lines").filter("(file like '%.js' or file like '%.ts') and line_text not like '%{%'")
     body = F.concat(F.when(F.col("line_no") % 2 == 0, "async ").otherwise(""), F.lit("function fn"), F.col("line_no").cast("string"), F.lit("(a, b) {\n  "), "line_text", F.lit("\n}"))
     cells = F.array_sort(F.collect_list(F.struct("line_no", body.alias("t"))))
     return lines.groupBy("repo", "file").agg(F.array_join(F.transform(cells, lambda c: c["t"]), "\n").alias("content"))
 
 
-FUNCTION_LINES = f"SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no) AS nth FROM ({LINES}) l WHERE ends_with(file, '.js') AND contains(line_text, '(') AND NOT contains(line_text, '{{')"
+FUNCTION_LINES = f"SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no) AS nth FROM ({LINES}) l WHERE regexp_matches(file, '\\.(js|ts)$') AND NOT contains(line_text, '{{')"
 
 
 @R.query(f"""SELECT repo, file, concat(file, ':fn', CAST(line_no AS STRING), ':', CAST(nth * 3 - 2 AS STRING)) AS id, 'a,b' AS params, line_no % 2 = 0 AS is_async, 'function' AS func_kind FROM ({FUNCTION_LINES}) x
@@ -370,10 +371,9 @@ def function_map(spark, sf_dir):
     return found.select("repo", "file", "id", F.array_join("params", ",").alias("params"), "is_async", "func_kind")
 
 
-@R.query(f"SELECT DISTINCT repo, file, concat('fn', CAST(line_no AS STRING)) AS caller, unnest(regexp_extract_all(line_text, '{CALL_RE}', 1)) AS callee FROM ({FUNCTION_LINES}) x WHERE NOT contains(line_text, 'getRuntime')")
+@R.query(f"SELECT DISTINCT repo, file, concat('fn', CAST(line_no AS STRING)) AS caller, unnest(regexp_extract_all(regexp_replace(line_text, '{MEMBER_RE}', ')(', 'g'), '{CALL_RE}', 1)) AS callee FROM ({FUNCTION_LINES}) x")
 def call_edges(spark, sf_dir):
-    found = facts.call_edges(facts.extract_call_facts(function_files(spark, sf_dir)))
-    return found.filter("callee not in ('Runtime.getRuntime', 'Runtime.getRuntime.exec') and not (callee = 'exec')")
+    return facts.call_edges(facts.extract_call_facts(function_files(spark, sf_dir)))
 
 
 WEAK_NATIVE = f"SELECT repo, file, line_no AS line, CASE WHEN ends_with(file, '.py') THEN 'py' ELSE 'go' END || '-weak-crypto' AS id, 'medium' AS severity FROM (SELECT *, unnest(regexp_extract_all(line_text, '{CALL_RE}', 1)) AS name FROM ({LINES}) l WHERE regexp_matches(file, '\\.(py|go)$')) c WHERE regexp_matches(name, 'md5|sha1')"
