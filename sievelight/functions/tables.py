@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
@@ -24,14 +27,29 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if counted_bytes(df) <= BROADCAST_BYTES else df
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); on one machine a local one where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    return f"{(named or tempfile.gettempdir() + '/sievelight-shared').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder: whoever reads it gets the same rows, and no executor holds the only copy."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def placed(df: DataFrame, group: list[str], order: list[Column], name: str, parts: int | None = None) -> DataFrame:
     """df with `name`, the place (from 1) of each row in its group by order. order should leave no ties but equal rows.
 
-    Rows are dealt by ranges of (group, order), so a group of any size is spread over tasks: each numbers its own rows, and
-    what the ranges before it hold of the group, one number for each range and group, is added.
+    Rows are dealt by ranges of (group, order) and written, so a group of any size is spread over tasks: each numbers its own
+    rows, and what the ranges before it hold of the group, one number for each range and group, is added.
     """
     keys = [F.col(f"`{g}`") for g in group]
-    dealt = df.repartitionByRange(*([parts] if parts else []), *keys, *order).withColumn("_part", F.spark_partition_id())
+    dealt = written(df.repartitionByRange(*([parts] if parts else []), *keys, *order).withColumn("_part", F.spark_partition_id()), "placed")
     own = Window.partitionBy("_part", *keys).orderBy(*order)
     numbered = dealt.withColumn("_own", F.row_number().over(own))
     held = dealt.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_held"))

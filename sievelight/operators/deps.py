@@ -109,7 +109,7 @@ def _pypi_bounds(t: Column) -> Column:
     exact = op.isin("", "=", "==", "===", "!=")
     low = F.when(exact & t["star"], _before_all(v)).when(op == ">", _after_posts(v)).when(op.isin(">=", "~=") | exact, v)
     high = F.when(exact & t["star"], _bumped(v, t["parts"] - 1)).when(exact | (op == "<="), _with_locals(v)).when(op == "<", v).when((op == "~=") & (t["parts"] > 1), _bumped(v, F.least(t["parts"], F.lit(4)) - 2))
-    return F.struct(low.alias("lo"), (op != ">").alias("lo_inc"), high.alias("hi"), F.lit(False).alias("hi_inc"))
+    return F.struct(low.alias("lo"), (op != ">").alias("lo_inc"), high.alias("hi"), ((exact & ~t["star"]) | (op == "<=")).alias("hi_inc"))
 
 
 def range_intervals(advisories: DataFrame) -> DataFrame:

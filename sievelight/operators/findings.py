@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from sievelight.functions.tables import placed
 from sievelight.schema import OWASP_TOP_10, SEVERITIES, as_findings, severity_rank
 
 
@@ -61,9 +62,11 @@ def top_findings_per_severity(findings: DataFrame, n: int = 10) -> DataFrame:
 
 
 def severity_sorted_report(findings: DataFrame) -> DataFrame:
-    """Findings with their place in the report of their repository: worst first, then as they were found. No global sort."""
-    order = Window.partitionBy("repo").orderBy(severity_rank(F.col("severity")).desc(), "detector_rank", "seq", "file", "line", "id")
-    return findings.withColumn("place", F.row_number().over(order))
+    """Findings with their place in the report of their repository: worst first, then as they were found.
+
+    The findings of a repository are numbered by ranges, so that one with very many is spread over tasks.
+    """
+    return placed(findings, ["repo"], [severity_rank(F.col("severity")).desc(), *map(F.col, ("detector_rank", "seq", "file", "line", "id"))], "place")
 
 
 def coverage_matrix(rules: DataFrame) -> DataFrame:

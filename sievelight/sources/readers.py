@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,19 +18,35 @@ PACK = (
 MATCHERS = "language string, rule_id string, title string, severity string, owasp string, rule_kind string, rule_no int, role string, endpoint_no int, endpoint_name string, kind string, value string"
 
 
-def read_files(spark: SparkSession, path: str, repo: str = "local", include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """repo, file (relative to path), content of the text files below path that the globs let through (by default: all).
+#: A file of more bytes is listed and not read: it would be one row.
+LONGEST_FILE = 256 << 20
+
+
+def list_files(spark: SparkSession, path: str, repo: str = "local", include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """repo, file (relative to path), place, length of the text files below path that the globs let through (by default: all). No content is read; empty files are not listed."""
+    rows = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(path).select("path", "length")
+    plain = F.coalesce(F.try_url_decode(F.regexp_replace("path", r"\+", "%2B")), "path")
+    bare = F.regexp_replace(plain, "^[a-z]+:/+", "/")
+    root = "/" + path.split(":", 1)[-1].lstrip("/") if ":" in path else path
+    named = rows.select(F.lit(repo).alias("repo"), normalize_path(bare, root).alias("file"), plain.alias("place"), "length")
+    return filter_globs(named, include, [] if exclude is None else exclude).filter(is_text_file(F.col("file")))
+
+
+def read_files(spark: SparkSession, path: str, repo: str = "local", include: list[str] | None = None, exclude: list[str] | None = None, longest: int = LONGEST_FILE) -> DataFrame:
+    """repo, file, content of the files that list_files gives and that have at most `longest` bytes.
 
-    Files with extensions of binary formats are left out before their content is decoded; bytes that are no UTF-8
+    A first pass lists names and lengths; the second reads the files left, so that no byte of a binary or an over-long
+    file is read. The driver holds the names of these files, as it does for any listing. Bytes that are no UTF-8
     become U+FFFD.
     """
-    rows = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(path)
+    listed = list_files(spark, path, repo, include, exclude).filter(F.col("length") <= longest)
+    places = [re.sub(r"([\\{}\[\]*?])", r"\\\1", r["place"]) for r in listed.select("place").collect()]
+    if not places:
+        return spark.createDataFrame([], "repo string, file string, content string")
+    rows = spark.read.format("binaryFile").load(places)
     plain = F.coalesce(F.try_url_decode(F.regexp_replace("path", r"\+", "%2B")), "path")
-    place = F.regexp_replace(plain, "^[a-z]+:/+", "/")
     root = "/" + path.split(":", 1)[-1].lstrip("/") if ":" in path else path
-    named = rows.select(F.lit(repo).alias("repo"), normalize_path(place, root).alias("file"), "content")
-    kept = filter_globs(named, include, [] if exclude is None else exclude).filter(is_text_file(F.col("file")))
-    return kept.withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
+    return rows.select(F.lit(repo).alias("repo"), normalize_path(F.regexp_replace(plain, "^[a-z]+:/+", "/"), root).alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def read_advisories(spark: SparkSession, path: str) -> DataFrame:
