@@ -361,4 +361,5 @@ def annotate(docs: DataFrame, model: Model | None, column: str, *, switch: float
                 own = pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans], ["lang_pred", "score", "spans"])
                 yield pa.RecordBatch.from_arrays([*rows.columns, own], schema.names)
 
-    return docs.mapInArrow(batches, schema)
+    # Columns go in under plain names, as a task's rows are looked up by theirs.
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(batches, schema)

@@ -70,7 +70,7 @@ def ball_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
 
 
 def _grouped(fps: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of the rows of fps(doc_id, fp), joined by links(a, b) between fingerprints."""
+    """The rows of fps(doc_id, fp, ...) with component_id, joined by links(a, b) between fingerprints."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = materialize(connected_components(links), "simhash-roots")
     linked = nodes.join(small(roots), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -78,7 +78,7 @@ def _grouped(fps: DataFrame, links: DataFrame) -> DataFrame:
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     # Written out, so that the last join reads plain exchanges and Spark can split a hot fingerprint.
     named = materialize(linked.join(materialize(names, "simhash-names"), "root").select("fp", "component_id"), "simhash-named")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp").select(*fps.columns, "component_id")
 
 
 def near_groups(docs: DataFrame, *, shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
@@ -124,8 +124,12 @@ def _words(text: Column) -> Column:
     return F.concat_ws(" ", F.regexp_extract_all(lower, F.lit(f"({NON_SPACE}+)")))
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def resemblance_links(docs: DataFrame, *, shingle_words: int = 5, resemblance: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every row, fp being a hash of its words, and links (a, b) of fps whose shingles resemble each other.
+    """(doc_id, key, fp) of every row, key being a hash of its text and fp one of its words, and links (a, b) of fps whose shingles resemble each other.
 
     Each text has TABLES independent 32-bit SimHashes. Balls of radius one around each, over the bits whose votes
     were closest and that a change flips first, meet on shared variants. Candidates that differ in at most FAR_BITS
@@ -166,8 +170,8 @@ def resemblance_links(docs: DataFrame, *, shingle_words: int = 5, resemblance: f
             sets = pa.array((_shingle_hashes(t.as_py(), shingle_words).view("<i8") for t in batch.column(1)), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["fp", "shingles"])
 
-    texts = docs.select("doc_id", _words(F.col("text")).alias("words")).select("doc_id", F.xxhash64("words").alias("fp"), F.col("words").cast("binary").alias("words"))
-    fps = materialize(texts.select("doc_id", "fp"), "simhash-fps")
+    texts = docs.select("doc_id", _text_key().alias("key"), _words(F.col("text")).alias("words")).select("doc_id", "key", F.xxhash64("words").alias("fp"), F.col("words").cast("binary").alias("words"))
+    fps = materialize(texts.select("doc_id", "key", "fp"), "simhash-fps")
     made = materialize(texts.select("fp", "words").mapInArrow(sketches, "fp long, n long, sketch binary, low binary").dropDuplicates(["fp"]), "simhash-sketches")
     ball = "variant long, fp long, root long"
 
@@ -207,19 +211,29 @@ def resembling_groups(docs: DataFrame, *, shingle_words: int = 5, resemblance: f
 
 
 def keep_one(docs: DataFrame, *, shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
-    """docs without near copies: of each group of near_groups the smallest id stays, with all columns.
+    """docs without near copies: of each group of near_groups the smallest id stays, with all columns, whatever their names.
 
     The ids that leave are broadcast if their measured number is small, and joined by shuffle otherwise. Rows
     without an id stay. Where an id is repeated, its rows leave together if one of them does.
     """
-    return _smallest(docs, near_groups(docs, shingle_words=shingle_words, max_bits=max_bits))
+    groups = near_groups(docs, shingle_words=shingle_words, max_bits=max_bits)
+    return _without(docs, groups.filter("doc_id != component_id").select("doc_id"))
 
 
 def keep_one_resembling(docs: DataFrame, *, shingle_words: int = 5, resemblance: float = 0.8) -> DataFrame:
-    """docs without near copies, as keep_one leaves them, by the groups of resembling_groups."""
-    return _smallest(docs, resembling_groups(docs, shingle_words=shingle_words, resemblance=resemblance))
+    """docs without near copies, as keep_one leaves them, by the groups of resembling_groups.
+
+    Rows that repeat an id with different texts leave or stay each by its own text.
+    """
+    fps, links = resemblance_links(docs, shingle_words=shingle_words, resemblance=resemblance)
+    return _without(docs, _grouped(fps, links).filter("doc_id != component_id").select("doc_id", "key"))
 
 
-def _smallest(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    leave = materialize(groups.filter("doc_id != component_id").select("doc_id").distinct(), "simhash-leave")
-    return docs.join(small(leave), "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, leave: DataFrame) -> DataFrame:
+    """docs without the rows whose id (and key of the text, if given) is listed. Rows travel in one struct, so that columns of any name are safe."""
+    leave = small(materialize(leave.distinct(), "simhash-leave"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), _text_key().alias("own"))
+    same = rows["id"] == leave["doc_id"]
+    if "key" in leave.columns:
+        same = same & (rows["own"] == leave["key"])
+    return rows.join(leave, same, "left_anti").select("row.*")
