@@ -49,8 +49,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose sets of five-word shingles have a resemblance of 0.8 or more, the smallest id stays.
 
-    Null and blank texts are copies of each other. Rows without an id stay; rows that repeat an id leave or stay together.
-    Very long texts are compared whole.
+    Null and blank texts are copies of each other. Rows without an id stay; rows that repeat an id leave or
+    stay each by their own text. Very long texts are compared whole.
     """
     return simhash.keep_one_resembling(docs)
 
