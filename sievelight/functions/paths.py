@@ -69,15 +69,19 @@ def is_infra_file(path: Column) -> Column:
     return name.rlike(r"^dockerfile$|\.dockerfile$|\.tf$|\.tfvars$|\.yaml$|\.yml$") | folders
 
 
-def detect_language(path: Column) -> Column:
-    """The first language in the list of which the path ends in an extension; null for others."""
+def detect_language(path: Column, allowed: list[str] | None = None) -> Column:
+    """The first language in the list of which the path ends in an extension; null for others, and for languages that are not allowed.
+
+    allowed is trimmed and lower-cased; an empty list means all, and one of blanks none.
+    """
+    wanted = {a.strip().lower() for a in allowed} if allowed else set(LANGUAGE_EXTENSIONS)
     low = F.lower(path)
-    choice = None
+    choice = F.when(F.lit(False), F.lit(None).cast("string"))
     for lang, extensions in LANGUAGE_EXTENSIONS.items():
         fits = F.lit(False)
         for e in extensions:
             fits = fits | F.endswith(low, F.lit(e))
-        choice = F.when(fits, lang) if choice is None else choice.when(fits, lang)
+        choice = choice.when(fits, lang if lang in wanted else F.lit(None))
     return choice
 
 

@@ -95,3 +95,11 @@ def test_a_scan_of_what_has_changed_equals_a_whole_one(spark, tmp_path):
     got = shown(scan_changed(second, cache, advisories=advisories))
     assert got == shown(scan_all(second, advisories=advisories)) and ("b.py", 2, "py-cmd", 6) in got and ("package.json", 0, "CVE-1", 7) in got
     assert {r["file"] for r in cache.read("hashes").collect()} == {"a.js", "b.py", "d.py", "package.json"} and "c.py" not in {r["file"] for r in cache.read("findings").collect()}
+
+
+def test_languages_that_are_allowed(spark):
+    from sievelight.functions.paths import detect_language
+
+    df = spark.createDataFrame([("a.py",), ("b.go",), ("c.h",), ("d.txt",)], "f string")
+    shown = lambda allowed: [r[0] for r in df.select(detect_language(F.col("f"), allowed)).collect()]
+    assert shown([" Python", "C"]) == ["python", None, "c", None] and shown([]) == shown(None) == ["python", "go", "c", None] and shown([" "]) == [None] * 4
