@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -17,9 +18,11 @@ from sievelight.llm.components import connected_components
 
 SEED = 42
 #: The wide search: 32-bit SimHashes of a text, and bits of each that are flipped in turn, the least certain ones.
-TABLES, FLIPS = 32, 8
-#: Bits of all tables in which candidates may differ. At a resemblance of 0.8 each bit differs with a chance of 0.15 to 0.2.
+TABLES, FLIPS = 16, 8
+#: Bits of all tables in which candidates of the balls may differ; what this leaves out, the index of rare shingles finds.
 FAR_BITS = TABLES * 32 * 3 // 10
+#: Counters of how many texts hold a shingle: a table of fixed size, 4 MiB, that every task gets.
+COUNTERS = 1 << 20
 
 
 def _fingerprint(text: bytes | None, width: int) -> int:
@@ -118,6 +121,12 @@ def _sketch(hashes: np.ndarray) -> tuple[bytes, bytes]:
     return np.packbits(votes > 0, bitorder="little").tobytes(), low.astype(np.uint8).tobytes()
 
 
+def _rarest(hashes: np.ndarray, counters: np.ndarray, share: float) -> np.ndarray:
+    """The rarest shingles, of which two sets that have this share of the larger one in common have one in common."""
+    p = len(hashes) - math.ceil(share * len(hashes) - 1e-6) + 1
+    return hashes[np.lexsort((hashes, counters[hashes & np.uint64(COUNTERS - 1)]))[:p]]
+
+
 def _words(text: Column) -> Column:
     """The words in lower case (ASCII alone) with one space between them; null is the empty text."""
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -128,25 +137,64 @@ def _text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def shingle_counters(texts: DataFrame, shingle_words: int) -> np.ndarray:
+    """For each value of a shingle hash's last bits the number of texts(words) that hold such a shingle, one table of COUNTERS numbers.
+
+    A task adds up its own texts and hands on the counters it touched. Any counts give a right order of shingles
+    below; the better they tell frequent shingles from rare ones, the fewer candidates there are.
+    """
+
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in frames:
+            for t in batch.column(0):
+                slots, n = np.unique(_shingle_hashes(t.as_py(), shingle_words) & np.uint64(COUNTERS - 1), return_counts=True)
+                held[slots.astype(np.int64)] += n
+        used = np.flatnonzero(held)
+        for at in range(0, len(used), 65536):
+            part = used[at : at + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(held[part])], ["slot", "n"])
+
+    sums = texts.select("words").mapInArrow(batches, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counters = np.zeros(COUNTERS, dtype=np.uint32)
+    counters[sums["slot"].to_numpy()] = np.minimum(sums["n"].to_numpy(), 0xFFFFFFFF)
+    return counters
+
+
+def rare_pairs(made: DataFrame, resemblance: float) -> DataFrame:
+    """Candidate pairs (a, b) of made(fp, root, n, rare) with different roots: none of this resemblance is left out.
+
+    n is the size of a set of shingles, rare its rarest ones in one order for all. Of two sets that resemble each other, the
+    larger has at least t = resemblance of its size in common with the smaller, so a shingle that both hold is among the
+    1 - t rarest of the larger; for the smaller, the first 1 - 2t / (1 + t) do. At the first one that they share, what is left of both
+    must be enough (prefix and positional filters: Chaudhuri et al., 2006; Xiao et al., 2008). Joined by equal shingles,
+    so that Spark can split a frequent one.
+    """
+    t = resemblance
+    places = made.select("fp", "root", "n", F.posexplode("rare").alias("i", "h"))
+    first = F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-6) + 1
+    x, y = (side.select("h", *[F.col(c).alias(f"{c}_{name}") for c in ("fp", "root", "n", "i")]) for side, name in ((places, "x"), (places.filter(F.col("i") < first), "y")))
+    smaller = (F.col("n_y") < F.col("n_x")) | ((F.col("n_y") == F.col("n_x")) & (F.col("fp_y") < F.col("fp_x")))
+    left = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
+    enough = left * (1 + t) >= (F.col("n_x") + F.col("n_y")) * t - 1e-3
+    met = x.join(y, (x["h"] == y["h"]) & smaller & (F.col("n_y") >= F.col("n_x") * t - 1e-3) & enough & (F.col("root_x") != F.col("root_y")))
+    return met.select(F.least("fp_x", "fp_y").alias("a"), F.greatest("fp_x", "fp_y").alias("b")).distinct()
+
+
 def resemblance_links(docs: DataFrame, *, shingle_words: int = 5, resemblance: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, fp) of every row, key being a hash of its text and fp one of its words, and links (a, b) of fps whose shingles resemble each other.
 
-    Each text has TABLES independent 32-bit SimHashes. Balls of radius one around each, over the bits whose votes
-    were closest and that a change flips first, meet on shared variants. Candidates that differ in at most FAR_BITS
-    of all bits are verified: the Jaccard resemblance of the sets of shingles decides. Only shingles of candidates
-    are shuffled.
+    The links join all texts that a chain of resemblances joins; the Jaccard resemblance of the sets of shingles decides. Only
+    shingles of candidates are shuffled. Candidates are found in three steps, each of which leaves out pairs that
+    the steps before put into one group, as these could join nothing:
 
-    Texts with an equal SimHash are tried first, each against the first of its bucket. Links found so make groups. In
-    the balls, a text is tried against the first of its bucket and against the five before it, in order of the groups,
-    unless both already are in one group: such a pair could join nothing.
-    """
+    1. Each text has TABLES independent 32-bit SimHashes; texts with an equal one are tried against the first of its bucket.
+    2. Balls of radius one around each SimHash, over the bits whose votes were closest and that a change flips first, meet on
+       shared variants. A text is tried against the first of its bucket and the five before it, if they differ in at most FAR_BITS.
+    3. What chance and these bounds leave is found by an index of the texts' rarest shingles, which misses nothing (rare_pairs).
 
-    def sketches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            hashes = [_shingle_hashes(t.as_py(), shingle_words) for t in batch.column(1)]
-            made = [_sketch(h) for h in hashes]
-            columns = [pa.array([len(h) for h in hashes], pa.int64()), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["fp", "n", "sketch", "low"])
+    The first two make groups of copies, however large, without their pairs; the third makes the result exact.
+    """
 
     def variants(frames: Iterator[pa.RecordBatch], flips: int) -> Iterator[pa.RecordBatch]:
         tables = np.arange(TABLES, dtype=np.int64)[None, :, None] << 32
@@ -172,36 +220,51 @@ def resemblance_links(docs: DataFrame, *, shingle_words: int = 5, resemblance: f
 
     texts = docs.select("doc_id", _text_key().alias("key"), _words(F.col("text")).alias("words")).select("doc_id", "key", F.xxhash64("words").alias("fp"), F.col("words").cast("binary").alias("words"))
     fps = materialize(texts.select("doc_id", "key", "fp"), "simhash-fps")
-    made = materialize(texts.select("fp", "words").mapInArrow(sketches, "fp long, n long, sketch binary, low binary").dropDuplicates(["fp"]), "simhash-sketches")
+    counters = docs.sparkSession.sparkContext.broadcast(shingle_counters(texts, shingle_words))
+
+    def sketches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            hashes = [_shingle_hashes(t.as_py(), shingle_words) for t in batch.column(1)]
+            made = [_sketch(h) for h in hashes]
+            rare = pa.array((_rarest(h, counters.value, resemblance).view("<i8") for h in hashes), pa.list_(pa.int64()))
+            columns = [pa.array([len(h) for h in hashes], pa.int64()), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary()), rare]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["fp", "n", "sketch", "low", "rare"])
+
+    described = texts.select("fp", "words").mapInArrow(sketches, "fp long, n long, sketch binary, low binary, rare array<long>")
+    made = materialize(described.dropDuplicates(["fp"]), "simhash-sketches")
     ball = "variant long, fp long, root long"
 
-    def candidates(rooted: DataFrame, flips: int, before: int, name: str) -> DataFrame:
+    def candidates(rooted: DataFrame, flips: int, before: int) -> DataFrame:
         """Pairs (a, b) of different groups: in each bucket the first and those up to `before` places ahead of b."""
         balls = rooted.select("fp", "root", "sketch", "low").mapInArrow(lambda frames: variants(frames, flips), ball)
         bucket = Window.partitionBy("variant").orderBy("root", "fp")
         own = F.struct("fp", "root")
         others = F.array(F.first(own).over(bucket), *[F.lag(own, n).over(bucket) for n in range(1, before + 1)])
         met = balls.select("fp", F.array_distinct(F.transform(F.filter(others, lambda x: x["root"] != F.col("root")), lambda x: x["fp"])).alias("others"))
-        return materialize(met.select(F.explode("others").alias("a"), F.col("fp").alias("b")).distinct(), f"simhash-pairs-{name}")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs whose sets of shingles resemble each other."""
+        pairs = materialize(met.select(F.explode("others").alias("a"), F.col("fp").alias("b")).distinct(), "simhash-pairs")
         for side in "ab":
             pairs = pairs.join(made.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
         alike = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * resemblance
-        pairs = materialize(pairs.filter(alike).select("a", "b", "s_a", "s_b").mapInArrow(close, "a long, b long"), f"simhash-close-{name}")
-        ask = materialize(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), f"simhash-ask-{name}")
+        return pairs.filter(alike).select("a", "b", "s_a", "s_b").mapInArrow(close, "a long, b long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets of shingles resemble each other."""
+        pairs = materialize(pairs, "simhash-close")
+        ask = materialize(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "simhash-ask")
         asked = texts.join(small(ask), "fp", "left_semi").select("fp", "words").mapInArrow(shingles, "fp long, shingles array<long>")
-        sets = materialize(asked.groupBy("fp").agg(F.first("shingles").alias("shingles")), f"simhash-shingles-{name}")
+        sets = materialize(asked.groupBy("fp").agg(F.first("shingles").alias("shingles")), "simhash-shingles")
         for side in "ab":
             pairs = pairs.join(sets.select(F.col("fp").alias(side), F.col("shingles").alias(f"s_{side}")), side)
         common = F.size(F.array_intersect("s_a", "s_b"))
-        return materialize(pairs.filter(common >= (F.size("s_a") + F.size("s_b") - common) * resemblance).select("a", "b"), f"simhash-links-{name}")
+        return materialize(pairs.filter(common >= (F.size("s_a") + F.size("s_b") - common) * resemblance).select("a", "b"), "simhash-links")
+
+    def rooted(links: DataFrame) -> DataFrame:
+        roots = materialize(connected_components(links), "simhash-groups").select(F.col("node").alias("fp"), "root")
+        return made.join(small(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
-    equal = verified(candidates(made.withColumn("root", F.col("fp")), 0, 0, "equal"), "equal")
-    roots = materialize(connected_components(equal), "simhash-equal-roots").select(F.col("node").alias("fp"), "root")
-    rooted = made.join(small(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return fps, equal.unionByName(verified(candidates(rooted, FLIPS, 5, "balls"), "balls"))
+    links = verified(candidates(made.withColumn("root", F.col("fp")), 0, 0))
+    links = links.unionByName(verified(candidates(rooted(links), FLIPS, 5)))
+    return fps, links.unionByName(verified(rare_pairs(rooted(links), resemblance)))
 
 
 def resembling_groups(docs: DataFrame, *, shingle_words: int = 5, resemblance: float = 0.8) -> DataFrame:
