@@ -60,7 +60,8 @@ def _boundaries(code: str) -> list[str]:
             while i < n and code[i] != c and (c == "`" or code[i] != "\n"):
                 i += 2 if code[i] == "\\" else 1
         elif code.startswith("//", i):
-            i = code.find("\n", i) if "\n" in code[i:] else n
+            end = code.find("\n", i)
+            i = n if end < 0 else end
             continue
         elif code.startswith("/*", i):
             end = code.find("*/", i)
