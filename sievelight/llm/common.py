@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,17 +27,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named or tempfile.gettempdir() + "/sievelight-shared"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder, in folders of the values of its last column if that is named, and read it back.
 
     The lineage is cut, no executor holds the only copy, and whoever reads it later gets the same rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_all(frames: Iterable[DataFrame], name: str) -> DataFrame:
+    """materialize() for the rows of one or more frames, one after the other: the plan that reads them does not grow with their number."""
+    path = None
+    for df in frames:
+        path = path or f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by materialize() that nothing will read again."""
     spark = df.sparkSession
