@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from sievelight.llm.common import materialize
+from sievelight.llm.common import materialize, small
 
-#: Bounds of the model: labelled rows read of each language, and n-grams kept of each.
-MAX_TRAIN, MAX_GRAMS = 2000, 20_000
-#: Languages from which on learning fails, as the driver could not hold the model. No language is ever left out.
-MAX_LANGS = 2000
+#: Bounds of the model: labelled rows read of each language, n-grams kept of each, and of all together, which they
+#: share equally. No language is ever left out, however many there are.
+MAX_TRAIN, MAX_GRAMS, ALL_GRAMS = 2000, 20_000, 4_000_000
 #: Bounds of memory in a task, which change no result: words kept, numbers held at a time, and numbers of a dense model.
-MAX_WORDS, ROOM, DENSE = 100_000, 4_000_000, 16_000_000
+MAX_WORDS, ROOM, DENSE = 100_000, 4_000_000, 8_000_000
 #: Longest n-gram, cost of a switch of language (nats), and share of each word's chance that goes to all languages alike.
 ORDER, SWITCH, NOISE = 3, 10.0, 0.02
 
@@ -71,6 +70,15 @@ def _packed(points: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _packed_column(gram: Column) -> Column:
+    """_packed of a whole n-gram as a column."""
+    points = [F.ascii(F.substring(gram, i + 1, 1)).cast("long") for i in range(ORDER)]
+    packed = points[0]
+    for n, point in enumerate(points[1:], 2):
+        packed = F.when(F.length(gram) >= n, F.shiftleft(packed, 21).bitwiseOR(point)).otherwise(packed)
+    return packed
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
@@ -96,9 +104,9 @@ class Model:
         k = len(self.langs)
         if (len(self.grams) + 1) * k <= DENSE:
             if self.dense is None:
-                self.dense = np.concatenate([self.base[:1], self.base[self.sizes]]).astype(np.float32)
+                self.dense = np.concatenate([self.base[:1], self.base[self.sizes]])
                 self.dense[np.repeat(np.arange(1, len(self.grams) + 1), np.diff(self.firsts)), self.langs_of] += self.gains
-            return np.add.reduceat(self.dense[rows], np.cumsum(counts) - counts, axis=0, dtype=np.float64)
+            return np.add.reduceat(self.dense[rows], np.cumsum(counts) - counts, axis=0)
         word = np.repeat(np.arange(len(counts)), counts)
         kinds = np.where(rows > 0, self.sizes[np.maximum(rows, 1) - 1], 0)
         total = np.bincount(word * len(self.base) + kinds, minlength=len(counts) * len(self.base)).reshape(-1, len(self.base)) @ self.base
@@ -133,23 +141,21 @@ class Model:
         return scores
 
 
-def learn(docs: DataFrame, *, max_train: int = MAX_TRAIN, max_grams: int = MAX_GRAMS) -> Model | None:
+def learn(docs: DataFrame, *, max_train: int = MAX_TRAIN, max_grams: int = MAX_GRAMS, all_grams: int = ALL_GRAMS) -> Model | None:
     """Model from docs(doc_id, text, lang) with non-null lang; None if there are none.
 
-    Every language is learned; more than MAX_LANGS of them are an error. About max_train rows of each are drawn by
-    a hash of the id. Words, their n-grams and the scripts of their first letters are counted by Spark; the max_grams
-    most frequent n-grams of each language reach the driver, so the model does not grow with the data.
+    Every language is learned. About max_train rows of each are drawn by a hash of the id. Words, their n-grams and
+    the scripts of their first letters are counted by Spark; the most frequent n-grams of each language reach the
+    driver as columns of numbers, max_grams of each or, of many languages, an equal share of all_grams but at least
+    one, so the model does not grow with the data.
     """
     marked = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
     counts = materialize(marked.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "langid-langs")
-    listed = counts.orderBy(F.desc("rows"), "lang").limit(MAX_LANGS + 1).collect()
-    if not listed:
+    langs = [r["lang"] for r in counts.orderBy(F.desc("rows"), "lang").collect()]
+    if not langs:
         return None
-    if len(listed) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    langs = [r["lang"] for r in listed]
-    # One row for each language, of which there are at most MAX_LANGS.
-    drawn = marked.join(F.broadcast(counts), "lang").filter(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(1 << 20)) * F.col("rows") < max_train * (1 << 20))
+    max_grams = min(max_grams, max(1, all_grams // len(langs)))
+    drawn = marked.join(small(counts), "lang").filter(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(1 << 20)) * F.col("rows") < max_train * (1 << 20))
     words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w")).groupBy("lang", "w").count()
     words = materialize(words, "langid-words")
     scripts = words.groupBy("lang", script_column(F.col("w")).alias("script")).agg(F.sum("count").alias("n"))
@@ -163,17 +169,19 @@ def learn(docs: DataFrame, *, max_train: int = MAX_TRAIN, max_grams: int = MAX_G
 
     grams = words.select("lang", "count", F.explode(F.concat(*map(pieces, range(1, ORDER + 1)))).alias("g")).groupBy("lang", "g").agg(F.sum("count").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "g")
-    kept = grams.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max_grams).select("lang", "g", "n").collect()
-    if not kept:  # labelled texts without a letter
+    kept = grams.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max_grams)
+    own = kept.select("lang", _packed_column(F.col("g")).alias("g"), F.length("g").alias("size"), "n").toArrow()
+    if not own.num_rows:  # labelled texts without a letter
         return None
 
     at = {lang: i for i, lang in enumerate(langs)}
-    pack = {g: int(_packed(_points(g), len(g))[0]) for g in {r["g"] for r in kept}}
-    order = sorted(pack, key=pack.__getitem__)
-    place = {g: i for i, g in enumerate(order)}
-    sizes = np.array([len(g) for g in order])
-    entries = sorted((place[r["g"]], at[r["lang"]], r["n"]) for r in kept)
-    gram, lang, n = (np.array([e[i] for e in entries], np.int64) for i in range(3))
+    named = own.column("lang").combine_chunks().dictionary_encode()
+    lang = np.array([at[x] for x in named.dictionary.to_pylist()], np.int64)[named.indices.to_numpy(zero_copy_only=False)]
+    packed, size, n = (own.column(c).to_numpy().astype(np.int64) for c in ("g", "size", "n"))
+    order, first, gram = np.unique(packed, return_index=True, return_inverse=True)
+    sizes = size[first]
+    sort = np.lexsort((lang, gram))
+    gram, lang, n = gram[sort], lang[sort], n[sort]
     k = len(langs)
     # Log chances of n-grams of one length, smoothed by half a count.
     totals = [np.bincount(lang[sizes[gram] == m], n[sizes[gram] == m], k) for m in range(1, ORDER + 1)]
@@ -187,7 +195,7 @@ def learn(docs: DataFrame, *, max_train: int = MAX_TRAIN, max_grams: int = MAX_G
     all_letters = sum(uses.values(), np.zeros(k))
     # A language uses a script in which it writes a hundredth of its words or more; a script that none uses so stands open to those that have it.
     open_to = {s: (v >= 0.01 * np.maximum(all_letters, 1)) if (v >= 0.01 * np.maximum(all_letters, 1)).any() else v > 0 for s, v in uses.items()}
-    return Model(langs, np.array([pack[g] for g in order], np.int64), sizes, base, firsts, lang, gains, open_to)
+    return Model(langs, order, sizes, base, firsts, lang, gains, open_to)
 
 
 class _Words(dict):
@@ -243,9 +251,10 @@ def _viterbi(scores: np.ndarray, rows: np.ndarray, starts: np.ndarray, lengths:
     starts, lengths = starts[order], lengths[order]
     k = scores.shape[1]
     own = np.arange(k)
-    back, path = np.empty((len(rows), k), np.int16), np.empty(len(rows), np.int16)
+    kind = np.int16 if k < 1 << 15 else np.int32
+    back, path = np.empty((len(rows), k), kind), np.empty(len(rows), kind)
     state = scores[rows[starts]].astype(np.float64)
-    ends = np.empty(len(starts), np.int16)
+    ends = np.empty(len(starts), kind)
     live = len(starts)
     for t in range(1, int(lengths[0]) + 1):
         now = int(np.searchsorted(-lengths, -t, "left"))  # texts with more than t words
