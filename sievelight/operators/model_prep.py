@@ -109,8 +109,11 @@ def build_prompts(chunked: DataFrame, context: DataFrame | None = None) -> DataF
     return rows.select("repo", "file", "chunk_no", F.array_join(lines, "\n").alias("prompt"))
 
 
-def repo_context(files: DataFrame, readme_lines: int = 12, entries: int = 30) -> DataFrame:
-    """repo, context: the first lines of README.md that are not blank, package.json's name, version and description, and top-level entries."""
+def repo_context(files: DataFrame, readme_lines: int = 12, entries: int = 30, unlisted: tuple[str, ...] = ()) -> DataFrame:
+    """repo, context: the first lines of README.md that are not blank, package.json's name, version and description, and top-level entries.
+
+    Files named in unlisted are read, and neither listed nor counted among the entries.
+    """
     readme = F.array_join(F.slice(F.filter(F.split("content", r"\r?\n"), lambda x: F.trim(x) != ""), 1, readme_lines), "\n")
     about = F.from_json("content", "struct<name:string,version:string,description:string>")
     package = F.when(F.try_parse_json("content").isNull(), "(unreadable)").otherwise(F.concat_ws(" | ", F.nullif(about["name"], F.lit("")), F.nullif(about["version"], F.lit("")), F.nullif(about["description"], F.lit(""))))
@@ -119,7 +122,7 @@ def repo_context(files: DataFrame, readme_lines: int = 12, entries: int = 30) ->
         F.max(F.when((F.col("file") == "package.json") & (F.col("content") != ""), F.concat(F.lit("package.json: "), package))).alias("package"),
     )
     first = F.regexp_extract("file", "^[^/]+", 0)
-    top = files.select("repo", F.concat(first, F.when(F.contains("file", F.lit("/")), "/").otherwise("")).alias("entry")).filter(~first.isin(".git", "node_modules", "dist", "build", "coverage")).distinct()
+    top = files.filter(~F.col("file").isin(*unlisted)).select("repo", F.concat(first, F.when(F.contains("file", F.lit("/")), "/").otherwise("")).alias("entry")).filter(~first.isin(".git", "node_modules", "dist", "build", "coverage")).distinct()
     listed = top.withColumn("n", F.row_number().over(Window.partitionBy("repo").orderBy("entry"))).filter(F.col("n") <= entries)
     listed = listed.groupBy("repo").agg(F.concat(F.lit("Top-level: "), F.array_join(F.array_sort(F.collect_list("entry")), ", ")).alias("top"))
     return listed.join(one, "repo", "full_outer").select("repo", F.concat_ws("\n", "readme", "package", "top").alias("context"))

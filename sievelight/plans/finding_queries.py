@@ -464,8 +464,8 @@ def repo_context(spark, sf_dir):
     readme = first_lines(docs, 12).withColumn("file", F.lit("README.md"))
     package = docs.select(F.col("source").alias("repo")).distinct().withColumn("content", F.concat(F.lit('{"name":"'), "repo", F.lit('","version":"1.0.0"}'))).withColumn("file", F.lit("package.json"))
     extra = readme.unionByName(package)
-    context = model_prep.repo_context(files.unionByName(extra))
-    return context.select("repo", F.md5(F.regexp_replace(F.regexp_replace("context", "(Top-level: )README.md, ", "$1"), "(README.md, )?package.json, |, README.md|, package.json", "")).alias("context"))
+    context = model_prep.repo_context(files.unionByName(extra), unlisted=("README.md", "package.json"))
+    return context.select("repo", F.md5("context").alias("context"))
 
 
 # Rescans ---------------------------------------------------------------------------------------------------

@@ -317,3 +317,11 @@ def test_many_functions_are_linear():
     rows = facts.file_facts("r", "a.js", "javascript", code)
     assert len(rows) == 20_000 and time.time() - began < 8
     assert all(r[3] == (0 if r[7] == "func" else int(r[8][1:]) + 1) for r in rows)
+
+
+def test_files_that_are_not_listed_take_no_place_among_entries(spark):
+    rows = [("r", f"f{i:02d}.ts", "") for i in range(40)] + [("r", "README.md", "# Title"), ("r", "package.json", '{"name":"n"}')]
+    files = spark.createDataFrame(rows, "repo string, file string, content string")
+    got = model_prep.repo_context(files, unlisted=("README.md", "package.json")).first()["context"].split("\n")
+    assert got == ["README:", "# Title", "package.json: n", "Top-level: " + ", ".join(f"f{i:02d}.ts" for i in range(30))]
+    assert model_prep.repo_context(files).first()["context"].endswith(", f28.ts")
