@@ -265,18 +265,27 @@ def read_advisories(spark, sf_dir):
 
 @R.query("""SELECT p_brand AS language, concat('rule', CAST(p_partkey AS STRING)) AS rule_id, CASE WHEN p_size % 2 = 0 THEN 'sink' ELSE 'source' END AS role, CASE p_size % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'prefix' ELSE 'glob' END AS kind, unnest(CASE WHEN p_size % 3 = 1 THEN [p_type] ELSE [p_type, p_name] END) AS value FROM part""")
 def read_rules(spark, sf_dir):
-    """Rule packs written as JSON, one for each brand, and read as matcher rows; a field is one string or an array of them."""
+    """Rule packs written as JSON, one or more for each brand, and read as matcher rows; a field is one string or an array of them."""
     path = scratch(spark, "packs")
     part = table(spark, sf_dir, "part")
+    write_packs(part, path, -(-part.count() // PACK_RULES))
+    return readers.load_native_rules(spark, path + "/*").select("language", "rule_id", "role", "kind", "value")
+
+
+#: Rules that a pack holds, about, if they are all of one language.
+PACK_RULES = 100_000
+
+
+def write_packs(part: DataFrame, path: str, packs: int) -> None:
+    """Each brand's rules as JSON packs, at most so many of a brand; a pack is a file, so none grows with the table."""
     quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
     field = F.when(F.col("p_size") % 3 == 0, "callee").when(F.col("p_size") % 3 == 1, "calleePrefix").otherwise("calleePattern")
     value = F.when(F.col("p_size") % 3 == 1, quoted("p_type")).otherwise(F.concat(F.lit("["), quoted("p_type"), F.lit(","), quoted("p_name"), F.lit("]")))
     role = F.when(F.col("p_size") % 2 == 0, "sinks").otherwise("sources")
     rule = F.concat(F.lit('{"id":"rule'), F.col("p_partkey").cast("string"), F.lit('","title":"t","severity":"high","owasp":"o","kind":"taint","'), role, F.lit('":[{"id":"e","name":"n","matcher":{"'), field, F.lit('":'), value, F.lit("}}]}"))
-    packs = part.groupBy("p_brand").agg(F.array_join(F.collect_list(rule), ",").alias("rules"))
-    text = packs.select(F.concat(F.lit('{"language":"'), "p_brand", F.lit('","rules":['), "rules", F.lit("]}")).alias("value"), F.regexp_replace("p_brand", "[^A-Za-z0-9]", "").alias("b"))
-    text.repartition("b").write.partitionBy("b").text(path)
-    return readers.load_native_rules(spark, path + "/*").select("language", "rule_id", "role", "kind", "value")
+    split = part.groupBy("p_brand", F.pmod(F.xxhash64("p_partkey"), F.lit(max(packs, 1))).alias("no")).agg(F.array_join(F.collect_list(rule), ",").alias("rules"))
+    text = split.select(F.concat(F.lit('{"language":"'), "p_brand", F.lit('","rules":['), "rules", F.lit("]}")).alias("value"), F.regexp_replace("p_brand", "[^A-Za-z0-9]", "").alias("b"))
+    text.write.option("maxRecordsPerFile", 1).partitionBy("b").text(path)
 
 
 MANIFESTS = f"SELECT repo, source, name, CASE WHEN l_linenumber % 2 = 0 THEN concat('^', version) ELSE version END AS spec, version, l_linenumber, ecosystem FROM (SELECT *, row_number() OVER (PARTITION BY repo, source, name ORDER BY version) AS rn FROM ({DEPS}) d) e WHERE rn = 1"

@@ -60,28 +60,29 @@ def _values(field: str) -> str:
 
 
 def matcher_rows(rules: DataFrame) -> DataFrame:
-    """One row for each value of each matcher of rules(language, rule struct, rule_no): see MATCHERS."""
-    base = ["language", "rule.id as rule_id", "rule.title", "rule.severity", "rule.owasp", "rule.kind as rule_kind", "rule_no"]
-    parts = []
-    for role in ("source", "sink", "sanitizer"):
-        ends = rules.selectExpr(*base, f"'{role}' as role", f"posexplode(rule.{role}s) as (endpoint_no, e)")
-        for kind, field in (("exact", "callee"), ("prefix", "calleePrefix"), ("glob", "calleePattern")):
-            parts.append(ends.selectExpr("*", f"explode({_values(f'e.matcher.{field}')}) as value").selectExpr("* except(e, value)", "e.name as endpoint_name", f"'{kind}' as kind", "value"))
-    for kind, field in (("exact", "callee"), ("prefix", "calleePrefix"), ("glob", "calleePattern")):
-        direct = rules.filter("rule.kind = 'direct'").selectExpr(*base, "'direct' as role", "0 as endpoint_no", f"explode({_values(f'rule.{field}')}) as value", "rule.id as endpoint_name", f"'{kind}' as kind")
-        parts.append(direct)
-    literal = rules.filter("rule.literalPattern is not null").selectExpr(*base, "'literal' as role", "0 as endpoint_no", "rule.id as endpoint_name", "'regex' as kind", "rule.literalPattern as value")
-    out = literal
-    for p in parts:
-        out = out.unionByName(p)
+    """One row for each value of each matcher of rules(language, rule struct, rule_no): see MATCHERS. The rules are read once."""
+    fields = (("exact", "callee"), ("prefix", "calleePrefix"), ("glob", "calleePattern"))
+    ends = [f"transform(rule.{role}s, (e, i) -> struct('{role}' as role, i as endpoint_no, e.name as endpoint_name, e.matcher as matcher))" for role in ("source", "sink", "sanitizer")]
+    ends.append("CASE WHEN rule.kind = 'direct' THEN array(struct('direct' as role, 0 as endpoint_no, rule.id as endpoint_name, struct(rule.callee, rule.calleePrefix, rule.calleePattern) as matcher)) END")
+    ends.append("array(struct('literal' as role, 0 as endpoint_no, rule.id as endpoint_name, null as matcher))")
+    base = ["language", "rule.id as rule_id", "rule.title", "rule.severity", "rule.owasp", "rule.kind as rule_kind", "rule_no", "rule.literalPattern as literal"]
+    rows = rules.selectExpr(*base, f"explode(concat({', '.join(f'coalesce({e}, array())' for e in ends)})) as e")
+    values = [f"transform({_values(f'e.matcher.{field}')}, v -> struct('{kind}' as kind, v as value))" for kind, field in fields]
+    values.append("CASE WHEN e.role = 'literal' AND literal IS NOT NULL THEN array(struct('regex' as kind, literal as value)) END")
+    out = rows.selectExpr("*", f"inline(concat({', '.join(f'coalesce({v}, array())' for v in values)}))").selectExpr("* except(e)", "e.role", "e.endpoint_no", "e.endpoint_name")
     # Facts write every kind of member access as a dot, and so must the names that are looked for.
     value = F.when(F.col("kind") == "regex", F.col("value")).otherwise(F.regexp_replace("value", r"->|::|\?\.", "."))
     return out.withColumn("value", value).select(*[f.split()[0] for f in MATCHERS.split(", ")])
 
 
 def load_native_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Matcher rows of JSON packs, one file per language; a language without a pack has no rows."""
-    packs = spark.read.schema(PACK).json(path, multiLine=True)
+    """Matcher rows of JSON packs, one file per language or several; a language without a pack has no rows.
+
+    A file is read by one task, so a language of very many rules should have several; each numbers its own rules.
+    """
+    # The JSON source seeks in the file for every field that is an array where a string is declared; from_json has the text at hand.
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    packs = text.select(F.inline(F.from_json("value", f"array<struct<{PACK}>>")))
     return matcher_rows(packs.selectExpr("language", "posexplode(rules) as (rule_no, rule)"))
 
 
