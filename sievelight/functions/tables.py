@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_distinct(df: DataFrame, keys: list[str], add: Callable[[DataFrame], DataFrame], most: int = 100_000) -> DataFrame:
+    """add(df), where what add appends to df's columns (in any number of rows) comes from keys alone.
+
+    Where keys have few distinct values, add runs once for each of them, and what it gives is broadcast; else it runs on every row.
+    """
+    if df.agg(F.approx_count_distinct(F.struct(*keys))).first()[0] > most:
+        return add(df)
+    made = written(add(df.select(*keys).distinct()), "distinct")
+    if counted_bytes(made) > BROADCAST_BYTES:
+        return add(df)
+    new = [c for c in made.columns if c not in keys]
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return df.alias("a").join(F.broadcast(made).alias("b"), reduce(Column.__and__, same)).select("a.*", *[f"b.{c}" for c in new])
+
+
 def placed(df: DataFrame, group: list[str], order: list[Column], name: str, parts: int | None = None) -> DataFrame:
     """df with `name`, the place (from 1) of each row in its group by order. order should leave no ties but equal rows.
 

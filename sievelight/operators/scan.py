@@ -41,7 +41,7 @@ def scan_files(files: DataFrame, js_rules: DataFrame | None = None, native_rules
 
 def scan_dependencies(files: DataFrame, advisories: DataFrame, **how) -> DataFrame:
     """Findings of the manifests and locks among files: a repository's lock decides over its manifests, so they are read together."""
-    wanted = deps.resolve_versions(deps.parse_manifests(files))
+    wanted = written(deps.resolve_versions(deps.parse_manifests(files)), "dependencies")
     return deps.dependency_findings(deps.cve_range_join(wanted, deps.range_intervals(advisories)), **how)
 
 

@@ -217,13 +217,15 @@ MATCHED = f"""SELECT DISTINCT d.repo, d.source, d.ecosystem, d.name, d.version,
     ON d.ecosystem = i.ecosystem AND d.name = i.package AND (l IS NULL OR v > l OR (lo_inc AND v = l)) AND (h IS NULL OR v < h OR (hi_inc AND v = h))"""
 
 
-def _matched(spark, sf_dir) -> DataFrame:
-    return deps.cve_range_join(_deps(spark, sf_dir).distinct(), deps.range_intervals(derived(spark, sf_dir, "advisories")))
+def _matched(spark, sf_dir, *wanted: str) -> DataFrame:
+    """Matches, repeated ones dropped: of matches, as these are fewer than dependencies. Their shuffle leaves Spark free to split skewed packages."""
+    found = deps.cve_range_join(_deps(spark, sf_dir).drop("l_orderkey", "l_linenumber"), deps.range_intervals(derived(spark, sf_dir, "advisories")))
+    return found.select(*(wanted or ["*"])).repartition("repo", "source").distinct()
 
 
 @R.query(f"SELECT repo, source, name, version, id FROM ({MATCHED}) m")
 def cve_range_join(spark, sf_dir):
-    return _matched(spark, sf_dir).select("repo", "source", "name", "version", "id").distinct()
+    return _matched(spark, sf_dir, "repo", "source", "name", "version", "id")
 
 
 RISK = """round(greatest(0.0, least(100.0, coalesce(cvssScore * 10, CASE severity WHEN 'low' THEN 20.0 WHEN 'medium' THEN 45.0 WHEN 'high' THEN 75.0 WHEN 'critical' THEN 95.0 END, 45.0)
@@ -293,17 +295,18 @@ MANIFESTS = f"SELECT repo, source, name, CASE WHEN l_linenumber % 2 = 0 THEN con
 
 def _manifests(spark, sf_dir) -> DataFrame:
     """package.json of every source with all its packages; a lock file with the packages of even lines; requirements of the pypi ones."""
-    rows = _deps(spark, sf_dir).groupBy("repo", "source", "name").agg(F.min_by(F.struct("version", "l_linenumber", "ecosystem"), "version").alias("x")).select("repo", "source", "name", "x.*")
+    # Dealt by their source once, rows are grouped twice without moving again.
+    rows = _deps(spark, sf_dir).repartition("repo", "source").groupBy("repo", "source", "name").agg(F.min(F.struct("version", "l_linenumber", "ecosystem")).alias("x")).select("repo", "source", "name", "x.*")
     entry = lambda key, value: F.concat(F.lit('"'), key, F.lit('":'), value)
     text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     spec = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("^"), "version")).otherwise(F.col("version"))
-    plain = rows.groupBy("repo", "source").agg(F.array_join(F.collect_list(entry(F.col("name"), text(spec))), ",").alias("e")).select("repo", F.col("source").alias("file"), F.concat(F.lit('{"name":"x","dependencies":{'), "e", F.lit("}}")).alias("content"))
     nested = F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit("node_modules/outer/node_modules/"), "name")).otherwise(F.concat(F.lit("node_modules/"), "name"))
-    locks = rows.filter("l_linenumber % 2 = 0").groupBy("repo", "source").agg(F.array_join(F.collect_list(entry(nested, F.concat(F.lit('{"version":'), text(F.concat("version", F.lit("-l"))), F.lit("}")))), ",").alias("e"))
-    locks = locks.select("repo", F.regexp_replace("source", "package.json", "package-lock.json").alias("file"), F.concat(F.lit('{"packages":{"":{"version":"0.0.0"},'), "e", F.lit("}}")).alias("content"))
-    pins = rows.filter("ecosystem = 'pypi'").groupBy("repo", "source").agg(F.concat(F.lit("# pins\n"), F.array_join(F.collect_list(F.concat("name", F.lit("=="), "version")), "\n")).alias("content"))
-    pins = pins.select("repo", F.regexp_replace("source", "package.json", "requirements.txt").alias("file"), "content")
-    return plain.unionByName(locks).unionByName(pins)
+    lock = entry(nested, F.concat(F.lit('{"version":'), text(F.concat("version", F.lit("-l"))), F.lit("}")))
+    cells = {"package.json": entry(F.col("name"), text(spec)), "package-lock.json": F.when(F.col("l_linenumber") % 2 == 0, lock), "requirements.txt": F.when(F.col("ecosystem") == "pypi", F.concat("name", F.lit("=="), "version"))}
+    around = {"package.json": ('{"name":"x","dependencies":{', ",", "}}"), "package-lock.json": ('{"packages":{"":{"version":"0.0.0"},', ",", "}}"), "requirements.txt": ("# pins\n", "\n", "")}
+    sources = rows.groupBy("repo", "source").agg(*[F.collect_list(c).alias(name) for name, c in cells.items()])
+    made = [F.when(F.size(f"`{n}`") > 0, F.struct(F.regexp_replace("source", "package.json", n).alias("file"), F.concat(F.lit(a), F.array_join(f"`{n}`", by), F.lit(z)).alias("content"))) for n, (a, by, z) in around.items()]
+    return sources.select("repo", F.inline(F.array_compact(F.array(*made))))
 
 
 @R.query(f"""WITH m AS ({MANIFESTS}) SELECT repo, source, 'npm' AS ecosystem, name, CAST(NULL AS STRING) AS version, spec, 'manifest' AS kind FROM m

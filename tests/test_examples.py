@@ -337,3 +337,40 @@ def test_a_brand_of_many_rules_has_many_packs(spark, sf_dir, tmp_path):
     rules = readers.load_native_rules(spark, str(tmp_path / "packs" / "*"))
     assert rules.select("rule_id").distinct().count() == part.count()
     assert rules._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("FileScan") == 1
+
+
+def _reads(df, column: str) -> int:
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("== Initial Plan ==")[0].count(f"ReadSchema: struct<{column}:")
+
+
+def test_dependencies_are_read_once_and_keys_made_of_distinct_versions(spark, tmp_path):
+    place = str(tmp_path / "deps")
+    rows = [("r1", "m", "npm", "a", "1.5.0"), ("r1", "m", "npm", "a", "1.5.0"), ("r2", "m", "npm", "a", "3.0.0"), ("r3", "m", "npm", "a", "no version"), ("r4", "m", None, "a", "1.5.0")]
+    spark.createDataFrame(rows, "repo string, source string, ecosystem string, name string, version string").write.parquet(place)
+    advisories = spark.createDataFrame([("A1", "a", "npm", "<2.0.0 || >1.0.0 <1.9.0"), ("A2", "a", "npm", "<2.0.0 || >1.0.0 <1.9.0")], "id string, package string, ecosystem string, affectedRange string")
+    found = deps.cve_range_join(spark.read.parquet(place), deps.range_intervals(advisories))
+    # An advisory meets a row once, though two of its ranges hold the version; a row that is given twice stays twice.
+    assert sorted(map(tuple, found.select("repo", "version", "id").collect())) == sorted([("r1", "1.5.0", "A1"), ("r1", "1.5.0", "A2")] * 2)
+    assert _reads(found, "repo") == 1 and "regexp_extract" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_by_distinct_gives_the_same_for_few_and_many_keys(spark):
+    from sievelight.functions.tables import by_distinct
+
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b")], "i int, k string")
+    add = lambda d: d.withColumn("n", F.explode(F.array(F.coalesce("k", F.lit("none")), F.lit("x"))))
+    few, many = by_distinct(df, ["k"], add), by_distinct(df, ["k"], add, most=0)
+    assert few.columns == many.columns and sorted(map(tuple, few.collect()), key=str) == sorted(map(tuple, many.collect()), key=str)
+
+
+def test_manifests_are_read_once(spark, tmp_path):
+    place = str(tmp_path / "files")
+    rows = [("r", "p/package.json", '{"dependencies":{"a":"^1.0.0","b":"2"}}'), ("r", "p/package-lock.json", '{"packages":{"":{"version":"0"},"node_modules/a":{"version":"1.2.0"},"node_modules/x/node_modules/a":{"version":"1.10.0"}}}'), ("r", "requirements.txt", "C[x]==3 # c\n-r other\n\nd>=1"), ("r", "p/x.json", "{}"), ("r", "package.json", "{oops")]
+    spark.createDataFrame(rows, "repo string, file string, content string").write.parquet(place)
+    parsed = deps.parse_manifests(spark.read.parquet(place))
+    assert {(r["ecosystem"], r["name"], r["version"], r["spec"], r["kind"]) for r in parsed.collect()} == (
+        {("npm", "a", None, "^1.0.0", "manifest"), ("npm", "b", None, "2", "manifest"), ("npm", "a", "1.2.0", None, "lock"), ("npm", "a", "1.10.0", None, "lock"), ("pypi", "c", "3", "==3", "manifest"), ("pypi", "d", None, ">=1", "manifest")}
+    )
+    resolved = deps.resolve_versions(parsed)
+    assert {(r["name"], r["version"], r["reported"]) for r in resolved.collect()} == {("a", "1.10.0", "1.10.0"), ("b", "2", "2"), ("c", "3", "3"), ("d", "1", ">=1")}
+    assert _reads(parsed, "repo") == 1 and _reads(resolved, "repo") == 1
