@@ -164,7 +164,7 @@ def parse_manifests(files: DataFrame) -> DataFrame:
     kind is manifest or lock. The lock's root entry is skipped; a nested path names what follows its last
     node_modules/. Lines of requirements that name no package are skipped. Broken JSON gives no rows. The files are read once.
     """
-    base = F.regexp_extract("file", "([^/]*)$", 1)
+    base = F.substring_index("file", "/", -1)
     none = F.lit(None).cast("string")
     row = lambda eco, name, version, spec, kind: F.struct(F.lit(eco).alias("ecosystem"), name.alias("name"), version.alias("version"), spec.alias("spec"), F.lit(kind).alias("kind"))
     plain = F.map_entries(F.from_json("content", "struct<dependencies:map<string,string>>")["dependencies"])
