@@ -14,13 +14,15 @@ DEPTH = 4
 GROUP_BYTES, SUFFIX_BYTES = 16 << 20, 64
 #: Occurrences of a phrase at least, and the share of them, in hundredths, that a longer phrase must have to stand for it.
 LEAST, COVERED = 30, 80
+#: Parts that a suffix of a prefix without a group is dealt into, by the task that read it.
+SOURCES = 64
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = [f"w{i}" for i in range(1, DEPTH + 1)]
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    """lang, w1 to w4: for each word of a text, it and up to three that follow in its piece; those that are missing are null.
+def suffixes(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """lang, w1 to w4 (or fewer, by depth): for each word of a text, it and up to three that follow in its piece; those that are missing are null.
 
     Texts are split at `.,;:!?` and line ends; A to Z are lower-cased; words are what spaces and tabs leave. Null text is
     empty, null lang is `und`.
@@ -29,8 +31,8 @@ def suffixes(docs: DataFrame) -> DataFrame:
     # In ASCII lower() does the same as translate(), and takes less time.
     plain = F.when(F.octet_length("piece") == F.length("piece"), F.lower("piece")).otherwise(F.translate("piece", UPPER, LOWER))
     pieces = pieces.select("lang", F.trim(plain, F.lit(" \t")).alias("piece")).filter("piece != ''").select("lang", F.split("piece", r"[ \t]+").alias("w"))
-    behind = [F.slice("w", i, F.greatest(F.size("w"), F.lit(1))) if i > 1 else F.col("w") for i in range(1, DEPTH + 1)]
-    return pieces.select("lang", F.inline(F.arrays_zip(*[b.alias(name) for b, name in zip(behind, WORDS)])).alias(*WORDS))
+    behind = [F.slice("w", i, F.greatest(F.size("w"), F.lit(1))) if i > 1 else F.col("w") for i in range(1, depth + 1)]
+    return pieces.select("lang", F.inline(F.arrays_zip(*[b.alias(name) for b, name in zip(behind, WORDS)])).alias(*WORDS[:depth]))
 
 
 def _key() -> Column:
@@ -53,12 +55,16 @@ def vertical_partition(pairs: DataFrame, least: int, group_rows: int) -> DataFra
 
 
 def _nodes(leaves: DataFrame, least: int, group: list[str]) -> DataFrame:
-    """lang, w1 to w4, f of phrases of three and four words, from leaf totals: those of a node are its leaves' sum."""
+    """alone, lang, w1 to w4, f of phrases of three and four words, from leaf totals: those of a node are its leaves' sum.
+
+    Leaves that stand alone, as other groups hold more of their node, are handed on as they are.
+    """
     third = leaves.filter("w3 is not null").groupBy(*group, "lang", "w1", "w2", "w3")
-    kept = F.collect_list(F.when(F.col("w4").isNotNull() & (F.col("f") >= least), F.struct("w4", "f")))
-    nodes = third.agg(F.sum("f").alias("f"), kept.alias("below")).filter(F.col("f") >= least)
+    alone = F.col("alone")
+    kept = F.collect_list(F.when(alone | (F.col("w4").isNotNull() & (F.col("f") >= least)), F.struct("w4", "f")))
+    nodes = third.agg(F.sum("f").alias("f"), kept.alias("below")).filter(alone | (F.col("f") >= least))
     own = F.array(F.struct(F.lit(None).cast("string").alias("w4"), F.col("f").alias("f")))
-    return nodes.select("lang", "w1", "w2", "w3", F.inline(F.concat(own, F.col("below"))).alias("w4", "f"))
+    return nodes.select("alone", "lang", "w1", "w2", "w3", F.inline(F.when(alone, F.col("below")).otherwise(F.concat(own, F.col("below")))).alias("w4", "f"))
 
 
 def subtrees(docs: DataFrame, pairs: DataFrame, least: int = LEAST, group_rows: int = GROUP_BYTES // SUFFIX_BYTES) -> DataFrame:
@@ -66,23 +72,26 @@ def subtrees(docs: DataFrame, pairs: DataFrame, least: int = LEAST, group_rows:
 
     Suffixes are dealt out by their prefix's group, so that a task builds the subtrees of its groups alone: it sorts out equal
     suffixes, whose numbers are the leaf totals, and sums them upwards without another shuffle. Suffixes of a prefix too
-    frequent for a group are combined before they are dealt out, by all their words.
+    frequent for a group are dealt out by all their words and the task they come from; what is combined of them is summed then.
     """
     plan = materialize(vertical_partition(pairs, least, group_rows), "colloc-plan")
-    rows = suffixes(docs).filter("w3 is not null").withColumn("key", _key()).join(small(plan), "key")
-    dealt = rows.filter("part is not null").select("part", "lang", *WORDS).repartition("part")
-    leaves = dealt.groupBy("part", "lang", *WORDS).agg(F.count(F.lit(1)).alias("f"))
-    out = _nodes(leaves, least, ["part"])
-    if plan.filter("part is null").head(1):
-        deep = rows.filter("part is null").groupBy("lang", *WORDS).agg(F.count(F.lit(1)).alias("f"))
-        out = out.unionByName(_nodes(deep, least, []))
-    return out
+    source = F.pmod(F.spark_partition_id(), F.lit(SOURCES))
+    rows = suffixes(docs).filter("w3 is not null").select("lang", *WORDS, _key().alias("key"), source.alias("source")).join(small(plan), "key")
+    place = F.coalesce("part", F.xxhash64("lang", *WORDS, "source"))
+    dealt = rows.select(place.alias("place"), F.col("part").isNull().alias("alone"), "lang", *WORDS).repartition("place")
+    leaves = dealt.groupBy("place", "alone", "lang", *WORDS).agg(F.count(F.lit(1)).alias("f"))
+    built = materialize(_nodes(leaves, least, ["place", "alone"]), "colloc-subtrees")
+    nodes = built.filter("not alone").select("lang", *WORDS, "f")
+    deep = built.filter("alone").groupBy("lang", *WORDS).agg(F.sum("f").alias("f"))
+    return nodes.unionByName(_nodes(deep.withColumn("alone", F.lit(False)), least, ["alone"]).drop("alone"))
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, group_rows: int = GROUP_BYTES // SUFFIX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(lang, words, f) of all phrases of one to four words with `least` occurrences, and (lang, n): how many words there are."""
-    pairs = suffixes(docs).groupBy("lang", "w1", "w2").agg(F.count(F.lit(1)).alias("f"))
-    pairs = materialize(pairs, "colloc-pairs")
+    pairs = suffixes(docs, 2).groupBy("lang", "w1", "w2").agg(F.count(F.lit(1)).alias("f"))
+    # Of rare pairs only the first word's number is needed: their second word goes before the table is written.
+    pairs = pairs.select("lang", "w1", F.when(F.col("f") >= least, F.col("w2")).alias("w2"), "f")
+    pairs = materialize(pairs.groupBy("lang", "w1", "w2").agg(F.sum("f").alias("f")), "colloc-pairs")
     single = pairs.groupBy("lang", "w1").agg(F.sum("f").alias("f")).filter(F.col("f") >= least).select("lang", F.array("w1").alias("words"), "f")
     double = pairs.filter(F.col("w2").isNotNull() & (F.col("f") >= least)).select("lang", F.array("w1", "w2").alias("words"), "f")
     deeper = subtrees(docs, pairs, least, group_rows)
@@ -103,8 +112,8 @@ def collocations(docs: DataFrame, *, least: int = LEAST, covered: int = COVERED,
     `covered` hundredths of its occurrences. Phrases of a language are ordered by score, a, and the bytes of their words.
 
     Only sums that Spark combines before a shuffle and suffixes of prefixes with `least` occurrences move; groups of
-    prefixes hold at most twice group_rows suffixes, and those of a prefix above that are combined first, so no text,
-    however often it is repeated, meets in one task. Parts of a phrase are at least as frequent as it, so all their
+    prefixes hold at most twice group_rows suffixes, and those of a prefix above that are dealt out by all their words and
+    the task that read them, so no text, however often it is repeated, meets in one task. Parts of a phrase are at least as frequent as it, so all their
     numbers are there. Products are decimals. Null and empty texts have no words, very long texts and repeated rows count
     whole, other columns are ignored, and an empty table gives no rows.
     """

@@ -75,3 +75,14 @@ def test_groups_are_bounded(spark):
     plan = collocations.vertical_partition(pairs, 5, 60)
     held = pairs.withColumn("key", collocations._key()).join(plan, "key").filter("part is not null").groupBy("part").sum("f").collect()
     assert len(held) > 10 and max(r["sum(f)"] for r in held) <= 120
+
+
+def test_suffixes_are_made_once(spark):
+    """Frequent and rare prefixes share one pass over the texts, and rare pairs are not written one by one."""
+    df = spark.createDataFrame([(i, t, lang, "x", 1, 2, 3) for i, (t, lang) in enumerate(texts(4, 200, 1))], SCHEMA)
+    pairs = collocations.suffixes(df).groupBy("lang", "w1", "w2").count().withColumnRenamed("count", "f").cache()
+    found = collocations.subtrees(df, pairs, 5, 60)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("arrays_zip") < 2
+    assert found.filter("w4 is null").count() > 10
+    rows = collocations.suffixes(df, 2)
+    assert rows.columns == ["lang", "w1", "w2"] and rows.groupBy("lang", "w1", "w2").count().exceptAll(pairs).isEmpty()
