@@ -91,6 +91,9 @@ def _after_posts(key: Column) -> Column:
     return F.when(F.get(key["pre"], F.lit(1))["number"] >= 0, _with_locals(key)).otherwise(key.withField("pre", F.array(key["pre"][0], _part(F.lit(0), F.lit(_LAST)))))
 
 
+#: Names of the files that parse_manifests reads.
+MANIFESTS = ("package.json", "package-lock.json", "requirements.txt")
+
 _OPERATORS = r"===?|!==?|>=|<=|~=|~>?|>|<|=|\^|"
 
 

@@ -103,3 +103,17 @@ def test_languages_that_are_allowed(spark):
     df = spark.createDataFrame([("a.py",), ("b.go",), ("c.h",), ("d.txt",)], "f string")
     shown = lambda allowed: [r[0] for r in df.select(detect_language(F.col("f"), allowed)).collect()]
     assert shown([" Python", "C"]) == ["python", None, "c", None] and shown([]) == shown(None) == ["python", "go", "c", None] and shown([" "]) == [None] * 4
+
+
+def test_a_scan_reads_its_files_once(spark):
+    """Detectors share the text that is read, so what makes the files (a join, a listing) runs once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            read.add(frame.num_rows)
+            yield frame
+
+    files = spark.createDataFrame([("r", "a.js", "eval(getUserInput())"), ("r", "b.py", "hashlib.md5(x)"), ("r", "c.tf", 'acl = "public-read"')], "repo string, file string, content string")
+    found = {r["id"] for r in scan_all(files.mapInArrow(count, files.schema)).collect()}
+    assert {"js-eval-injection", "py-weak-crypto", "terraform-public-s3-acl"} <= found and read.value == 3
