@@ -109,7 +109,8 @@ def line_patterns(files: DataFrame, rules: list[Rule] = LINE_RULES) -> DataFrame
 def match_lines(text: Column, pattern: str) -> Column:
     """Line of each match: one more than the newlines in all pieces up to it and in the matches before it."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    newlines = lambda s: F.length(s) - F.length(F.translate(s, "\n", ""))
+    # Bytes are counted: translate() looks up each character of the text, once for each rule.
+    newlines = lambda s: F.octet_length(s) - F.octet_length(F.replace(s, F.lit("\n"), F.lit("")))
     pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(newlines(p).alias("p"), newlines(m).alias("m")))
     begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("lines"))
 
