@@ -30,9 +30,12 @@ def suffixes(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     pieces = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(F.coalesce("text", F.lit("")), r"[.,;:!?\x0A-\x0D]")).alias("piece"))
     # In ASCII lower() does the same as translate(), and takes less time.
     plain = F.when(F.octet_length("piece") == F.length("piece"), F.lower("piece")).otherwise(F.translate("piece", UPPER, LOWER))
-    pieces = pieces.select("lang", F.trim(plain, F.lit(" \t")).alias("piece")).filter("piece != ''").select("lang", F.split("piece", r"[ \t]+").alias("w"))
-    behind = [F.slice("w", i, F.greatest(F.size("w"), F.lit(1))) if i > 1 else F.col("w") for i in range(1, depth + 1)]
-    return pieces.select("lang", F.inline(F.arrays_zip(*[b.alias(name) for b, name in zip(behind, WORDS)])).alias(*WORDS[:depth]))
+    pieces = pieces.select("lang", F.trim(plain).alias("piece"))
+    # Splitting at one space takes no pattern; what it leaves of an empty piece goes as a row, as a filter of pieces would make each of them twice.
+    runs = F.col("piece").contains("\t") | F.col("piece").contains("  ")
+    words = F.when(runs, F.array_remove(F.split("piece", r"[ \t]+"), "")).otherwise(F.split("piece", " "))
+    placed = pieces.select("lang", words.alias("w")).select("lang", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
+    return placed.select("lang", *[F.get("w", F.col("i") + k).alias(name) for k, name in enumerate(WORDS[:depth])]).filter("w1 != ''")
 
 
 def _key() -> Column:

@@ -86,3 +86,13 @@ def test_suffixes_are_made_once(spark):
     assert found.filter("w4 is null").count() > 10
     rows = collocations.suffixes(df, 2)
     assert rows.columns == ["lang", "w1", "w2"] and rows.groupBy("lang", "w1", "w2").count().exceptAll(pairs).isEmpty()
+
+
+def test_pieces_are_made_once(spark):
+    """No filter makes the pieces of a text a second time, and blanks of any kind and number part words."""
+    rows = [("  a\tB  c \t.\t,  ,\t \t\n d", "en"), ("\té  B\tc\u00a0d \t e!" + " " * 50 + "A b c", None), ("a b c" + "\t" * 50, "en"), ("É B c d. É B\tC D", None)] * 2
+    df = spark.createDataFrame([(i, t, lang, "x", 1, 2, 3) for i, (t, lang) in enumerate(rows)], SCHEMA)
+    for depth in (2, 4):
+        plan = collocations.suffixes(df, depth)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lower(") == 1 and plan.count("explode(") == 2
+    assert run(spark, rows, least=2) == brute(rows, 2)
