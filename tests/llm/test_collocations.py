@@ -94,5 +94,8 @@ def test_pieces_are_made_once(spark):
     df = spark.createDataFrame([(i, t, lang, "x", 1, 2, 3) for i, (t, lang) in enumerate(rows)], SCHEMA)
     for depth in (2, 4):
         plan = collocations.suffixes(df, depth)._jdf.queryExecution().optimizedPlan().toString()
-        assert plan.count("lower(") == 1 and plan.count("explode(") == 2
+        assert plan.count("lower(") == 1 and plan.count("explode(") == 2 and plan.count("sequence(") == 1
+    # As test_suffixes_are_made_once, whose arrays_zip suffixes() no longer calls: the texts are not read again behind the written subtrees.
+    pairs = collocations.suffixes(df, 2).groupBy("lang", "w1", "w2").count().withColumnRenamed("count", "f")
+    assert "sequence(" not in collocations.subtrees(df, pairs, 2, 60)._jdf.queryExecution().optimizedPlan().toString()
     assert run(spark, rows, least=2) == brute(rows, 2)
