@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sievelight.llm.common import bounded, materialize, running, small
+from sievelight.llm.common import bounded, materialize
 
 #: Words of a phrase at most: the depth at which suffixes are cut.
 DEPTH = 4
 #: Memory that the suffixes of a group of prefixes may take, and what one of them is reckoned to take.
 GROUP_BYTES, SUFFIX_BYTES = 16 << 20, 64
+#: Cells that prefixes fall into, at most; numbers of 64 bits in which each marks its prefixes (16 MiB in all); bits for a prefix, while cells are fewer.
+MOST_CELLS, CELL_WORDS, PREFIX_BITS = 1 << 16, 32, 16
 #: Occurrences of a phrase at least, and the share of them, in hundredths, that a longer phrase must have to stand for it.
 LEAST, COVERED = 30, 80
 #: Parts that a suffix of a prefix without a group is dealt into, by the task that read it.
@@ -43,31 +45,66 @@ def _key() -> Column:
     return F.xxhash64("lang", "w1", "w2")
 
 
-def vertical_partition(pairs: DataFrame, least: int, group_rows: int) -> DataFrame:
+def _cell(cells: int) -> Column:
+    return F.col("key").bitwiseAND(F.lit(cells - 1))
+
+
+def _mark() -> tuple[Column, Column]:
+    """Where a prefix has its bits in its cell: in which number, and which two bits of it."""
+    two = "shiftleft(1L, cast(shiftrightunsigned(key, 21) & 63 as int)) | shiftleft(1L, cast(shiftrightunsigned(key, 27) & 63 as int))"
+    return F.shiftrightunsigned("key", 16).bitwiseAND(F.lit(CELL_WORDS - 1)).cast("int"), F.expr(two)
+
+
+def _frequent(pairs: DataFrame, least: int) -> DataFrame:
+    return pairs.filter(F.col("w2").isNotNull() & (F.col("f") >= least)).select(_key().alias("key"), "f")
+
+
+def cell_count(pairs: DataFrame, least: int, group_rows: int) -> int:
+    """Cells, a power of two, with which prefixes have PREFIX_BITS bits each and cells an eighth of group_rows suffixes on average; MOST_CELLS at most."""
+    n, rows = _frequent(pairs, least).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("f") <= group_rows, F.col("f"))), F.lit(0))).first()
+    return min(MOST_CELLS, 1 << max(n * PREFIX_BITS // (64 * CELL_WORDS), 8 * rows // group_rows).bit_length())
+
+
+def vertical_partition(pairs: DataFrame, least: int, group_rows: int, cells: int = MOST_CELLS) -> DataFrame:
     """(key, part) of the prefixes of two words that a phrase can begin with: those with `least` occurrences.
 
-    In the order of the prefixes, a group takes them until its suffixes fill group_rows; no group has more than twice that. A prefix
-    that alone has more gets no group (part is null): its suffixes are prefixes of full depth, and are summed as such.
+    A prefix's group is the cell that its number falls into; no group has more suffixes than group_rows. A prefix that alone has more,
+    and those of a cell that has more, get no group (part is null): their suffixes are prefixes of full depth, and are summed as such.
+    """
+    f = F.col("f")
+    # Prefixes that share a number are one here, so all of them go without a group if one does.
+    seen = _frequent(pairs, least).groupBy("key").agg(F.sum("f").alias("f")).withColumn("cell", _cell(cells))
+    held = seen.withColumn("held", F.sum(F.when(f <= group_rows, f)).over(Window.partitionBy("cell")))
+    return held.select("key", F.when((f <= group_rows) & (F.col("held") <= group_rows), F.col("cell")).alias("part"))
+
+
+def prefix_cells(plan: DataFrame, cells: int) -> DataFrame:
+    """cell, part, heavy, bits: for each cell its group (null: none), the prefixes in it that have none though it is one, and bits that all its prefixes set.
+
+    However many prefixes there are, this table has at most MOST_CELLS rows of a fixed size (prefixes without a group in a cell that is one have
+    more than group_rows suffixes each, so they are few) and can be broadcast. A rare prefix whose bits others set passes
+    too: its suffixes move in vain and are left out as rare when they are counted.
     """
-    seen = pairs.filter(F.col("w2").isNotNull() & (F.col("f") >= least))
-    light = running(seen.filter(F.col("f") <= group_rows), ["lang"], [F.col("w1"), F.col("w2")], {"f": F.col("f")})
-    grouped = light.select(_key().alias("key"), F.xxhash64("lang", F.floor((F.col("_f") - F.col("f")) / group_rows)).alias("part"))
-    heavy = seen.filter(F.col("f") > group_rows).select(_key().alias("key"), F.lit(None).cast("bigint").alias("part"))
-    # Where prefixes share a number, all of them go without a group if one does.
-    return grouped.unionByName(heavy).groupBy("key").agg(F.when(F.count("part") == F.count(F.lit(1)), F.min("part")).alias("part"))
+    alone = F.collect_list(F.when(F.col("part").isNull(), F.col("key")))
+    word, two = _mark()
+    words = plan.groupBy(_cell(cells).alias("cell"), word.alias("word")).agg(F.bit_or(two).alias("bits"), F.max("part").alias("part"), alone.alias("heavy"))
+    found = words.groupBy("cell").agg(F.max("part").alias("part"), F.flatten(F.collect_list("heavy")).alias("heavy"), F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"))
+    heavy = F.when(F.col("part").isNull(), F.array().cast("array<bigint>")).otherwise(F.col("heavy"))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(CELL_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("bits", i), F.lit(0).cast("bigint")))
+    return found.select("cell", "part", heavy.alias("heavy"), bits.alias("bits"))
 
 
 def _nodes(leaves: DataFrame, least: int, group: list[str]) -> DataFrame:
-    """alone, lang, w1 to w4, f of phrases of three and four words, from leaf totals: those of a node are its leaves' sum.
+    """alone, lang, head (three words), w4, f of phrases of three and four words, from leaf totals: those of a node are its leaves' sum.
 
     Leaves that stand alone, as other groups hold more of their node, are handed on as they are.
     """
-    third = leaves.filter("w3 is not null").groupBy(*group, "lang", "w1", "w2", "w3")
+    third = leaves.groupBy(*group, "lang", "head")
     alone = F.col("alone")
     kept = F.collect_list(F.when(alone | (F.col("w4").isNotNull() & (F.col("f") >= least)), F.struct("w4", "f")))
     nodes = third.agg(F.sum("f").alias("f"), kept.alias("below")).filter(alone | (F.col("f") >= least))
     own = F.array(F.struct(F.lit(None).cast("string").alias("w4"), F.col("f").alias("f")))
-    return nodes.select("alone", "lang", "w1", "w2", "w3", F.inline(F.when(alone, F.col("below")).otherwise(F.concat(own, F.col("below")))).alias("w4", "f"))
+    return nodes.select("alone", "lang", "head", F.inline(F.when(alone, F.col("below")).otherwise(F.concat(own, F.col("below")))).alias("w4", "f"))
 
 
 def subtrees(docs: DataFrame, pairs: DataFrame, least: int = LEAST, group_rows: int = GROUP_BYTES // SUFFIX_BYTES) -> DataFrame:
@@ -77,29 +114,39 @@ def subtrees(docs: DataFrame, pairs: DataFrame, least: int = LEAST, group_rows:
     suffixes, whose numbers are the leaf totals, and sums them upwards without another shuffle. Suffixes of a prefix too
     frequent for a group are dealt out by all their words and the task they come from; what is combined of them is summed then.
     """
-    plan = materialize(vertical_partition(pairs, least, group_rows), "colloc-plan")
+    cells = cell_count(pairs, least, group_rows)
+    plan = materialize(vertical_partition(pairs, least, group_rows, cells), "colloc-plan", release=True)
+    plan = materialize(prefix_cells(plan, cells), "colloc-cells", release=True)
     source = F.pmod(F.spark_partition_id(), F.lit(SOURCES))
-    rows = suffixes(docs).filter("w3 is not null").select("lang", *WORDS, _key().alias("key"), source.alias("source")).join(small(plan), "key")
-    place = F.coalesce("part", F.xxhash64("lang", *WORDS, "source"))
-    dealt = rows.select(place.alias("place"), F.col("part").isNull().alias("alone"), "lang", *WORDS).repartition("place")
-    leaves = dealt.groupBy("place", "alone", "lang", *WORDS).agg(F.count(F.lit(1)).alias("f"))
-    built = materialize(_nodes(leaves, least, ["place", "alone"]), "colloc-subtrees")
-    nodes = built.filter("not alone").select("lang", *WORDS, "f")
-    deep = built.filter("alone").groupBy("lang", *WORDS).agg(F.sum("f").alias("f"))
-    return nodes.unionByName(_nodes(deep.withColumn("alone", F.lit(False)), least, ["alone"]).drop("alone"))
+    rows = suffixes(docs).filter("w3 is not null").select("lang", *WORDS, _key().alias("key"), source.alias("source")).withColumn("cell", _cell(cells))
+    # Suffixes of rare prefixes go where they are read, whatever the number of frequent ones: a join by shuffle would move them all.
+    word, two = _mark()
+    rows = rows.join(F.broadcast(plan), "cell").filter(F.get("bits", word).bitwiseAND(two) == two)
+    rows = rows.withColumn("alone", F.col("part").isNull() | F.array_contains("heavy", F.col("key")))
+    place = F.when(F.col("alone"), F.xxhash64("lang", *WORDS, "source")).otherwise(F.col("part"))
+    # Three words in one column take less of a row than in three; no word has a space.
+    dealt = rows.select(place.alias("place"), "alone", "lang", F.concat_ws(" ", *WORDS[:3]).alias("head"), "w4").repartition("place")
+    leaves = dealt.groupBy("place", "alone", "lang", "head", "w4").agg(F.count(F.lit(1)).alias("f"))
+    built = materialize(_nodes(leaves, least, ["place", "alone"]), "colloc-subtrees", release=True)
+    deep = built.filter("alone").groupBy("lang", "head", "w4").agg(F.sum("f").alias("f"))
+    nodes = built.filter("not alone").unionByName(_nodes(deep.withColumn("alone", F.lit(False)), least, ["alone"]))
+    return nodes.withColumn("h", F.split("head", " ")).select("lang", *[F.col("h")[i].alias(name) for i, name in enumerate(WORDS[:3])], "w4", "f")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, group_rows: int = GROUP_BYTES // SUFFIX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(lang, words, f) of all phrases of one to four words with `least` occurrences, and (lang, n): how many words there are."""
-    pairs = suffixes(docs, 2).groupBy("lang", "w1", "w2").agg(F.count(F.lit(1)).alias("f"))
+    # Two words in one column take less of a row than in two; no word has a space, and the last of a piece stands alone.
+    pairs = suffixes(docs, 2).select("lang", F.concat_ws(" ", "w1", "w2").alias("pair")).groupBy("lang", "pair").agg(F.count(F.lit(1)).alias("f"))
     # Of rare pairs only the first word's number is needed: their second word goes before the table is written.
-    pairs = pairs.select("lang", "w1", F.when(F.col("f") >= least, F.col("w2")).alias("w2"), "f")
-    pairs = materialize(pairs.groupBy("lang", "w1", "w2").agg(F.sum("f").alias("f")), "colloc-pairs")
+    second = F.when((F.col("f") >= least) & F.col("pair").contains(" "), F.substring_index("pair", " ", -1))
+    pairs = pairs.select("lang", F.substring_index("pair", " ", 1).alias("w1"), second.alias("w2"), "f")
+    # All pairs move here, more than at any later step: their shuffle files go before the suffixes move.
+    pairs = materialize(pairs.groupBy("lang", "w1", "w2").agg(F.sum("f").alias("f")), "colloc-pairs", release=True)
     single = pairs.groupBy("lang", "w1").agg(F.sum("f").alias("f")).filter(F.col("f") >= least).select("lang", F.array("w1").alias("words"), "f")
     double = pairs.filter(F.col("w2").isNotNull() & (F.col("f") >= least)).select("lang", F.array("w1", "w2").alias("words"), "f")
     deeper = subtrees(docs, pairs, least, group_rows)
     longer = deeper.select("lang", F.filter(F.array(*WORDS), lambda w: w.isNotNull()).alias("words"), "f")
-    counts = materialize(single.unionByName(double).unionByName(longer), "colloc-counts")
+    counts = materialize(single.unionByName(double).unionByName(longer), "colloc-counts", release=True)
     return counts, pairs.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
@@ -114,8 +161,8 @@ def collocations(docs: DataFrame, *, least: int = LEAST, covered: int = COVERED,
     equal ones the first), l and r being the numbers of its parts. A phrase goes if a longer one that holds it has
     `covered` hundredths of its occurrences. Phrases of a language are ordered by score, a, and the bytes of their words.
 
-    Only sums that Spark combines before a shuffle and suffixes of prefixes with `least` occurrences move; groups of
-    prefixes hold at most twice group_rows suffixes, and those of a prefix above that are dealt out by all their words and
+    Only sums that Spark combines before a shuffle and suffixes of prefixes with `least` occurrences move, with some that share their bits; groups of
+    prefixes hold at most group_rows suffixes of frequent prefixes, and those of a prefix above that are dealt out by all their words and
     the task that read them, so no text, however often it is repeated, meets in one task. Parts of a phrase are at least as frequent as it, so all their
     numbers are there. Products are decimals. Null and empty texts have no words, very long texts and repeated rows count
     whole, other columns are ignored, and an empty table gives no rows.
@@ -137,5 +184,5 @@ def collocations(docs: DataFrame, *, least: int = LEAST, covered: int = COVERED,
     best = best.select("lang", "phrase", "a", "m.l", "m.r", "m.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    totals = materialize(totals, "colloc-totals")
+    totals = materialize(totals, "colloc-totals", release=True)
     return ranked.join(bounded(totals, totals.count(), 64), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

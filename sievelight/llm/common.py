@@ -14,6 +14,9 @@ from pyspark.sql import Window
 #: A side is broadcast only when its measured size in memory stays below this.
 BROADCAST_BYTES = 32 << 20
 
+#: Spark's setting that shuffle files go at the end of the write or query that made them.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: ASCII white space, as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]"
 NON_SPACE = r"[^\x20\x09-\x0D]"
@@ -27,14 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named or tempfile.gettempdir() + "/sievelight-shared"
 
 
-def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None, release: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder, in folders of the values of its last column if that is named, and read it back.
 
-    The lineage is cut, no executor holds the only copy, and whoever reads it later gets the same rows.
+    The lineage is cut, no executor holds the only copy, and whoever reads it later gets the same rows. release: the shuffle files behind df,
+    which nothing else should read, go once it is written; else they stay until the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true" if release else before)
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

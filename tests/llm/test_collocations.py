@@ -2,11 +2,12 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
 
-from sievelight.llm import collocations
+from sievelight.llm import collocations, common
 
 SCHEMA = "doc_id long, text string, lang string, w1 string, f long, part int, key int"
 
@@ -99,3 +100,60 @@ def test_pieces_are_made_once(spark):
     pairs = collocations.suffixes(df, 2).groupBy("lang", "w1", "w2").count().withColumnRenamed("count", "f")
     assert "sequence(" not in collocations.subtrees(df, pairs, 2, 60)._jdf.queryExecution().optimizedPlan().toString()
     assert run(spark, rows, least=2) == brute(rows, 2)
+
+
+def test_no_number_of_prefixes_moves_all_suffixes(spark, monkeypatch):
+    """Where the frequent prefixes are too many for a broadcast, suffixes of rare ones still do not move, nor are shuffle files kept."""
+    written = {}
+
+    def materialize(df, name, **how):
+        written[name] = (df._jdf.queryExecution().executedPlan().toString(), how.get("release"))
+        return common.materialize(df, name, **how)
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(collocations, "materialize", materialize)
+    rows = texts(5, 200, 9) + [(f"rare{i} words{i} of{i} mine{i} stand{i}", "en") for i in range(500)]
+    assert run(spark, rows, least=5) == brute(rows, 5)
+    plan, _ = written["colloc-subtrees"]
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert all(release for _, release in written.values())
+
+
+@pytest.mark.parametrize("cells, group_rows", [(1, 1 << 18), (1, 40), (8, 60), (64, 30)])
+def test_prefixes_that_share_a_cell(spark, monkeypatch, cells, group_rows):
+    """Rare prefixes pass where others set their bits, and frequent ones go without a group in cells that are one: counts stay exact."""
+    monkeypatch.setattr(collocations, "MOST_CELLS", cells)
+    monkeypatch.setattr(collocations, "CELL_WORDS", 1)
+    rows = texts(6, 60, 5) + [("New York City hall. new york city hall", "en")] * 100 + [(f"r{i} s{i} t{i} u{i}", "en") for i in range(300)] * 3
+    assert run(spark, rows, least=5, group_rows=group_rows) == brute(rows, 5)
+
+
+def test_cells_are_few_and_hold_all_prefixes(spark):
+    """However many prefixes there are, their cells have a fixed size; each prefix finds its bits, and its group or itself among those without."""
+    pairs = spark.range(40_000).selectExpr("'en' lang", "cast(id as string) w1", "'x' w2", "if(id % 100 = 0, 1000L, 1 + id % 7) f")
+    for count, grouped, alone in ((64, 0, 0), (1024, 1000, 300)):  # in 64, each cell has more suffixes than a group may have
+        plan = collocations.vertical_partition(pairs, 2, 900, count).cache()
+        cells = {r["cell"]: r for r in collocations.prefix_cells(plan, count).collect()}
+        assert len(cells) == count and {len(r["bits"]) for r in cells.values()} == {collocations.CELL_WORDS}
+        for r in plan.collect():
+            cell, key = cells[r["key"] & count - 1], r["key"] & (1 << 64) - 1
+            two = 1 << (key >> 21 & 63) | 1 << (key >> 27 & 63)
+            assert cell["bits"][key >> 16 & collocations.CELL_WORDS - 1] & two == two
+            assert r["part"] == cell["part"] or (r["part"] is None and r["key"] in cell["heavy"])
+        assert sum(r["part"] is not None for r in cells.values()) >= grouped and sum(len(r["heavy"]) for r in cells.values()) >= alone
+    assert collocations.cell_count(pairs, 2, 900) == 2048 and collocations.cell_count(pairs, 2000, 900) == 1
+
+
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+
+    before, kept = shuffled(), spark.conf.get(common.RELEASE)
+    df = common.materialize(spark.range(1000).repartition(7, "id"), "released", release=True)
+    assert spark.conf.get(common.RELEASE) == kept
+    for _ in range(100):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and df.count() == 1000
