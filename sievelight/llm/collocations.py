@@ -40,19 +40,25 @@ def suffixes(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return placed.select("lang", *[F.get("w", F.col("i") + k).alias(name) for k, name in enumerate(WORDS[:depth])]).filter("w1 != ''")
 
 
-def _key() -> Column:
+def _key(first: str = "w1", second: str = "w2") -> Column:
     """A prefix of two words as a number. Prefixes that share one only share a group."""
-    return F.xxhash64("lang", "w1", "w2")
+    return F.xxhash64("lang", first, second)
 
 
-def _cell(cells: int) -> Column:
-    return F.col("key").bitwiseAND(F.lit(cells - 1))
+def _cell(cells: int, key: str = "key") -> Column:
+    return F.col(key).bitwiseAND(F.lit(cells - 1))
 
 
-def _mark() -> tuple[Column, Column]:
+def _mark(key: str = "key") -> tuple[Column, Column]:
     """Where a prefix has its bits in its cell: in which number, and which two bits of it."""
-    two = "shiftleft(1L, cast(shiftrightunsigned(key, 21) & 63 as int)) | shiftleft(1L, cast(shiftrightunsigned(key, 27) & 63 as int))"
-    return F.shiftrightunsigned("key", 16).bitwiseAND(F.lit(CELL_WORDS - 1)).cast("int"), F.expr(two)
+    two = f"shiftleft(1L, cast(shiftrightunsigned({key}, 21) & 63 as int)) | shiftleft(1L, cast(shiftrightunsigned({key}, 27) & 63 as int))"
+    return F.shiftrightunsigned(key, 16).bitwiseAND(F.lit(CELL_WORDS - 1)).cast("int"), F.expr(two)
+
+
+def _met(key: str, bits: str) -> Column:
+    """Whether a prefix has its bits in its cell."""
+    word, two = _mark(key)
+    return F.get(bits, word).bitwiseAND(two) == two
 
 
 def _frequent(pairs: DataFrame, least: int) -> DataFrame:
@@ -107,6 +113,28 @@ def _nodes(leaves: DataFrame, least: int, group: list[str]) -> DataFrame:
     return nodes.select("alone", "lang", "head", F.inline(F.when(alone, F.col("below")).otherwise(F.concat(own, F.col("below")))).alias("w4", "f"))
 
 
+def moving(docs: DataFrame, plan: DataFrame, cells: int) -> DataFrame:
+    """place, alone, lang, head (three words), w4 of the suffixes that can be part of a frequent phrase, from prefix_cells().
+
+    No phrase is more frequent than any two words in it, so suffixes whose first or second pair is rare are left out where they are read, however many pairs
+    are frequent (a join by shuffle would move them all), and so is the last word where the third pair is.
+    """
+    def meet(rows: DataFrame, k: int, first: str, second: str, how: str) -> DataFrame:
+        bits = plan.select(F.col("cell").alias(f"cell{k}"), F.col("bits").alias(f"bits{k}"))
+        rows = rows.withColumn(f"key{k}", _key(first, second)).withColumn(f"cell{k}", _cell(cells, f"key{k}"))
+        return rows.join(F.broadcast(bits), f"cell{k}", how)
+
+    source = F.pmod(F.spark_partition_id(), F.lit(SOURCES))
+    rows = suffixes(docs).filter("w3 is not null").select("lang", *WORDS, _key().alias("key"), source.alias("source")).withColumn("cell", _cell(cells))
+    rows = rows.join(F.broadcast(plan), "cell").filter(_met("key", "bits")).drop("cell", "bits")
+    rows = meet(rows, 2, "w2", "w3", "inner").filter(_met("key2", "bits2"))
+    rows = meet(rows, 3, "w3", "w4", "left").withColumn("w4", F.when(_met("key3", "bits3"), F.col("w4")))
+    rows = rows.withColumn("alone", F.col("part").isNull() | F.array_contains("heavy", F.col("key")))
+    place = F.when(F.col("alone"), F.xxhash64("lang", *WORDS, "source")).otherwise(F.col("part"))
+    # Three words in one column take less of a row than in three; no word has a space.
+    return rows.select(place.alias("place"), "alone", "lang", F.concat_ws(" ", *WORDS[:3]).alias("head"), "w4")
+
+
 def subtrees(docs: DataFrame, pairs: DataFrame, least: int = LEAST, group_rows: int = GROUP_BYTES // SUFFIX_BYTES) -> DataFrame:
     """lang, w1 to w4, f of all phrases of three and four words with `least` occurrences, from suffix subtrees.
 
@@ -117,15 +145,7 @@ def subtrees(docs: DataFrame, pairs: DataFrame, least: int = LEAST, group_rows:
     cells = cell_count(pairs, least, group_rows)
     plan = materialize(vertical_partition(pairs, least, group_rows, cells), "colloc-plan", release=True)
     plan = materialize(prefix_cells(plan, cells), "colloc-cells", release=True)
-    source = F.pmod(F.spark_partition_id(), F.lit(SOURCES))
-    rows = suffixes(docs).filter("w3 is not null").select("lang", *WORDS, _key().alias("key"), source.alias("source")).withColumn("cell", _cell(cells))
-    # Suffixes of rare prefixes go where they are read, whatever the number of frequent ones: a join by shuffle would move them all.
-    word, two = _mark()
-    rows = rows.join(F.broadcast(plan), "cell").filter(F.get("bits", word).bitwiseAND(two) == two)
-    rows = rows.withColumn("alone", F.col("part").isNull() | F.array_contains("heavy", F.col("key")))
-    place = F.when(F.col("alone"), F.xxhash64("lang", *WORDS, "source")).otherwise(F.col("part"))
-    # Three words in one column take less of a row than in three; no word has a space.
-    dealt = rows.select(place.alias("place"), "alone", "lang", F.concat_ws(" ", *WORDS[:3]).alias("head"), "w4").repartition("place")
+    dealt = moving(docs, plan, cells).repartition("place")
     leaves = dealt.groupBy("place", "alone", "lang", "head", "w4").agg(F.count(F.lit(1)).alias("f"))
     built = materialize(_nodes(leaves, least, ["place", "alone"]), "colloc-subtrees", release=True)
     deep = built.filter("alone").groupBy("lang", "head", "w4").agg(F.sum("f").alias("f"))

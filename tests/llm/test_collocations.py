@@ -119,6 +119,16 @@ def test_no_number_of_prefixes_moves_all_suffixes(spark, monkeypatch):
     assert all(release for _, release in written.values())
 
 
+def test_suffixes_with_a_rare_pair_do_not_move(spark):
+    """A rare first or second pair ends a suffix, a rare third one its last word."""
+    rows = [("a b c d", "en"), ("b c. c x", "en"), ("p b c d", "en"), ("a b c x", "en"), ("a b x d", "en"), ("a b c", "en"), ("a b c d", "fr")] * 2 + [("a b. b c. c d", "en")]
+    df = spark.createDataFrame([(i, t, lang, "x", 1, 2, 3) for i, (t, lang) in enumerate(rows)], SCHEMA)
+    pairs = collocations.suffixes(df, 2).groupBy("lang", "w1", "w2").count().withColumnRenamed("count", "f")
+    plan = collocations.prefix_cells(collocations.vertical_partition(pairs, 5, 1000), collocations.MOST_CELLS).cache()
+    got = Counter((r["lang"], r["head"], r["w4"]) for r in collocations.moving(df, plan, collocations.MOST_CELLS).collect())
+    assert got == {("en", "a b c", "d"): 2, ("en", "a b c", None): 4, ("en", "b c d", None): 4}
+
+
 @pytest.mark.parametrize("cells, group_rows", [(1, 1 << 18), (1, 40), (8, 60), (64, 30)])
 def test_prefixes_that_share_a_cell(spark, monkeypatch, cells, group_rows):
     """Rare prefixes pass where others set their bits, and frequent ones go without a group in cells that are one: counts stay exact."""
